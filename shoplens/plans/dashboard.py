@@ -1,0 +1,102 @@
+"""Composite reports (K1 dashboard response, K2 snapshot, K3 missed work).
+
+The composite filters orders (and the jobs / labor lines of those orders)
+by the reporting period once and persists that base, so the ten member
+reports share one scan instead of re-reading the tables; the period
+comparison covers both periods in a single pass.
+"""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shoplens.functions.params import (Period, basis_column, check_days, date_range,
+                                       validate_basis)
+from shoplens.functions import exprs as X
+from shoplens.operators import categories, indicators, missed, people, revenue
+from shoplens.sources.silver import Shop
+
+
+class Report(dict):
+    """``dict[str, DataFrame]`` that also remembers the persisted bases."""
+
+    def __init__(self, *a, bases=(), **kw):
+        super().__init__(*a, **kw)
+        self._bases = list(bases)
+
+    def unpersist(self) -> None:
+        for b in self._bases:
+            b.unpersist()
+
+
+def period_shop(shop: Shop, period: Period, basis: str,
+                storage: StorageLevel | None = StorageLevel.MEMORY_AND_DISK) -> tuple[Shop, list]:
+    """A Shop restricted to orders of the period (plus the previous period
+    of the same length, for the comparison) and their jobs / lines."""
+    day = basis_column(basis)
+    both = Period(period.previous().start, period.end)
+    orders = shop.repair_orders.filter(X.in_period(day, both))
+    ids = orders.select(F.col("id").alias("repair_order_id"))
+    jobs = shop.jobs.join(ids, "repair_order_id", "left_semi")
+    job_ids = jobs.select(F.col("id").alias("job_id"))
+    labor = shop.labor_lines.join(job_ids, "job_id", "left_semi")
+    parts = shop.parts.join(job_ids, "job_id", "left_semi")
+    bases = []
+    if storage is not None:
+        orders, jobs, labor, parts = (d.persist(storage) for d in (orders, jobs, labor, parts))
+        bases = [orders, jobs, labor, parts]
+    return Shop(shop.employees, orders, jobs, labor, parts), bases
+
+
+def dashboard_report(shop: Shop, days: int = 30, basis: str = "revenue", as_of=None,
+                     cache: bool = True) -> Report:
+    """K1: revenue, trend (daily up to 90 days, else monthly), technicians,
+    advisors, categories, missed work and the period comparison, plus the
+    derived indicators the page computes."""
+    check_days(days)
+    validate_basis(basis)
+    period = date_range(days=days, as_of=as_of)
+    ps, bases = period_shop(shop, period, basis, StorageLevel.MEMORY_AND_DISK if cache else None)
+    return Report({
+        "revenue": revenue.revenue(ps, period, basis),
+        "trend": revenue.dashboard_trend(ps, period, basis),
+        "technicians": people.technician_metrics(ps, period, basis),
+        "advisors": people.advisor_metrics(ps, period, basis),
+        "job_categories": categories.job_category_metrics(ps, period, basis),
+        "missed_summary": missed.missed_revenue_summary(ps, period, basis),
+        "missed_by_category": missed.missed_revenue_by_category(ps, period, basis),
+        "top_declined_jobs": missed.top_declined_jobs(ps, period, basis),
+        "comparison": revenue.period_comparison(ps, period, basis),
+        "shop_rate": indicators.shop_rate(ps, period, basis),
+        "alerts": indicators.alerts(ps, period, basis),
+        "technician_scorecard": indicators.technician_scorecard(ps, period, basis),
+        "management_snapshot": indicators.management_snapshot(ps, period, basis),
+    }, bases=bases)
+
+
+def dashboard_snapshot(shop: Shop, start=None, end=None, basis: str = "revenue",
+                       as_of=None) -> Report:
+    """K2: period, revenue, monthly trend, technicians, advisors, categories
+    and missed work for an explicit range."""
+    period = date_range(start, end, as_of=as_of)
+    validate_basis(basis)
+    return Report({
+        "revenue": revenue.revenue(shop, period, basis),
+        "monthly_trends": revenue.monthly_trends(shop, period, basis),
+        "technicians": people.technician_metrics(shop, period, basis),
+        "advisors": people.advisor_metrics(shop, period, basis),
+        "job_categories": categories.job_category_metrics(shop, period, basis),
+        **missed_revenue(shop, period, basis),
+    })
+
+
+def missed_revenue(shop: Shop, period: Period, basis: str = "revenue",
+                   job_limit: int = missed.DEFAULT_JOB_LIMIT) -> dict[str, DataFrame]:
+    """K3: summary, by-category and top declined jobs."""
+    return {
+        "missed_summary": missed.missed_revenue_summary(shop, period, basis),
+        "missed_by_category": missed.missed_revenue_by_category(shop, period, basis),
+        "top_declined_jobs": missed.top_declined_jobs(shop, period, basis, job_limit),
+    }

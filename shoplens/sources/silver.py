@@ -93,6 +93,15 @@ def materialize(spark: SparkSession, sf_dir: str) -> str:
     return root
 
 
+_OPENED: dict[tuple, Shop] = {}
+
+
 def load_shop(spark: SparkSession, sf_dir: str) -> Shop:
-    """Silver tables for a test-data folder (materialized on first use)."""
-    return Shop.read(spark, materialize(spark, sf_dir))
+    """Silver tables for a test-data folder (materialized on first use).
+    The opened DataFrames are remembered per session and input folder, so
+    repeated reports skip the fingerprint and file listing."""
+    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    shop = _OPENED.get(key)
+    if shop is None:
+        shop = _OPENED[key] = Shop.read(spark, materialize(spark, sf_dir))
+    return shop
