@@ -33,17 +33,18 @@ def sum_cents(c) -> Column:
 
 
 def safe_div(num, den, otherwise=0.0) -> Column:
-    """num / den, or ``otherwise`` (NULL when None) when den is 0 or NULL."""
-    n, d = col(num), col(den)
-    expr = F.when(d.isNotNull() & (d != 0), n.cast("double") / d.cast("double"))
-    return expr if otherwise is None else expr.otherwise(F.lit(float(otherwise)))
+    """num / den, or ``otherwise`` (NULL when None) when den is 0 or NULL.
+
+    ``try_divide`` yields NULL for a zero divisor, so the denominator is
+    referenced once (it may be a scalar subquery: it then runs once)."""
+    q = F.try_divide(col(num).cast("double"), col(den).cast("double"))
+    return q if otherwise is None else F.coalesce(q, F.lit(float(otherwise)))
 
 
 def pct(num, den, otherwise=0.0) -> Column:
     """num / den * 100 with the same guard as :func:`safe_div`."""
-    n, d = col(num), col(den)
-    expr = F.when(d.isNotNull() & (d != 0), n.cast("double") / d.cast("double") * F.lit(100.0))
-    return expr if otherwise is None else expr.otherwise(F.lit(float(otherwise)))
+    q = F.try_divide(col(num).cast("double"), col(den).cast("double")) * F.lit(100.0)
+    return q if otherwise is None else F.coalesce(q, F.lit(float(otherwise)))
 
 
 def parse_day(raw) -> Column:

@@ -92,12 +92,13 @@ def alerts(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
 def technician_status(rate, shop_rate_col):
     """I4: insufficient when either rate is 0; ratio >= 1 good, >= 0.85 warn,
     else bad.  Returns (class, label)."""
-    r, s = X.col(rate), X.col(shop_rate_col)
-    missing = r.isNull() | (r == 0) | s.isNull() | (s == 0)
-    ratio = r / s
-    cls = (F.when(missing, "warn").when(ratio >= STATUS_GOOD_RATIO, "good")
+    r = X.col(rate)
+    # NULL when either rate is 0 / NULL (the shop rate is referenced once)
+    ratio = F.try_divide(F.when(r != 0, r), X.col(shop_rate_col))
+    cls = (F.when(ratio.isNull(), "warn").when(ratio >= STATUS_GOOD_RATIO, "good")
            .when(ratio >= STATUS_WARN_RATIO, "warn").otherwise("bad"))
-    label = (F.when(missing, "insufficient_data").when(ratio >= STATUS_GOOD_RATIO, "at_or_above_shop")
+    label = (F.when(ratio.isNull(), "insufficient_data")
+             .when(ratio >= STATUS_GOOD_RATIO, "at_or_above_shop")
              .when(ratio >= STATUS_WARN_RATIO, "review").otherwise("below_shop"))
     return cls, label
 
@@ -109,7 +110,8 @@ def technician_scorecard(shop: Shop, period: Period, basis: str = "revenue") ->
     shop_rate_v = sr.select("effective_labor_rate").scalar()
     shop_labor = sr.select("shop_labor_sales").scalar()
     tech = people.technician_metrics(shop, period, basis)
-    cls, label = technician_status("effective_labor_rate", shop_rate_v)
+    tech = tech.withColumn("_shop_rate", shop_rate_v)
+    cls, label = technician_status("effective_labor_rate", "_shop_rate")
     return tech.select(
         "technician_id", "technician_name", "jobs", "labor_hours", "labor_sales",
         X.safe_div("labor_sales", "jobs").alias("labor_per_job"),

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from shoplens.functions.params import Period, date_range, ingest_window, trend_window
 from shoplens.operators import (audit, categories, indicators, inspect, missed, people,
                                 revenue, upsert)
-from shoplens.sources import documents, landed
+from shoplens.sources import landed
 from shoplens.sources import schemas as S
-from shoplens.sources.silver import Shop, load_shop
+from shoplens.sources.silver import Shop, land_documents, load_shop
 
 # Fixed report parameters of the registered queries.
 AS_OF = _dt.date(2001, 8, 1)                       # last order day of the test data
@@ -36,6 +36,33 @@ AS_OF_TEXT = AS_OF.isoformat() + "T00:00:00Z"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+class Landed:
+    """Silver tables plus the landed JSON documents rendered from them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.shop = load_shop(spark, sf_dir)
+        self._root = None
+
+    @property
+    def root(self) -> str:
+        if self._root is None:
+            self._root = land_documents(self.spark, self.sf_dir)
+        return self._root
+
+    def read(self, name: str, schema) -> DataFrame:
+        return landed.read_json(self.spark, f"{self.root}/{name}", schema)
+
+    def order_pages(self) -> DataFrame:
+        return self.read("order_pages", S.ORDER_PAGE)
+
+    def employee_pages(self) -> DataFrame:
+        return self.read("employee_pages", S.EMPLOYEE_PAGE)
+
+    def job_docs(self) -> DataFrame:
+        return self.read("job_documents", S.JOB)
+
+
 def _shop(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(load_shop(spark, sf_dir))
@@ -43,19 +70,14 @@ def _shop(fn) -> Query:
     return run
 
 
-# ----------------------------------------------------------- ingest helpers
-def _order_pages(shop: Shop) -> DataFrame:
-    return landed.parse_text(documents.order_pages_text(shop), S.ORDER_PAGE)
-
-
-def _job_docs(shop: Shop) -> DataFrame:
-    return landed.parse_text(documents.job_documents_text(shop), S.JOB)
-
-
-def _flat_orders(shop: Shop) -> DataFrame:
-    return landed.flatten_orders(_order_pages(shop))
+def _landed(fn) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(Landed(spark, sf_dir))
+    run.__name__ = getattr(fn, "__name__", "query")
+    return run
 
 
+# ----------------------------------------------------------- ingest queries
 def _known_jobs(shop: Shop) -> DataFrame:
     """Jobs stored by the earlier sync: those of orders created before the
     current ingest window."""
@@ -64,35 +86,34 @@ def _known_jobs(shop: Shop) -> DataFrame:
     return shop.jobs.join(early, "repair_order_id", "left_semi")
 
 
-def ingest_repair_orders(shop: Shop) -> DataFrame:
-    return _flat_orders(shop)
+def ingest_repair_orders(d: Landed) -> DataFrame:
+    return landed.flatten_orders(d.order_pages())
 
 
-def ingest_employees(shop: Shop) -> DataFrame:
-    pages = landed.parse_text(documents.employee_pages_text(shop), S.EMPLOYEE_PAGE)
-    return landed.flatten_employees(pages)
+def ingest_employees(d: Landed) -> DataFrame:
+    return landed.flatten_employees(d.employee_pages())
 
 
-def ingest_jobs(shop: Shop) -> DataFrame:
-    return landed.flatten_jobs(_job_docs(shop))
+def ingest_jobs(d: Landed) -> DataFrame:
+    return landed.flatten_jobs(d.job_docs())
 
 
-def ingest_labor_lines(shop: Shop) -> DataFrame:
-    return landed.flatten_labor(_job_docs(shop))
+def ingest_labor_lines(d: Landed) -> DataFrame:
+    return landed.flatten_labor(d.job_docs())
 
 
-def ingest_parts(shop: Shop) -> DataFrame:
-    return landed.flatten_parts(_job_docs(shop))
+def ingest_parts(d: Landed) -> DataFrame:
+    return landed.flatten_parts(d.job_docs())
 
 
-def ingest_window_orders(shop: Shop) -> DataFrame:
-    return landed.in_ingest_window(_flat_orders(shop), SYNC_WINDOW)
+def ingest_window_orders(d: Landed) -> DataFrame:
+    return landed.in_ingest_window(landed.flatten_orders(d.order_pages()), SYNC_WINDOW)
 
 
-def upsert_latest_orders(shop: Shop) -> DataFrame:
+def upsert_latest_orders(d: Landed) -> DataFrame:
     """First sync stores every order; the re-sync re-fetches the orders of
     the ingest window with a changed total and update stamp: latest wins."""
-    first = _flat_orders(shop)
+    first = landed.flatten_orders(d.order_pages())
     again = (landed.in_ingest_window(first, SYNC_WINDOW)
              .withColumn("total_sales", F.col("total_sales") + RESYNC_TOTAL_BUMP_CENTS)
              .withColumn("updated_date", F.lit(AS_OF_TEXT)))
@@ -100,29 +121,43 @@ def upsert_latest_orders(shop: Shop) -> DataFrame:
                                 upsert.with_seq(again, F.lit(1)))
 
 
-def upsert_latest_employees(shop: Shop) -> DataFrame:
-    pages = landed.parse_text(documents.employee_pages_text(shop), S.EMPLOYEE_PAGE)
-    first = landed.flatten_employees(pages)
+def upsert_latest_employees(d: Landed) -> DataFrame:
+    first = landed.flatten_employees(d.employee_pages())
     again = first.withColumn("updated_date", F.lit(AS_OF_TEXT))
     return upsert.upsert_latest(upsert.with_seq(first, F.lit(0)),
                                 upsert.with_seq(again, F.lit(1)))
 
 
-def upsert_new_jobs(shop: Shop) -> DataFrame:
+def upsert_new_jobs(d: Landed) -> DataFrame:
     """Stored jobs are never refreshed; only unseen ids are inserted."""
-    fetched = upsert.with_seq(landed.flatten_jobs(_job_docs(shop)), F.col("id"))
-    return upsert.upsert_first(_known_jobs(shop), fetched)
+    fetched = upsert.with_seq(landed.flatten_jobs(d.job_docs()), F.col("id"))
+    return upsert.upsert_first(_known_jobs(d.shop), fetched)
+
+
+def new_jobs_anti(d: Landed) -> DataFrame:
+    summaries = landed.order_job_summaries(d.order_pages())
+    return upsert.unseen_job_ids(summaries, _known_jobs(d.shop))
 
 
-def new_jobs_anti(shop: Shop) -> DataFrame:
-    summaries = landed.order_job_summaries(_order_pages(shop))
-    return upsert.unseen_job_ids(summaries, _known_jobs(shop))
+def ingest_stats(d: Landed) -> DataFrame:
+    summaries = landed.order_job_summaries(d.order_pages())
+    fetched = landed.flatten_jobs(d.job_docs())
+    return upsert.ingest_stats(summaries, _known_jobs(d.shop).select("id"), fetched)
 
 
-def ingest_stats(shop: Shop) -> DataFrame:
-    summaries = landed.order_job_summaries(_order_pages(shop))
-    fetched = landed.flatten_jobs(_job_docs(shop))
-    return upsert.ingest_stats(summaries, _known_jobs(shop).select("id"), fetched)
+INGEST = {
+    "ingest_repair_orders": ingest_repair_orders,
+    "ingest_employees": ingest_employees,
+    "ingest_jobs": ingest_jobs,
+    "ingest_labor_lines": ingest_labor_lines,
+    "ingest_parts": ingest_parts,
+    "ingest_window": ingest_window_orders,
+    "upsert_latest_orders": upsert_latest_orders,
+    "upsert_latest_employees": upsert_latest_employees,
+    "upsert_new_jobs": upsert_new_jobs,
+    "new_jobs_anti": new_jobs_anti,
+    "ingest_stats": ingest_stats,
+}
 
 
 # ----------------------------------------------------------- registry
@@ -181,17 +216,7 @@ def queries() -> dict[str, Query]:
         "job_category_classes": lambda s: indicators.job_category_classes(s, H, "revenue"),
         "missed_category_classes": lambda s: indicators.missed_category_classes(s, H, "revenue"),
         "management_snapshot": lambda s: indicators.management_snapshot(s, H, "revenue"),
-        # ingest
-        "ingest_repair_orders": ingest_repair_orders,
-        "ingest_employees": ingest_employees,
-        "ingest_jobs": ingest_jobs,
-        "ingest_labor_lines": ingest_labor_lines,
-        "ingest_parts": ingest_parts,
-        "ingest_window": ingest_window_orders,
-        "upsert_latest_orders": upsert_latest_orders,
-        "upsert_latest_employees": upsert_latest_employees,
-        "upsert_new_jobs": upsert_new_jobs,
-        "new_jobs_anti": new_jobs_anti,
-        "ingest_stats": ingest_stats,
     }
-    return {k: _shop(v) for k, v in q.items()}
+    out = {k: _shop(v) for k, v in q.items()}
+    out.update({k: _landed(v) for k, v in INGEST.items()})
+    return out

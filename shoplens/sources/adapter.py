@@ -205,14 +205,16 @@ def with_order_days(ro: DataFrame) -> DataFrame:
                             for c in S.ORDER_DAY_COLUMNS])
 
 
-def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Lazy silver tables derived from the test tables under ``sf_dir``."""
+def derive(spark: SparkSession, sf_dir: str, with_lines: bool = False):
+    """Lazy silver tables derived from the test tables under ``sf_dir``
+    (and, on request, the shared job-keyed line rows they come from)."""
     t = read_tables(spark, sf_dir)
     lines = _lines(t["lineitem"], t["part"])
-    return {
+    tables = {
         "employees": employees(t["supplier"]),
         "repair_orders": with_order_days(repair_orders(t["orders"])),
         "jobs": jobs(lines),
         "labor_lines": labor_lines(lines),
         "parts": parts(lines),
     }
+    return (tables, lines) if with_lines else tables

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from shoplens.session import ensure_checkpoint_dir, path_exists
@@ -89,7 +90,36 @@ def materialize(spark: SparkSession, sf_dir: str) -> str:
     root = silver_root(spark, sf_dir)
     if all(path_exists(spark, f"{root}/{n}/_SUCCESS") for n in TABLE_NAMES):
         return root
-    Shop.of(adapter.derive(spark, sf_dir)).write(root)
+    tables, lines = adapter.derive(spark, sf_dir, with_lines=True)
+    # jobs, labor_lines and parts all come from the same shuffled lineitem
+    # rows: keep them for the three writes instead of recomputing them.
+    lines.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        Shop.of(tables).write(root)
+    finally:
+        lines.unpersist()
+    return root
+
+
+LANDED = {"orders": "order_pages", "employees": "employee_pages", "jobs": "job_documents"}
+
+
+def land_documents(spark: SparkSession, sf_dir: str) -> str:
+    """Render the silver tables of ``sf_dir`` as landed JSON documents
+    (order pages, employee pages, job documents) once, next to the silver
+    copy, and return their folder.  Ingest queries read these files with
+    the declared schemas, exactly like freshly landed data."""
+    from shoplens.sources import documents
+
+    root = materialize(spark, sf_dir) + "/landed"
+    if all(path_exists(spark, f"{root}/{d}/_SUCCESS") for d in LANDED.values()):
+        return root
+    shop = load_shop(spark, sf_dir)
+    texts = {"order_pages": documents.order_pages_text(shop),
+             "employee_pages": documents.employee_pages_text(shop),
+             "job_documents": documents.job_documents_text(shop)}
+    for name, text in texts.items():
+        text.write.mode("overwrite").text(f"{root}/{name}")
     return root
 
 
