@@ -116,7 +116,10 @@ def job_batch_writer(jobs: VersionedTable, labor: VersionedTable, parts: Version
             won = won.join(known.select("id"), "id", "left_anti")
         winners = docs.join(won.select("id", F.col("_won").alias(SEQ)), ["id", SEQ], "left_semi")
         new_jobs = landed.flatten_jobs(winners).join(winners.select("id", SEQ), "id")
-        child_seq = _seq_of(batch_id, F.lit(None).cast("string").alias("updated"))
+        # each child row comes from exactly one winning document: the batch
+        # number alone orders its versions
+        child_seq = F.struct(F.lit(int(batch_id)).alias("batch"), F.lit("").alias("file"),
+                             F.lit(None).cast("string").alias("updated"))
         new_labor = landed.flatten_labor(winners).withColumn(SEQ, child_seq)
         new_parts = landed.flatten_parts(winners).withColumn(SEQ, child_seq)
         labor.write(_merge_latest(_previous(labor, batch_id), new_labor), batch_id)
