@@ -7,7 +7,7 @@ times).  Both pre-aggregates are partial aggregations keyed by job id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions import exprs as X
@@ -77,9 +77,10 @@ def job_category_metrics(shop: Shop, period: Period, basis: str = "revenue") ->
         F.coalesce(F.col("subtotal"), F.lit(0)).alias("net_c"))
     has_cost = F.col("parts_row_count") > 0
     margin = F.when(has_cost, F.col("parts_revenue") - F.col("parts_cost"))
-    # Share of the shop's net revenue; the shop total is a one-row
-    # scalar subquery over the (already tiny) category rows.
-    shop_net_c = out.agg(F.sum("net_c")).scalar()
+    # Share of the shop's net revenue.  The total is a window over the
+    # final category rows (one row per category label, a few dozen), so the
+    # join/aggregate pipeline above runs once.
+    shop_net_c = F.sum("net_c").over(Window.partitionBy())
     return out.select(
         "category", "job_count", "ro_count", "labor_revenue", "parts_revenue", "discounts",
         "fees", "net_revenue", "parts_cost", "parts_row_count", "labor_hours",

@@ -1,9 +1,9 @@
 """Derived indicators: shop rate, alerts, technician flags and scorecard,
 margin / conversion classes, management snapshot.
 
-One-row shop figures are combined through scalar subqueries (each is a tiny
-aggregate whose single value is shipped to the tasks); no cross join and no
-driver round trip.
+Shop-level figures are one row built from stacked one-row aggregates
+(``shop_figures``); per-technician rows receive it as a single scalar
+subquery.  No cross join and no driver round trip.
 """
 
 from __future__ import annotations
@@ -29,24 +29,6 @@ MARGIN_GOOD, MARGIN_WARN = 40.0, 25.0
 CONVERSION_GOOD, CONVERSION_WARN = 75.0, 50.0
 
 
-def shop_rate(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
-    """Billed hours summed over the technician report, order labor
-    sales, their ratio, and the total of the dashboard trend."""
-    tech = people.technician_metrics(shop, period, basis)
-    hours = tech.agg(F.coalesce(F.sum("labor_hours"), F.lit(0.0))).scalar()
-    trend = revenue.dashboard_trend(shop, period, basis)
-    trend_total_c = trend.agg(F.coalesce(F.sum(F.round(F.col("total_sales") * 100).cast("long")),
-                                         F.lit(0))).scalar()
-    rev = revenue.revenue(shop, period, basis)
-    out = rev.select(F.col("labor_sales").alias("shop_labor_sales"),
-                     hours.alias("total_billed_hours"),
-                     (trend_total_c.cast("double") / F.lit(100.0)).alias("trend_total_sales"))
-    return out.select("total_billed_hours", "shop_labor_sales",
-                      X.safe_div("shop_labor_sales", "total_billed_hours")
-                      .alias("effective_labor_rate"),
-                      "trend_total_sales")
-
-
 def _flag_columns(df: DataFrame) -> DataFrame:
     low = F.col("effective_labor_rate") < TECH_LOW_RATE
     long_jobs = F.col("average_hours_per_job") > TECH_LONG_JOB_HOURS
@@ -55,6 +37,47 @@ def _flag_columns(df: DataFrame) -> DataFrame:
                      flagged.alias("flagged"))
 
 
+def shop_figures(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
+    """One row of shop-level figures for the period: order count and money
+    (cents), billed hours and flagged technicians (from the technician
+    report), and the dashboard-trend total (cents).
+
+    The three one-row aggregates are stacked with ``unionByName`` and folded
+    by a global aggregate: one job, each branch partially aggregated, no
+    join and no nested subquery."""
+    orders = revenue.orders_in(shop, period, basis).agg(
+        F.count(F.lit(1)).alias("ro_count"),
+        X.sum_cents("labor_sales").alias("labor_c"), X.sum_cents("parts_sales").alias("parts_c"),
+        X.sum_cents("discount_total").alias("discounts_c"))
+    tech = _flag_columns(people.technician_metrics(shop, period, basis)).agg(
+        F.coalesce(F.sum("labor_hours"), F.lit(0.0)).alias("hours"),
+        F.count(F.when(F.col("flagged"), F.lit(1))).alias("flagged"))
+    trend = revenue.dashboard_trend(shop, period, basis).agg(
+        F.coalesce(F.sum(F.round(F.col("total_sales") * 100).cast("long")), F.lit(0))
+        .alias("trend_c"))
+    u = orders.unionByName(tech, allowMissingColumns=True).unionByName(
+        trend, allowMissingColumns=True)
+    cols = ("ro_count", "labor_c", "parts_c", "discounts_c", "hours", "flagged", "trend_c")
+    g = u.agg(*[F.max(c).alias(c) for c in cols])
+    labor, parts = X.dollars("labor_c"), X.dollars("parts_c")
+    return g.select(
+        "ro_count", F.col("hours").alias("total_billed_hours"),
+        labor.alias("shop_labor_sales"), parts.alias("shop_parts_sales"),
+        X.dollars("discounts_c").alias("shop_discounts"),
+        F.col("flagged").alias("flagged_technicians"),
+        X.dollars("trend_c").alias("trend_total_sales"),
+    ).select("*", X.safe_div("shop_labor_sales", "total_billed_hours").alias("effective_labor_rate"),
+             X.pct("shop_discounts", F.col("shop_labor_sales") + F.col("shop_parts_sales"))
+             .alias("discount_percent"))
+
+
+def shop_rate(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
+    """Billed hours summed over the technician report, order labor
+    sales, their ratio, and the total of the dashboard trend."""
+    return shop_figures(shop, period, basis).select(
+        "total_billed_hours", "shop_labor_sales", "effective_labor_rate", "trend_total_sales")
+
+
 def technician_review_flags(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
     """Technicians with >= 10 jobs and (rate < 100 or > 1.75 h/job),
     both reasons kept; the first three in report order (hours desc, name)
@@ -73,12 +96,9 @@ def technician_review_flags(shop: Shop, period: Period, basis: str = "revenue")
 def alerts(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
     """I1 + I2 + I3 summary: three alert rows with their measured value and
     class (warn / good)."""
-    rate = shop_rate(shop, period, basis).select("effective_labor_rate").scalar()
-    flagged = (_flag_columns(people.technician_metrics(shop, period, basis))
-               .agg(F.count(F.when(F.col("flagged"), F.lit(1)))).scalar())
-    rev = revenue.revenue(shop, period, basis)
-    wide = rev.select(rate.alias("r"), F.col("discount_percent").alias("d"),
-                      flagged.cast("double").alias("f"))
+    wide = shop_figures(shop, period, basis).select(
+        F.col("effective_labor_rate").alias("r"), F.col("discount_percent").alias("d"),
+        F.col("flagged_technicians").cast("double").alias("f"))
     long = wide.select(F.expr(
         "stack(3, 'labor_rate', r, 'discounting', d, 'technician_review', f) AS (alert, value)"))
     cls = (F.when((F.col("alert") == "labor_rate") & (F.col("value") < SHOP_RATE_REVIEW), "warn")
@@ -105,19 +125,19 @@ def technician_status(rate, shop_rate_col):
 
 def technician_scorecard(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
     """I5 + I4 + E4: per technician, production figures, share of the shop's
-    order labor sales and status against the shop rate."""
-    sr = shop_rate(shop, period, basis)
-    shop_rate_v = sr.select("effective_labor_rate").scalar()
-    shop_labor = sr.select("shop_labor_sales").scalar()
-    tech = people.technician_metrics(shop, period, basis)
-    tech = tech.withColumn("_shop_rate", shop_rate_v)
-    cls, label = technician_status("effective_labor_rate", "_shop_rate")
+    order labor sales and status against the shop rate.  The shop figures
+    arrive as one struct-valued scalar subquery (computed once)."""
+    fig = shop_figures(shop, period, basis).select(F.struct(
+        F.col("effective_labor_rate").alias("rate"),
+        F.col("shop_labor_sales").alias("labor")).alias("s")).scalar()
+    tech = people.technician_metrics(shop, period, basis).withColumn("_shop", fig)
+    cls, label = technician_status("effective_labor_rate", F.col("_shop.rate"))
     return tech.select(
         "technician_id", "technician_name", "jobs", "labor_hours", "labor_sales",
         X.safe_div("labor_sales", "jobs").alias("labor_per_job"),
         X.safe_div("labor_hours", "jobs").alias("hours_per_job"),
         "effective_labor_rate",
-        X.pct("labor_sales", shop_labor).alias("shop_labor_share_percent"),
+        X.pct("labor_sales", F.col("_shop.labor")).alias("shop_labor_share_percent"),
         cls.alias("status_class"), label.alias("status_label"))
 
 
@@ -142,11 +162,11 @@ def missed_category_classes(shop: Shop, period: Period, basis: str = "revenue")
 def management_snapshot(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
     """I8 (I9 folded in: the order count is never 0 with a positive
     average): per-order labor, hours and parts, and labor mix of labor+parts."""
-    hours = shop_rate(shop, period, basis).select("total_billed_hours").scalar()
-    rev = revenue.revenue(shop, period, basis)
-    return rev.select(
+    fig = shop_figures(shop, period, basis)
+    return fig.select(
         "ro_count",
-        X.safe_div("labor_sales", "ro_count").alias("labor_per_ro"),
-        X.safe_div(hours, "ro_count").alias("hours_per_ro"),
-        X.safe_div("parts_sales", "ro_count").alias("parts_per_ro"),
-        X.pct("labor_sales", F.col("labor_sales") + F.col("parts_sales")).alias("labor_mix_percent"))
+        X.safe_div("shop_labor_sales", "ro_count").alias("labor_per_ro"),
+        X.safe_div("total_billed_hours", "ro_count").alias("hours_per_ro"),
+        X.safe_div("shop_parts_sales", "ro_count").alias("parts_per_ro"),
+        X.pct("shop_labor_sales", F.col("shop_labor_sales") + F.col("shop_parts_sales"))
+        .alias("labor_mix_percent"))

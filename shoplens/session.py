@@ -18,6 +18,10 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.ui.enabled": "false",
+    # PySpark 4 records the Python call site of every Column it builds (for
+    # error messages); that costs several JVM round trips per expression and
+    # dominates plan construction of wide reports.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -82,12 +82,13 @@ def silver_root(spark: SparkSession, sf_dir: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/shoplens-silver/{fp}"
 
 
-def materialize(spark: SparkSession, sf_dir: str) -> str:
+def materialize(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
     """Derive the silver tables from ``sf_dir`` once and write them to the
-    shared folder; later calls (any session on the cluster) reuse them."""
+    shared folder; later calls (any session on the cluster) reuse them.
+    An explicit ``root`` builds a copy there (used to time a fresh build)."""
     from shoplens.sources import adapter
 
-    root = silver_root(spark, sf_dir)
+    root = root or silver_root(spark, sf_dir)
     if all(path_exists(spark, f"{root}/{n}/_SUCCESS") for n in TABLE_NAMES):
         return root
     tables, lines = adapter.derive(spark, sf_dir, with_lines=True)
