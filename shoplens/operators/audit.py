@@ -83,7 +83,7 @@ def audit_monthly(shop: Shop) -> DataFrame:
     calc = _calc()
     return g.select("month", "ros", X.dollars(calc).alias("calculated"),
                     X.dollars("total_sales").alias("actual"),
-                    X.dollars(F.col("total_sales") - calc).alias("difference"))
+                    X.dollars(F.col("total_sales") - calc).alias("difference")).orderBy("month")
 
 
 def audit_discrepancies(shop: Shop) -> DataFrame:

@@ -92,4 +92,5 @@ def job_category_metrics(shop: Shop, period: Period, basis: str = "revenue") ->
         X.pct("net_revenue", shop_net_c.cast("double") / F.lit(100.0))
         .alias("percent_of_shop_revenue"),
         X.safe_div("net_revenue", "job_count").alias("average_job_value"),
-        X.safe_div("labor_revenue", "labor_hours").alias("effective_labor_rate"))
+        X.safe_div("labor_revenue", "labor_hours").alias("effective_labor_rate"),
+    ).orderBy(F.col("net_revenue").desc())

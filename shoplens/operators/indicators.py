@@ -49,7 +49,7 @@ def shop_figures(shop: Shop, period: Period, basis: str = "revenue") -> DataFram
         F.count(F.lit(1)).alias("ro_count"),
         X.sum_cents("labor_sales").alias("labor_c"), X.sum_cents("parts_sales").alias("parts_c"),
         X.sum_cents("discount_total").alias("discounts_c"))
-    tech = _flag_columns(people.technician_metrics(shop, period, basis)).agg(
+    tech = _flag_columns(people.technician_metrics(shop, period, basis, ordered=False)).agg(
         F.coalesce(F.sum("labor_hours"), F.lit(0.0)).alias("hours"),
         F.count(F.when(F.col("flagged"), F.lit(1))).alias("flagged"))
     trend = revenue.dashboard_trend(shop, period, basis).agg(
@@ -82,7 +82,8 @@ def technician_review_flags(shop: Shop, period: Period, basis: str = "revenue")
     """Technicians with >= 10 jobs and (rate < 100 or > 1.75 h/job),
     both reasons kept; the first three in report order (hours desc, name)
     are the ones the alert names."""
-    tech = _flag_columns(people.technician_metrics(shop, period, basis)).filter("flagged")
+    tech = _flag_columns(people.technician_metrics(shop, period, basis, ordered=False)).filter(
+        "flagged")
     order = [F.col("labor_hours").desc(), F.col("technician_name").asc(),
              F.col("technician_id").asc()]
     named = tech.orderBy(*order).limit(TECH_NAMED_IN_ALERT).select(
@@ -130,7 +131,7 @@ def technician_scorecard(shop: Shop, period: Period, basis: str = "revenue") ->
     fig = shop_figures(shop, period, basis).select(F.struct(
         F.col("effective_labor_rate").alias("rate"),
         F.col("shop_labor_sales").alias("labor")).alias("s")).scalar()
-    tech = people.technician_metrics(shop, period, basis).withColumn("_shop", fig)
+    tech = people.technician_metrics(shop, period, basis, ordered=False).withColumn("_shop", fig)
     cls, label = technician_status("effective_labor_rate", F.col("_shop.rate"))
     return tech.select(
         "technician_id", "technician_name", "jobs", "labor_hours", "labor_sales",

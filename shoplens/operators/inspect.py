@@ -36,12 +36,13 @@ def posted_monthly(shop: Shop) -> DataFrame:
     """Posted sales per month (raw text month)."""
     g = posted_orders(shop).groupBy(F.substring("posted_date", 1, 7).alias("month")).agg(
         F.count(F.lit(1)).alias("ros"), *_seven_dollars())
-    return g.withColumn("average_ro", X.safe_div("total", "ros"))
+    return g.withColumn("average_ro", X.safe_div("total", "ros")).orderBy("month")
 
 
 def posted_status_counts(shop: Shop) -> DataFrame:
     """Posted orders per status name (NULL is its own group)."""
-    return posted_orders(shop).groupBy("status_name").agg(F.count(F.lit(1)).alias("count"))
+    return (posted_orders(shop).groupBy("status_name").agg(F.count(F.lit(1)).alias("count"))
+            .orderBy(F.col("count").desc()))
 
 
 def posted_last_30_days(shop: Shop, as_of) -> DataFrame:
@@ -52,7 +53,7 @@ def posted_last_30_days(shop: Shop, as_of) -> DataFrame:
         F.count(F.lit(1)).alias("ros"),
         X.dollars(F.sum("labor_sales")).alias("labor"),
         X.dollars(F.sum("parts_sales")).alias("parts"),
-        X.dollars(F.sum("total_sales")).alias("total"))
+        X.dollars(F.sum("total_sales")).alias("total")).orderBy("day")
 
 
 def discount_analysis(shop: Shop) -> DataFrame:
@@ -83,12 +84,14 @@ def record_counts(shop: Shop) -> DataFrame:
 
 def status_counts(shop: Shop) -> DataFrame:
     """Orders per status name, all orders."""
-    return shop.repair_orders.groupBy("status_name").agg(F.count(F.lit(1)).alias("count"))
+    return (shop.repair_orders.groupBy("status_name").agg(F.count(F.lit(1)).alias("count"))
+            .orderBy(F.col("count").desc()))
 
 
 def category_counts(shop: Shop) -> DataFrame:
     """Jobs per raw (untrimmed) category text, NULL kept."""
-    return shop.jobs.groupBy("job_category_name").agg(F.count(F.lit(1)).alias("count"))
+    return (shop.jobs.groupBy("job_category_name").agg(F.count(F.lit(1)).alias("count"))
+            .orderBy(F.col("count").desc()))
 
 
 def sales_totals(shop: Shop) -> DataFrame:
@@ -102,7 +105,7 @@ def created_monthly(shop: Shop) -> DataFrame:
         F.count(F.lit(1)).alias("repair_orders"),
         X.dollars(F.sum("labor_sales")).alias("labor"),
         X.dollars(F.sum("parts_sales")).alias("parts"),
-        X.dollars(F.sum("total_sales")).alias("total"))
+        X.dollars(F.sum("total_sales")).alias("total")).orderBy("month")
 
 
 def _orphans(child: DataFrame, fk: str, parent: DataFrame) -> DataFrame:

@@ -58,8 +58,9 @@ def missed_revenue_by_category(shop: Shop, period: Period, basis: str = "revenue
     out = out.filter((F.col("declined_value") > 0) | (F.col("authorized_value") > 0))
     out = out.withColumn("recommended_value",
                          F.col("authorized_value") + F.col("declined_value"))
-    return out.withColumn("conversion_rate_percent",
-                          X.pct("authorized_value", "recommended_value"))
+    return (out.withColumn("conversion_rate_percent",
+                           X.pct("authorized_value", "recommended_value"))
+            .orderBy(F.col("declined_value").desc()))
 
 
 def top_declined_jobs(shop: Shop, period: Period, basis: str = "revenue",

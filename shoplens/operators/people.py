@@ -49,7 +49,8 @@ def _technician_rates(df: DataFrame) -> DataFrame:
         X.safe_div("labor_sales", "labor_hours").alias("effective_labor_rate"))
 
 
-def technician_metrics(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
+def technician_metrics(shop: Shop, period: Period, basis: str = "revenue",
+                       ordered: bool = True) -> DataFrame:
     """Per known technician, distinct jobs, hours, hours x rate, and the
     per-job averages.  Labor without a known employee is dropped (inner
     join), no authorized/archived filter."""
@@ -62,13 +63,14 @@ def technician_metrics(shop: Shop, period: Period, basis: str = "revenue") -> Da
          .agg(F.count(F.lit(1)).alias("jobs"),
               F.coalesce(F.sum("hours"), F.lit(0.0)).alias("labor_hours"),
               F.coalesce(F.sum("sales_c") / F.lit(100.0), F.lit(0.0)).alias("labor_sales")))
-    out = g.select("technician_id", X.display_name().alias("technician_name"),
-                   "jobs", "labor_hours", "labor_sales")
-    return _technician_rates(out)
+    out = _technician_rates(g.select("technician_id", X.display_name().alias("technician_name"),
+                                     "jobs", "labor_hours", "labor_sales"))
+    # report order: most billed hours first, then name
+    return out.orderBy(F.col("labor_hours").desc(), "technician_name") if ordered else out
 
 
 def technician_trend(shop: Shop, window: Period, basis: str = "revenue",
-                     technician_id: int | None = None) -> DataFrame:
+                     technician_id: int | None = None, ordered: bool = True) -> DataFrame:
     """Weekly (Monday-start) jobs, hours and sales per technician over
     the trailing window; one technician when ``technician_id`` is given,
     else every technician at once.  No employee join (unknown ids kept)."""
@@ -84,11 +86,12 @@ def technician_trend(shop: Shop, window: Period, basis: str = "revenue",
          .agg(F.count(F.lit(1)).alias("jobs"),
               F.coalesce(F.sum("hours"), F.lit(0.0)).alias("labor_hours"),
               F.coalesce(F.sum("sales_c") / F.lit(100.0), F.lit(0.0)).alias("labor_sales")))
-    return g.select(
+    out = g.select(
         "technician_id", X.day_text("week").alias("week_start"), "jobs", "labor_hours",
         "labor_sales",
         X.safe_div("labor_hours", "jobs").alias("average_hours_per_job"),
         X.safe_div("labor_sales", "labor_hours").alias("effective_labor_rate"))
+    return out.orderBy("technician_id", "week_start") if ordered else out
 
 
 def technician_trend_direction(trend: DataFrame) -> DataFrame:
@@ -143,7 +146,8 @@ def advisor_metrics(shop: Shop, period: Period, basis: str = "revenue") -> DataF
         X.dollars("labor_sales").alias("labor_sales"),
         X.dollars("parts_sales").alias("parts_sales"),
         X.dollars("discount_total").alias("discounts"))
-    return out.withColumn("average_ro", X.safe_div("total_sales", "ro_count"))
+    return (out.withColumn("average_ro", X.safe_div("total_sales", "ro_count"))
+            .orderBy(F.col("total_sales").desc()))
 
 
 def _technicians(shop: Shop) -> DataFrame:
@@ -158,7 +162,8 @@ def technician_job_counts(shop: Shop) -> DataFrame:
         F.count("id").alias("jobs"))
     return (_technicians(shop).join(per_tech, "id", "left")
             .select("id", "first_name", "last_name",
-                    F.coalesce(F.col("jobs"), F.lit(0)).alias("jobs")))
+                    F.coalesce(F.col("jobs"), F.lit(0)).alias("jobs"))
+            .orderBy(F.col("jobs").desc()))
 
 
 def technician_labor_hours(shop: Shop) -> DataFrame:
@@ -167,4 +172,5 @@ def technician_labor_hours(shop: Shop) -> DataFrame:
         F.sum("hours").alias("hours"))
     return (_technicians(shop).join(per_tech, "id", "left")
             .select("id", "first_name", "last_name",
-                    F.coalesce(F.col("hours"), F.lit(0.0)).alias("hours")))
+                    F.coalesce(F.col("hours"), F.lit(0.0)).alias("hours"))
+            .orderBy(F.col("hours").desc()))

@@ -87,7 +87,7 @@ def _trend(shop: Shop, period: Period, basis: str, key_name: str, key: Column) -
         key_name, "ro_count",
         *[X.dollars(name + "_c").alias(name) for _, name in ORDER_MONEY if name != "total_sales"],
         X.dollars(total_c).alias("total_sales"))
-    return out.withColumn("average_ro", X.safe_div("total_sales", "ro_count"))
+    return out.withColumn("average_ro", X.safe_div("total_sales", "ro_count")).orderBy(key_name)
 
 
 def daily_trends(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
@@ -112,7 +112,7 @@ def trend_total_fallback(shop: Shop, period: Period, basis: str = "activity") ->
         X.dollars("total_sales_c").alias("reported_total_sales"),
         X.dollars(rebuilt).alias("rebuilt_total_sales"),
         X.dollars(used).alias("total_sales"),
-        (F.col("total_sales_c") <= 0).alias("used_fallback"))
+        (F.col("total_sales_c") <= 0).alias("used_fallback")).orderBy("month")
 
 
 def dashboard_trend(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:

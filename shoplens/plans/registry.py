@@ -176,7 +176,7 @@ def queries() -> dict[str, Query]:
         "technician_metrics": lambda s: people.technician_metrics(s, H, "revenue"),
         "technician_trend": lambda s: people.technician_trend(s, TREND, "revenue"),
         "technician_trend_direction": lambda s: people.technician_trend_direction(
-            people.technician_trend(s, TREND, "revenue")),
+            people.technician_trend(s, TREND, "revenue", ordered=False)),
         "advisor_metrics": lambda s: people.advisor_metrics(s, H, "revenue"),
         "technician_job_counts": people.technician_job_counts,
         "technician_labor_hours": people.technician_labor_hours,
