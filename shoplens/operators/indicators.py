@@ -40,19 +40,25 @@ def _flag_columns(df: DataFrame) -> DataFrame:
 def shop_figures(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
     """One row of shop-level figures for the period: order count and money
     (cents), billed hours and flagged technicians (from the technician
-    report), and the dashboard-trend total (cents).
-
-    The three one-row aggregates are stacked with ``unionByName`` and folded
-    by a global aggregate: one job, each branch partially aggregated, no
-    join and no nested subquery."""
-    orders = revenue.orders_in(shop, period, basis).agg(
+    report), and the dashboard-trend total (cents)."""
+    return figures_from(revenue.orders_in(shop, period, basis),
+                        people.technician_metrics(shop, period, basis, ordered=False),
+                        revenue.dashboard_trend(shop, period, basis))
+
+
+def figures_from(period_orders: DataFrame, technicians: DataFrame, trend: DataFrame) -> DataFrame:
+    """Shop figures from already computed pieces.  The three one-row
+    aggregates are stacked with ``unionByName`` and folded by a global
+    aggregate: one job, each branch partially aggregated, no join and no
+    nested subquery."""
+    orders = period_orders.agg(
         F.count(F.lit(1)).alias("ro_count"),
         X.sum_cents("labor_sales").alias("labor_c"), X.sum_cents("parts_sales").alias("parts_c"),
         X.sum_cents("discount_total").alias("discounts_c"))
-    tech = _flag_columns(people.technician_metrics(shop, period, basis, ordered=False)).agg(
+    tech = _flag_columns(technicians).agg(
         F.coalesce(F.sum("labor_hours"), F.lit(0.0)).alias("hours"),
         F.count(F.when(F.col("flagged"), F.lit(1))).alias("flagged"))
-    trend = revenue.dashboard_trend(shop, period, basis).agg(
+    trend = trend.agg(
         F.coalesce(F.sum(F.round(F.col("total_sales") * 100).cast("long")), F.lit(0))
         .alias("trend_c"))
     u = orders.unionByName(tech, allowMissingColumns=True).unionByName(
@@ -74,7 +80,11 @@ def shop_figures(shop: Shop, period: Period, basis: str = "revenue") -> DataFram
 def shop_rate(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
     """Billed hours summed over the technician report, order labor
     sales, their ratio, and the total of the dashboard trend."""
-    return shop_figures(shop, period, basis).select(
+    return shop_rate_from(shop_figures(shop, period, basis))
+
+
+def shop_rate_from(figures: DataFrame) -> DataFrame:
+    return figures.select(
         "total_billed_hours", "shop_labor_sales", "effective_labor_rate", "trend_total_sales")
 
 
@@ -82,8 +92,11 @@ def technician_review_flags(shop: Shop, period: Period, basis: str = "revenue")
     """Technicians with >= 10 jobs and (rate < 100 or > 1.75 h/job),
     both reasons kept; the first three in report order (hours desc, name)
     are the ones the alert names."""
-    tech = _flag_columns(people.technician_metrics(shop, period, basis, ordered=False)).filter(
-        "flagged")
+    return review_flags_from(people.technician_metrics(shop, period, basis, ordered=False))
+
+
+def review_flags_from(technicians: DataFrame) -> DataFrame:
+    tech = _flag_columns(technicians).filter("flagged")
     order = [F.col("labor_hours").desc(), F.col("technician_name").asc(),
              F.col("technician_id").asc()]
     named = tech.orderBy(*order).limit(TECH_NAMED_IN_ALERT).select(
@@ -97,7 +110,11 @@ def technician_review_flags(shop: Shop, period: Period, basis: str = "revenue")
 def alerts(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
     """I1 + I2 + I3 summary: three alert rows with their measured value and
     class (warn / good)."""
-    wide = shop_figures(shop, period, basis).select(
+    return alerts_from(shop_figures(shop, period, basis))
+
+
+def alerts_from(figures: DataFrame) -> DataFrame:
+    wide = figures.select(
         F.col("effective_labor_rate").alias("r"), F.col("discount_percent").alias("d"),
         F.col("flagged_technicians").cast("double").alias("f"))
     long = wide.select(F.expr(
@@ -128,10 +145,15 @@ def technician_scorecard(shop: Shop, period: Period, basis: str = "revenue") ->
     """I5 + I4 + E4: per technician, production figures, share of the shop's
     order labor sales and status against the shop rate.  The shop figures
     arrive as one struct-valued scalar subquery (computed once)."""
-    fig = shop_figures(shop, period, basis).select(F.struct(
+    return scorecard_from(people.technician_metrics(shop, period, basis, ordered=False),
+                          shop_figures(shop, period, basis))
+
+
+def scorecard_from(technicians: DataFrame, figures: DataFrame) -> DataFrame:
+    fig = figures.select(F.struct(
         F.col("effective_labor_rate").alias("rate"),
         F.col("shop_labor_sales").alias("labor")).alias("s")).scalar()
-    tech = people.technician_metrics(shop, period, basis, ordered=False).withColumn("_shop", fig)
+    tech = technicians.withColumn("_shop", fig)
     cls, label = technician_status("effective_labor_rate", F.col("_shop.rate"))
     return tech.select(
         "technician_id", "technician_name", "jobs", "labor_hours", "labor_sales",
@@ -163,7 +185,10 @@ def missed_category_classes(shop: Shop, period: Period, basis: str = "revenue")
 def management_snapshot(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
     """I8 (I9 folded in: the order count is never 0 with a positive
     average): per-order labor, hours and parts, and labor mix of labor+parts."""
-    fig = shop_figures(shop, period, basis)
+    return snapshot_from(shop_figures(shop, period, basis))
+
+
+def snapshot_from(fig: DataFrame) -> DataFrame:
     return fig.select(
         "ro_count",
         X.safe_div("shop_labor_sales", "ro_count").alias("labor_per_ro"),

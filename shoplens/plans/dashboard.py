@@ -58,21 +58,32 @@ def dashboard_report(shop: Shop, days: int = 30, basis: str = "revenue", as_of=N
     check_days(days)
     validate_basis(basis)
     period = date_range(days=days, as_of=as_of)
-    ps, bases = period_shop(shop, period, basis, StorageLevel.MEMORY_AND_DISK if cache else None)
+    storage = StorageLevel.MEMORY_AND_DISK if cache else None
+    ps, bases = period_shop(shop, period, basis, storage)
+    # small shared results: computed once, reused by the indicator members
+    tech = people.technician_metrics(ps, period, basis, ordered=False)
+    trend = revenue.dashboard_trend(ps, period, basis)
+    if storage is not None:
+        tech, trend = tech.persist(storage), trend.persist(storage)
+        bases += [tech, trend]
+    fig = indicators.figures_from(revenue.orders_in(ps, period, basis), tech, trend)
+    if storage is not None:
+        fig = fig.persist(storage)
+        bases.append(fig)
     return Report({
         "revenue": revenue.revenue(ps, period, basis),
-        "trend": revenue.dashboard_trend(ps, period, basis),
-        "technicians": people.technician_metrics(ps, period, basis),
+        "trend": trend,
+        "technicians": tech.orderBy(F.col("labor_hours").desc(), "technician_name"),
         "advisors": people.advisor_metrics(ps, period, basis),
         "job_categories": categories.job_category_metrics(ps, period, basis),
         "missed_summary": missed.missed_revenue_summary(ps, period, basis),
         "missed_by_category": missed.missed_revenue_by_category(ps, period, basis),
         "top_declined_jobs": missed.top_declined_jobs(ps, period, basis),
         "comparison": revenue.period_comparison(ps, period, basis),
-        "shop_rate": indicators.shop_rate(ps, period, basis),
-        "alerts": indicators.alerts(ps, period, basis),
-        "technician_scorecard": indicators.technician_scorecard(ps, period, basis),
-        "management_snapshot": indicators.management_snapshot(ps, period, basis),
+        "shop_rate": indicators.shop_rate_from(fig),
+        "alerts": indicators.alerts_from(fig),
+        "technician_scorecard": indicators.scorecard_from(tech, fig),
+        "management_snapshot": indicators.snapshot_from(fig),
     }, bases=bases)
 
 

@@ -10,6 +10,7 @@ column pruning and pushed filters straight at the Parquet scan.
 from __future__ import annotations
 
 import hashlib
+import threading
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -82,6 +83,10 @@ def silver_root(spark: SparkSession, sf_dir: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/shoplens-silver/{fp}"
 
 
+# one writer per process: concurrent callers wait for the first build
+_BUILD_LOCK = threading.RLock()
+
+
 def materialize(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
     """Derive the silver tables from ``sf_dir`` once and write them to the
     shared folder; later calls (any session on the cluster) reuse them.
@@ -89,6 +94,11 @@ def materialize(spark: SparkSession, sf_dir: str, root: str | None = None) -> st
     from shoplens.sources import adapter
 
     root = root or silver_root(spark, sf_dir)
+    with _BUILD_LOCK:
+        return _materialize(spark, sf_dir, root, adapter)
+
+
+def _materialize(spark: SparkSession, sf_dir: str, root: str, adapter) -> str:
     if all(path_exists(spark, f"{root}/{n}/_SUCCESS") for n in TABLE_NAMES):
         return root
     tables, lines = adapter.derive(spark, sf_dir, with_lines=True)
@@ -113,6 +123,11 @@ def land_documents(spark: SparkSession, sf_dir: str) -> str:
     from shoplens.sources import documents
 
     root = materialize(spark, sf_dir) + "/landed"
+    with _BUILD_LOCK:
+        return _land(spark, sf_dir, root, documents)
+
+
+def _land(spark: SparkSession, sf_dir: str, root: str, documents) -> str:
     if all(path_exists(spark, f"{root}/{d}/_SUCCESS") for d in LANDED.values()):
         return root
     shop = load_shop(spark, sf_dir)
@@ -132,7 +147,8 @@ def load_shop(spark: SparkSession, sf_dir: str) -> Shop:
     The opened DataFrames are remembered per session and input folder, so
     repeated reports skip the fingerprint and file listing."""
     key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
-    shop = _OPENED.get(key)
-    if shop is None:
-        shop = _OPENED[key] = Shop.read(spark, materialize(spark, sf_dir))
+    with _BUILD_LOCK:
+        shop = _OPENED.get(key)
+        if shop is None:
+            shop = _OPENED[key] = Shop.read(spark, materialize(spark, sf_dir))
     return shop

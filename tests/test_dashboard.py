@@ -1,0 +1,69 @@
+"""K1/K2: composite members equal the standalone reports."""
+
+from __future__ import annotations
+
+import datetime as dt
+import os
+
+import pytest
+
+from shoplens.functions.params import date_range
+from shoplens.operators import categories, indicators, missed, people, revenue
+from shoplens.plans.dashboard import dashboard_report, dashboard_snapshot
+from shoplens.sources.silver import load_shop
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+AS_OF = dt.date(2001, 8, 1)
+
+
+def _rows(df):
+    cols = sorted(df.columns)
+    key = lambda t: tuple((v is None, str(v)) for v in t)
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=key)
+
+
+@pytest.mark.parametrize("days", [30, 365])
+def test_dashboard_members_match_standalone(spark, days):
+    shop = load_shop(spark, SF)
+    p = date_range(days=days, as_of=AS_OF)
+    rep = dashboard_report(shop, days=days, basis="revenue", as_of=AS_OF)
+    try:
+        expected = {
+            "revenue": revenue.revenue(shop, p),
+            "trend": revenue.dashboard_trend(shop, p),
+            "technicians": people.technician_metrics(shop, p),
+            "advisors": people.advisor_metrics(shop, p),
+            "job_categories": categories.job_category_metrics(shop, p),
+            "missed_summary": missed.missed_revenue_summary(shop, p),
+            "missed_by_category": missed.missed_revenue_by_category(shop, p),
+            "top_declined_jobs": missed.top_declined_jobs(shop, p),
+            "comparison": revenue.period_comparison(shop, p),
+            "shop_rate": indicators.shop_rate(shop, p),
+            "alerts": indicators.alerts(shop, p),
+            "technician_scorecard": indicators.technician_scorecard(shop, p),
+            "management_snapshot": indicators.management_snapshot(shop, p),
+        }
+        assert set(rep) == set(expected)
+        for k, df in expected.items():
+            assert _rows(rep[k]) == _rows(df), k
+        trend_cols = rep["trend"].columns
+        assert ("day" in trend_cols) == (days <= 90)
+    finally:
+        rep.unpersist()
+
+
+def test_dashboard_rejects_bad_parameters(spark):
+    shop = load_shop(spark, SF)
+    with pytest.raises(ValueError):
+        dashboard_report(shop, days=14)
+    with pytest.raises(ValueError):
+        dashboard_report(shop, days=30, basis="posted")
+
+
+def test_snapshot_has_members(spark):
+    shop = load_shop(spark, SF)
+    snap = dashboard_snapshot(shop, start="2001-01-01", end="2001-06-30", as_of=AS_OF)
+    assert {"revenue", "monthly_trends", "technicians", "advisors", "job_categories",
+            "missed_summary", "missed_by_category", "top_declined_jobs"} <= set(snap)
+    assert snap["revenue"].first().start_date == "2001-01-01"
