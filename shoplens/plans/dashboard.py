@@ -30,6 +30,12 @@ class Report(dict):
         for b in self._bases:
             b.unpersist()
 
+    def write(self, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
+        """A11 report sink: every member DataFrame to ``<path>/<name>``
+        (JSON by default, any DataFrameWriter format otherwise)."""
+        for name, df in self.items():
+            df.write.mode(mode).format(fmt).save(f"{path.rstrip('/')}/{name}")
+
 
 def period_shop(shop: Shop, period: Period, basis: str,
                 storage: StorageLevel | None = StorageLevel.MEMORY_AND_DISK) -> tuple[Shop, list]:

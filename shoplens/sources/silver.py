@@ -21,10 +21,13 @@ from shoplens.session import ensure_checkpoint_dir, path_exists
 TABLE_NAMES = ("employees", "repair_orders", "jobs", "labor_lines", "parts")
 
 # Adapter version: bump when the derivation changes so stale copies are ignored.
-DERIVATION_VERSION = "1"
+DERIVATION_VERSION = "2"
 
 # Physical layout of the written copy: clustered on the key most reports
-# filter or join on, so Parquet min/max statistics prune row groups.
+# filter or join on, so Parquet min/max statistics prune row groups.  Orders
+# are also range-partitioned by day, so each file covers a span of days and
+# a period filter skips whole files.
+RANGE_KEYS = {"repair_orders": "created_day"}
 SORT_KEYS = {
     "employees": ("id",),
     "repair_orders": ("created_day",),
@@ -57,6 +60,8 @@ class Shop:
         for n in TABLE_NAMES:
             df = getattr(self, n)
             keys = [k for k in SORT_KEYS[n] if k in df.columns]
+            if RANGE_KEYS.get(n) in df.columns:
+                df = df.repartitionByRange(RANGE_KEYS[n])
             if keys:
                 df = df.sortWithinPartitions(*keys)
             df.write.mode(mode).parquet(f"{root}/{n}")

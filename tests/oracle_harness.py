@@ -9,11 +9,14 @@ about the last bit of a double.
 from __future__ import annotations
 
 import datetime as _dt
+import os
 import math
 
 import duckdb
 import pandas as pd
 
+EXACT = bool(int(os.environ.get("ORACLE_EXACT", "0")))
+
 VIEWS = ("region nation customer supplier part orders lineitem events documents "
          "embeddings pages benchmark labels conversations").split()
 
@@ -35,7 +38,7 @@ def _norm(v):
             return None
         if v == int(v) and abs(v) < 2 ** 53:
             return int(v)
-        return float(f"{v:.9g}")
+        return v if EXACT else float(f"{v:.9g}")
     if isinstance(v, _dt.datetime):
         if (v.hour, v.minute, v.second, v.microsecond) == (0, 0, 0, 0):
             return v.date().isoformat()

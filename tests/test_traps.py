@@ -43,6 +43,9 @@ def test_sunday_and_monday_are_different_weeks(make_shop):
                dict(id=2, job_id=20, hours=1.0, rate=10000, technician_id=7)])
     rows = people.technician_trend(shop, trend_window(12, "2025-08-20")).collect()
     assert sorted(r.week_start for r in rows) == ["2025-08-04", "2025-08-11"]
+    one_tech = people.technician_trend(shop, trend_window(12, "2025-08-20"), technician_id=7)
+    assert one_tech.count() == 2
+    assert people.technician_trend(shop, trend_window(12, "2025-08-20"), technician_id=8).count() == 0
 
 
 def test_trend_window_is_weeks_times_seven_inclusive(make_shop):
