@@ -20,14 +20,21 @@ from shoplens.session import ensure_checkpoint_dir, path_exists
 
 TABLE_NAMES = ("employees", "repair_orders", "jobs", "labor_lines", "parts")
 
-# Adapter version: bump when the derivation changes so stale copies are ignored.
-DERIVATION_VERSION = "2"
-
-# Physical layout of the written copy: clustered on the key most reports
-# filter or join on, so Parquet min/max statistics prune row groups.  Orders
-# are also range-partitioned by day, so each file covers a span of days and
-# a period filter skips whole files.
-RANGE_KEYS = {"repair_orders": "created_day"}
+# Adapter version: bump when the derivation or the layout changes so stale
+# copies are ignored.
+DERIVATION_VERSION = "3"
+
+# Physical layout of the written copy.  The four large tables are bucketed
+# on the key they are joined / aggregated on, so
+#   * per-job aggregates of labor lines and parts need no shuffle,
+#   * jobs meet orders bucket-to-bucket (jobs on repair_order_id, orders on id),
+#   * a join of lines with jobs shuffles only the (smaller, filtered) jobs side.
+# Inside a bucket rows are sorted on the column reports filter on, so Parquet
+# min/max statistics prune row groups.  Buckets live in the shared folder as
+# external catalog tables; a session that has not seen them registers them
+# from the layout manifest.
+BUCKET_KEYS = {"repair_orders": "id", "jobs": "repair_order_id", "labor_lines": "job_id",
+               "parts": "job_id"}
 SORT_KEYS = {
     "employees": ("id",),
     "repair_orders": ("created_day",),
@@ -35,6 +42,33 @@ SORT_KEYS = {
     "labor_lines": ("job_id",),
     "parts": ("job_id",),
 }
+LAYOUT = "_layout"
+BUCKETS_CONF = "spark.shoplens.silver.buckets"
+
+
+def table_name(root: str, name: str) -> str:
+    return f"shoplens_{hashlib.sha1(root.encode()).hexdigest()[:12]}_{name}"
+
+
+def _bucket_count(spark: SparkSession) -> int:
+    """Buckets per table: ``spark.shoplens.silver.buckets`` when set, else
+    the session's shuffle partition count (size it to the cluster)."""
+    v = spark.conf.get(BUCKETS_CONF, None) or spark.conf.get("spark.sql.shuffle.partitions")
+    return max(1, int(v))
+
+
+def _register(spark: SparkSession, root: str, name: str, buckets: int) -> DataFrame:
+    """Open a bucketed table, registering it in this session's catalog first
+    (external: the files stay where they are)."""
+    t = table_name(root, name)
+    if not spark.catalog.tableExists(t):
+        path = f"{root}/{name}"
+        schema = spark.read.parquet(path).schema
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {t} ({cols}) USING parquet "
+                  f"CLUSTERED BY ({BUCKET_KEYS[name]}) SORTED BY ({SORT_KEYS[name][0]}) "
+                  f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(t)
 
 
 @dataclass
@@ -54,17 +88,38 @@ class Shop:
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> "Shop":
-        return cls(**{n: spark.read.parquet(f"{root}/{n}") for n in TABLE_NAMES})
-
-    def write(self, root: str, mode: str = "overwrite") -> None:
+        buckets = 0
+        if path_exists(spark, f"{root}/{LAYOUT}/_SUCCESS"):
+            buckets = int(spark.read.text(f"{root}/{LAYOUT}").first()[0])
+        out = {}
+        for n in TABLE_NAMES:
+            df = None
+            if buckets and n in BUCKET_KEYS:
+                try:
+                    df = _register(spark, root, n, buckets)
+                except Exception:  # noqa: BLE001 - no usable catalog: plain files
+                    df = None
+            out[n] = df if df is not None else spark.read.parquet(f"{root}/{n}")
+        return cls(**out)
+
+    def write(self, root: str, mode: str = "overwrite", buckets: int | None = None) -> None:
+        """Write the five tables under ``root`` (bucketed when ``buckets``)."""
+        spark = self.jobs.sparkSession
         for n in TABLE_NAMES:
             df = getattr(self, n)
             keys = [k for k in SORT_KEYS[n] if k in df.columns]
-            if RANGE_KEYS.get(n) in df.columns:
-                df = df.repartitionByRange(RANGE_KEYS[n])
-            if keys:
-                df = df.sortWithinPartitions(*keys)
-            df.write.mode(mode).parquet(f"{root}/{n}")
+            if buckets and n in BUCKET_KEYS:
+                key = BUCKET_KEYS[n]
+                # one task per bucket, so each bucket is one file per write
+                (df.repartition(buckets, key).write.mode(mode)
+                 .bucketBy(buckets, key).sortBy(*keys)
+                 .option("path", f"{root}/{n}").saveAsTable(table_name(root, n)))
+            else:
+                if keys:
+                    df = df.sortWithinPartitions(*keys)
+                df.write.mode(mode).parquet(f"{root}/{n}")
+        spark.createDataFrame([(str(int(buckets or 0)),)], "value string").coalesce(1) \
+            .write.mode("overwrite").text(f"{root}/{LAYOUT}")
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str, names) -> str:
@@ -104,14 +159,14 @@ def materialize(spark: SparkSession, sf_dir: str, root: str | None = None) -> st
 
 
 def _materialize(spark: SparkSession, sf_dir: str, root: str, adapter) -> str:
-    if all(path_exists(spark, f"{root}/{n}/_SUCCESS") for n in TABLE_NAMES):
+    if all(path_exists(spark, f"{root}/{n}/_SUCCESS") for n in TABLE_NAMES + (LAYOUT,)):
         return root
     tables, lines = adapter.derive(spark, sf_dir, with_lines=True)
     # jobs, labor_lines and parts all come from the same shuffled lineitem
     # rows: keep them for the three writes instead of recomputing them.
     lines.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        Shop.of(tables).write(root)
+        Shop.of(tables).write(root, buckets=_bucket_count(spark))
     finally:
         lines.unpersist()
     return root
