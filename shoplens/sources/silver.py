@@ -10,6 +10,7 @@ column pruning and pushed filters straight at the Parquet scan.
 from __future__ import annotations
 
 import hashlib
+import json
 import threading
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ TABLE_NAMES = ("employees", "repair_orders", "jobs", "labor_lines", "parts")
 
 # Adapter version: bump when the derivation or the layout changes so stale
 # copies are ignored.
-DERIVATION_VERSION = "3"
+DERIVATION_VERSION = "4"
 
 # Physical layout of the written copy.  The four large tables are bucketed
 # on the key they are joined / aggregated on, so
@@ -88,12 +89,13 @@ class Shop:
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> "Shop":
-        buckets = 0
+        layout: dict[str, int] = {}
         if path_exists(spark, f"{root}/{LAYOUT}/_SUCCESS"):
-            buckets = int(spark.read.text(f"{root}/{LAYOUT}").first()[0])
+            layout = json.loads(spark.read.text(f"{root}/{LAYOUT}").first()[0])
         out = {}
         for n in TABLE_NAMES:
             df = None
+            buckets = int(layout.get(n, 0))
             if buckets and n in BUCKET_KEYS:
                 try:
                     df = _register(spark, root, n, buckets)
@@ -105,20 +107,27 @@ class Shop:
     def write(self, root: str, mode: str = "overwrite", buckets: int | None = None) -> None:
         """Write the five tables under ``root`` (bucketed when ``buckets``)."""
         spark = self.jobs.sparkSession
+        layout: dict[str, int] = {}
         for n in TABLE_NAMES:
             df = getattr(self, n)
             keys = [k for k in SORT_KEYS[n] if k in df.columns]
+            layout[n] = 0
             if buckets and n in BUCKET_KEYS:
                 key = BUCKET_KEYS[n]
-                # one task per bucket, so each bucket is one file per write
-                (df.repartition(buckets, key).write.mode(mode)
-                 .bucketBy(buckets, key).sortBy(*keys)
-                 .option("path", f"{root}/{n}").saveAsTable(table_name(root, n)))
-            else:
-                if keys:
-                    df = df.sortWithinPartitions(*keys)
-                df.write.mode(mode).parquet(f"{root}/{n}")
-        spark.createDataFrame([(str(int(buckets or 0)),)], "value string").coalesce(1) \
+                try:
+                    # one task per bucket, so each bucket is one file per write
+                    (df.repartition(buckets, key).write.mode(mode)
+                     .bucketBy(buckets, key).sortBy(*keys)
+                     .option("path", f"{root}/{n}").saveAsTable(table_name(root, n)))
+                    layout[n] = int(buckets)
+                    continue
+                except Exception:  # noqa: BLE001 - no usable catalog: plain files
+                    pass
+            if keys:
+                df = df.sortWithinPartitions(*keys)
+            df.write.mode(mode).parquet(f"{root}/{n}")
+        # per-table layout manifest (one tiny JSON line) for later sessions
+        spark.createDataFrame([(json.dumps(layout),)], "value string").coalesce(1) \
             .write.mode("overwrite").text(f"{root}/{LAYOUT}")
 
 

@@ -79,3 +79,20 @@ def test_period_comparison_previous_equals_revenue_of_previous_period(spark):
     cur = revenue.revenue(shop, p).first()
     assert (c.previous_ro_count, c.previous_total_sales) == (prev.ro_count, prev.total_sales)
     assert (c.current_ro_count, c.current_total_sales) == (cur.ro_count, cur.total_sales)
+
+
+@pytest.mark.parametrize("buckets", [None, 4])
+def test_silver_layouts_round_trip(spark, tmp_dir, buckets):
+    from shoplens.sources.silver import TABLE_NAMES, Shop
+
+    shop = load_shop(spark, SF)
+    root = os.path.join(tmp_dir, f"silver-{buckets}")
+    shop.write(root, buckets=buckets)
+    back = Shop.read(spark, root)
+    for n in TABLE_NAMES:
+        a, b = getattr(shop, n), getattr(back, n)
+        assert sorted(a.columns) == sorted(b.columns), n
+        assert a.exceptAll(b.select(*a.columns)).count() == 0, n
+        assert b.count() == a.count(), n
+    plan = back.labor_lines.groupBy("job_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange" not in plan) == bool(buckets)
