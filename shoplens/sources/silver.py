@@ -51,11 +51,31 @@ def table_name(root: str, name: str) -> str:
     return f"shoplens_{hashlib.sha1(root.encode()).hexdigest()[:12]}_{name}"
 
 
-def _bucket_count(spark: SparkSession) -> int:
-    """Buckets per table: ``spark.shoplens.silver.buckets`` when set, else
-    the session's shuffle partition count (size it to the cluster)."""
-    v = spark.conf.get(BUCKETS_CONF, None) or spark.conf.get("spark.sql.shuffle.partitions")
-    return max(1, int(v))
+# Target input bytes per bucket when the count is derived from the data.
+BYTES_PER_BUCKET = 128 * 1024 * 1024
+
+
+def _bucket_count(spark: SparkSession, input_bytes: int = 0) -> int:
+    """Buckets per table: ``spark.shoplens.silver.buckets`` when set; else
+    about one bucket per 128 MB of input, at least the default parallelism
+    and at most the shuffle partition count."""
+    v = spark.conf.get(BUCKETS_CONF, None)
+    if v:
+        return max(1, int(v))
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    floor = spark.sparkContext.defaultParallelism
+    by_size = -(-int(input_bytes) // BYTES_PER_BUCKET)
+    return max(1, min(cap, max(floor, by_size)))
+
+
+def _input_bytes(spark: SparkSession, sf_dir: str, names) -> int:
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    total = 0
+    for n in names:
+        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{n}.parquet")
+        total += int(p.getFileSystem(conf).getContentSummary(p).getLength())
+    return total
 
 
 def _register(spark: SparkSession, root: str, name: str, buckets: int) -> DataFrame:
@@ -175,7 +195,8 @@ def _materialize(spark: SparkSession, sf_dir: str, root: str, adapter) -> str:
     # rows: keep them for the three writes instead of recomputing them.
     lines.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        Shop.of(tables).write(root, buckets=_bucket_count(spark))
+        buckets = _bucket_count(spark, _input_bytes(spark, sf_dir, adapter.TABLES))
+        Shop.of(tables).write(root, buckets=buckets)
     finally:
         lines.unpersist()
     return root
