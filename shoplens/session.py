@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -72,17 +71,3 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(p):
         return []
     return sorted(str(s.getPath().getName()) for s in fs.listStatus(p) if s.isDirectory())
-
-
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def file_fingerprint(path: str) -> str:
-    """Cheap identity of an input path (size + mtime) for cache keys."""
-    p = local_path(path)
-    try:
-        st = os.stat(p)
-        return f"{st.st_size}-{int(st.st_mtime)}"
-    except OSError:
-        return "na"
