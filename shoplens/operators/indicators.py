@@ -8,7 +8,7 @@ subquery.  No cross join and no driver round trip.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions import exprs as X
@@ -96,15 +96,15 @@ def technician_review_flags(shop: Shop, period: Period, basis: str = "revenue")
 
 
 def review_flags_from(technicians: DataFrame) -> DataFrame:
+    """The rank runs over the final flagged rows (at most one per employee),
+    so the technician pipeline above is evaluated once."""
     tech = _flag_columns(technicians).filter("flagged")
-    order = [F.col("labor_hours").desc(), F.col("technician_name").asc(),
-             F.col("technician_id").asc()]
-    named = tech.orderBy(*order).limit(TECH_NAMED_IN_ALERT).select(
-        "technician_id", F.lit(True).alias("named_in_alert"))
-    return (tech.join(named, "technician_id", "left")
-            .select("technician_id", "technician_name", "jobs", "labor_hours",
-                    "effective_labor_rate", "average_hours_per_job", "low_rate", "long_jobs",
-                    F.coalesce(F.col("named_in_alert"), F.lit(False)).alias("named_in_alert")))
+    order = Window.orderBy(F.col("labor_hours").desc(), F.col("technician_name").asc(),
+                           F.col("technician_id").asc())
+    return tech.select(
+        "technician_id", "technician_name", "jobs", "labor_hours", "effective_labor_rate",
+        "average_hours_per_job", "low_rate", "long_jobs",
+        (F.row_number().over(order) <= TECH_NAMED_IN_ALERT).alias("named_in_alert"))
 
 
 def alerts(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
@@ -143,17 +143,30 @@ def technician_status(rate, shop_rate_col):
 
 def technician_scorecard(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
     """I5 + I4 + E4: per technician, production figures, share of the shop's
-    order labor sales and status against the shop rate.  The shop figures
-    arrive as one struct-valued scalar subquery (computed once)."""
-    return scorecard_from(people.technician_metrics(shop, period, basis, ordered=False),
-                          shop_figures(shop, period, basis))
+    order labor sales and status against the shop rate.
+
+    Shop rate = the shop's order labor sales (a cheap orders-only scalar
+    subquery) over the billed hours summed across the technician rows (a
+    window over the final rows, at most one per employee), so the technician
+    pipeline is evaluated once."""
+    labor_c = revenue.orders_in(shop, period, basis).agg(X.sum_cents("labor_sales")).scalar()
+    tech = (people.technician_metrics(shop, period, basis, ordered=False)
+            .withColumn("_shop_labor", X.dollars(labor_c))
+            .withColumn("_hours", F.coalesce(F.sum("labor_hours").over(Window.partitionBy()),
+                                              F.lit(0.0))))
+    tech = tech.withColumn("_shop", F.struct(
+        X.safe_div("_shop_labor", "_hours").alias("rate"), F.col("_shop_labor").alias("labor")))
+    return _scorecard_rows(tech)
 
 
 def scorecard_from(technicians: DataFrame, figures: DataFrame) -> DataFrame:
     fig = figures.select(F.struct(
         F.col("effective_labor_rate").alias("rate"),
         F.col("shop_labor_sales").alias("labor")).alias("s")).scalar()
-    tech = technicians.withColumn("_shop", fig)
+    return _scorecard_rows(technicians.withColumn("_shop", fig))
+
+
+def _scorecard_rows(tech: DataFrame) -> DataFrame:
     cls, label = technician_status("effective_labor_rate", F.col("_shop.rate"))
     return tech.select(
         "technician_id", "technician_name", "jobs", "labor_hours", "labor_sales",
