@@ -10,10 +10,9 @@ DuckDB oracle, see ``shoplens.plans.oracle``):
 * parts          <- one per lineitem row not returned and not in a PROMO job
 * employees      <- supplier
 
-Everything is expressed as DataFrame operators.  The lineitem side needs
-one shuffle on the job key: the job's min part / supplier and the line
-number inside the job come from a window partitioned by that key, and the
-job aggregate then reuses the same partitioning.
+Everything is expressed as DataFrame operators, and no step gathers one
+job's lines into a single task (see ``_lines``): a job with a third of all
+lines is split across partitions like any other range.
 """
 
 from __future__ import annotations
@@ -109,20 +108,42 @@ def repair_orders(orders: DataFrame) -> DataFrame:
         total.cast("long").alias("total_sales"))
 
 
+# Order of the lines inside a job (line ids follow it) and the job key.
+LINE_ORDER = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+              "l_returnflag", "l_linestatus", "l_shipdate")
+JOB = ("l_orderkey", "l_linenumber")
+
+
 def _lines(lineitem: DataFrame, part: DataFrame) -> DataFrame:
-    """Lineitem rows with their job key, the job's part type and the line's
-    position inside the job (one shuffle on the job key)."""
-    w = Window.partitionBy("l_orderkey", "l_linenumber")
-    w_pos = w.orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-                      "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    li = lineitem.select(
+    """Lineitem rows with their job key, the job's smallest part / supplier,
+    the job's part type and the line's 0-based position inside the job.
+
+    No step collects a whole job into one task, however many lines it has:
+    the rows are range-sorted on (job, line order), so a large job spans
+    several partitions; each line is ranked inside its (partition, job)
+    slice; per slice we keep its size and minima, and a prefix sum over the
+    slices of a job (at most one row per partition) turns slice ranks into
+    positions and slice minima into job minima.
+    """
+    keys = [*JOB, *LINE_ORDER]
+    s = lineitem.select(*keys).repartitionByRange(*keys).withColumn(
+        "_p", F.spark_partition_id())
+    ranked = s.withColumn(
+        "_r", F.row_number().over(Window.partitionBy("_p", *JOB).orderBy(*LINE_ORDER)) - 1)
+    slices = s.groupBy("_p", *JOB).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("l_partkey").alias("_pk"),
+        F.min("l_suppkey").alias("_sk"))
+    job_w = Window.partitionBy(*JOB)
+    before = job_w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(
+        "_p", *JOB, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+        F.min("_pk").over(job_w).alias("pk"), F.min("_sk").over(job_w).alias("sk"))
+    li = ranked.join(slices, ["_p", *JOB], "inner").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         "l_returnflag", "l_linestatus",
         (F.col("l_orderkey") * JOB_KEY_FACTOR + F.col("l_linenumber")).alias("job_id"),
         idiv(cents(F.col("l_extendedprice")), 100).alias("lb"),
-        F.min("l_partkey").over(w).alias("pk"),
-        F.min("l_suppkey").over(w).alias("sk"),
-        (F.row_number().over(w_pos) - 1).alias("pos"))
+        "pk", "sk", (F.col("_r") + F.col("_off")).alias("pos"))
     p = part.select(F.col("p_partkey").alias("pk"), "p_type", "p_name")
     jid = F.col("job_id")
     category = (F.when(jid % 23 == 0, F.lit("Courtesy"))
@@ -136,8 +157,8 @@ def _lines(lineitem: DataFrame, part: DataFrame) -> DataFrame:
 def jobs(lines: DataFrame) -> DataFrame:
     jid = F.col("id")
     ptype = F.col("p_type")
-    # Grouping on the window's own key reuses its shuffle; the other job
-    # attributes are constant inside a job.
+    # The other job attributes are constant inside a job; the aggregate is
+    # partial (map-side), so a large job is combined before the shuffle.
     g = lines.groupBy("l_orderkey", "l_linenumber").agg(
         *[F.any_value(c).alias(c) for c in ("job_id", "pk", "sk", "p_type", "p_name", "category")],
         F.sum("lb").alias("lb"), F.sum("l_quantity").alias("qty"))

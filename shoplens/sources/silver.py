@@ -23,7 +23,7 @@ TABLE_NAMES = ("employees", "repair_orders", "jobs", "labor_lines", "parts")
 
 # Adapter version: bump when the derivation or the layout changes so stale
 # copies are ignored.
-DERIVATION_VERSION = "4"
+DERIVATION_VERSION = "5"
 
 # Physical layout of the written copy.  The four large tables are bucketed
 # on the key they are joined / aggregated on, so

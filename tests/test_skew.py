@@ -8,6 +8,7 @@ import datetime as dt
 import random
 
 import pandas as pd
+from pyspark.sql import functions as F
 import pytest
 
 from conftest import order
@@ -69,3 +70,31 @@ def test_category_metrics_under_skew(make_shop, skewed):
         assert r.parts_cost == pytest.approx(cost.reindex(g.id).fillna(0).sum() / 100.0)
         assert r.parts_row_count == int(rows.reindex(g.id).fillna(0).sum())
     assert sum(r.percent_of_shop_revenue for r in got.values()) == pytest.approx(100.0)
+
+
+def test_adapter_line_positions_for_a_hot_job(spark):
+    """One (order, line number) holds most lineitem rows and spans several
+    range partitions: positions must still be 0..n-1 in line order."""
+    from shoplens.sources import adapter
+
+    rnd = random.Random(3)
+    rows = []
+    for k in range(400):
+        hot = k < 300
+        rows.append((1 if hot else 2 + k % 40, 1 if hot else 1 + k % 7, 1000 - k, 5 + k % 9,
+                     float(1 + k % 50), 100.0 + k, 0.05, 0.01, "N", "O",
+                     dt.datetime(2000, 1, 1)))
+    rnd.shuffle(rows)
+    li = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, "
+                               "l_suppkey long, l_quantity double, l_extendedprice double, "
+                               "l_discount double, l_tax double, l_returnflag string, "
+                               "l_linestatus string, l_shipdate timestamp_ntz").repartition(4)
+    part = spark.range(0, 2000).select(F.col("id").alias("p_partkey"),
+                                       F.lit("STANDARD").alias("p_type"),
+                                       F.lit("x").alias("p_name"))
+    lines = adapter._lines(li, part).toPandas()
+    assert len(lines) == 400
+    for (o, ln), g in lines.groupby(["l_orderkey", "l_linenumber"]):
+        g = g.sort_values("l_partkey")   # unique here, so it fixes the line order
+        assert list(g.pos) == list(range(len(g)))
+        assert (g.pk == g.l_partkey.min()).all() and (g.sk == g.l_suppkey.min()).all()
