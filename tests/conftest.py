@@ -23,8 +23,9 @@ def spark():
         b = b.config(k, v)
     s = b.getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="shoplens-test-ckpt-"))
+    from shoplens.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(s)     # uses spark.checkpoint.dir, or a private folder if unset
     yield s
 
 
