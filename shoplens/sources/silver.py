@@ -1,9 +1,12 @@
 """Silver tables: the five typed business tables every report reads.
 
-A :class:`Shop` is just five DataFrames.  ``materialize`` writes them as
-Parquet under the cluster's shared ``spark.checkpoint.dir`` (cutting the
+A :class:`Shop` is just five DataFrames.  ``materialize`` writes them once
+under the cluster's shared ``spark.checkpoint.dir`` (cutting the
 derivation's lineage, so a lost executor re-reads files instead of
-recomputing the derivation) and ``Shop.read`` reopens them; reports then get
+recomputing the derivation): the four large tables bucketed on their join
+keys as external catalog tables, employees as plain Parquet.  ``Shop.read``
+reopens them in any session (registering the bucketed tables from the
+layout manifest); reports then get bucket-local joins and aggregates,
 column pruning and pushed filters straight at the Parquet scan.
 """
 
