@@ -9,7 +9,7 @@ import pytest
 
 from shoplens.functions.params import date_range
 from shoplens.operators import categories, indicators, missed, people, revenue
-from shoplens.plans.dashboard import dashboard_report, dashboard_snapshot
+from shoplens.plans.composites import dashboard_report, dashboard_snapshot
 from shoplens.sources.silver import load_shop
 
 SF = "/root/testdata/sf0.001"

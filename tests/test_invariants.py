@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.params import Period, date_range
 from shoplens.operators import categories, missed, revenue
-from shoplens.plans.dashboard import dashboard_report
+from shoplens.plans.composites import dashboard_report
 from shoplens.sources.silver import load_shop
 
 SF = "/root/testdata/sf0.001"
