@@ -15,8 +15,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not p
 
 
 def _keys():
-    import __spark_entry__ as E
-    return sorted(E.queries())
+    from shoplens.plans import registry
+    return sorted(registry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +26,8 @@ def duck():
 
 def test_every_key_has_oracle():
     import __spark_entry__ as E
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(_keys()) <= set(E.queries()) and set(_keys()) <= set(E.oracle_sql())
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_entry_smoke(spark):
