@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import null_safe_semi, saved, with_group_totals
+from .common import fresh, null_safe_semi, saved, with_group_totals
 
 #: A chunk ends after 512 or more characters where a word that ends in d, s, t or y is followed
 #: by one that starts with a to f, and at 8192 characters at the latest.
@@ -84,8 +84,9 @@ def _verified(src: DataFrame, marked: DataFrame, store: DataFrame, id_bits: int)
     variants = saved(
         store.join(shared_ids, "chunk_id", "left_semi")
         .select("chunk_id", "chunk", F.sha2("chunk", 256).alias("variant")), "variants")
-    texts = null_safe_semi(src, marked.filter("group_size > 1"), ["doc_id"])
-    rows = (texts.select("doc_id", F.sha2("norm", 256).alias("text_sha256"),
+    texts = null_safe_semi(src.withColumn("text_sha256", F.sha2("norm", 256)), marked.filter("group_size > 1"),
+                           ["doc_id", "text_sha256"])
+    rows = (texts.select("doc_id", "text_sha256",
                          F.posexplode(chunks(F.col("norm"))).alias("pos", "chunk"))
             .withColumn("chunk_id", _identifier(F.col("chunk"), id_bits))
             .join(variants, ["chunk_id", "chunk"], "left")
@@ -103,14 +104,14 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The documents that :func:`exact_dedup` keeps, with all their columns."""
     verdict = exact_dedup(docs, id_col, text_col).filter("kept").select(
         F.col("doc_id").alias("_kid"), F.col("text_sha256").alias("_ksha"))
-    tagged = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    kept = tagged.join(verdict, tagged[id_col].eqNullSafe(verdict["_kid"]) & (tagged["_sha"] == verdict["_ksha"]),
-                       "left_semi")
+    sha = fresh(docs, "sha")
+    tagged = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
+    kept = tagged.join(verdict, tagged[id_col].eqNullSafe(verdict["_kid"]) & (tagged[sha] == verdict["_ksha"]), "left_semi")
     # rows repeated with one id are one document; only such rows are compared
-    again = docs.groupBy(F.col(id_col).alias("_kid")).count().filter("count > 1").select("_kid")
-    again = saved(again, "repeated")
+    again = saved(docs.groupBy(F.col(id_col).alias("_kid")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_kid"),
+                  "repeated")
     if again.isEmpty():
-        return kept.drop("_sha")
+        return kept.drop(sha)
     once = kept.join(again, kept[id_col].eqNullSafe(again["_kid"]), "left_anti")
-    more = kept.join(again, kept[id_col].eqNullSafe(again["_kid"]), "left_semi").dropDuplicates([id_col, "_sha"])
-    return once.unionByName(more).drop("_sha")
+    more = kept.join(again, kept[id_col].eqNullSafe(again["_kid"]), "left_semi").dropDuplicates([id_col, sha])
+    return once.unionByName(more).drop(sha)

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, fresh, saved
 
 SECTIONS, ROUNDS = 16, 9
 
@@ -133,8 +133,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     mix has it (a document that the mix leaves out is not returned)."""
     mix = mixture(docs, id_col=id_col, **options)
     times = saved(mix.groupBy(F.col("doc_id").alias("_mid")).agg((F.max("epoch") + 1).alias("_times")), "times")
-    names = docs.columns
-    # most documents appear as often as their source has whole epochs; the rest of the join is by id
     joined = docs.join(times, docs[id_col].eqNullSafe(times["_mid"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(
-        *[docs[c] for c in names])
+    copy = fresh(docs, "copy")
+    return joined.select(*[docs[c] for c in docs.columns],
+                         F.explode(F.sequence(F.lit(1), times["_times"])).alias(copy)).drop(copy)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, packing, toxicity
+from . import embedding, exact_dedup, licences, minhash, mixing, packing, sharding, substring, suffix, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,15 +28,35 @@ def op2_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op4_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_spherical_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op6_two_stage_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_sentence_rule_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,8 +68,9 @@ MIX = {"target_entropy": 0.97, "max_repeats": 4.0, "budget": None, "block_tokens
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    ops = [op1_temperature_mixing, op2_chunk_recipe_dedup, op4_compression_toxicity, op8_bin_completion_packing,
-           op10_order_minhash]
+    ops = [op1_temperature_mixing, op2_chunk_recipe_dedup, op3_label_propagation_shards, op4_compression_toxicity,
+           op5_spherical_cap_filters, op6_two_stage_suffix_sort, op7_seed_and_extend, op8_bin_completion_packing,
+           op9_sentence_rule_licences, op10_order_minhash]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
