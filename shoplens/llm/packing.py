@@ -70,7 +70,7 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         split = [self._parts_of(w) for w in words]
-        new = list(set().union(*split) - self.parts.keys())
+        new = [p for p in set().union(*split) if p not in self.parts]
         some = [new[i:i + 100] for i in range(0, len(new), 100)]
         for ps, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(ps) for ps in some],
                                                                 add_special_tokens=False)):
@@ -92,8 +92,8 @@ class Encoder:
             self.parts.clear()
         known = self.words
         split = [None if self.odd(t) or "<|" in t else t.lower().split() for t in texts]
-        if new := set().union(*[ws for ws in split if ws]) - known.keys():
-            self._learn(list(new))
+        if new := [w for w in set().union(*[ws for ws in split if ws]) if w not in known]:
+            self._learn(new)
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None
                 else b"".join([known[w] for w in ws]) for t, ws in zip(texts, split)]
 

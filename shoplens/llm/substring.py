@@ -81,7 +81,7 @@ class Words:
         words, known = self.find(text), self.known
         if len(known) > 500_000:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in [w for w in set(words) if w not in known]:
             known[w] = self.hash(w.encode("utf-8", "surrogatepass"))
         return words, _mix(np.array([known[w] for w in words], np.uint64))
 

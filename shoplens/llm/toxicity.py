@@ -56,21 +56,24 @@ class Windows:
     def __init__(self, toxic: list[str], ordinary: list[str]):
         self.compressors = _compressor(toxic), _compressor(ordinary)
         self.base = [len(c.compress(b"  " + PAD)) for c in self.compressors]
-        self.cells: dict[str, int] = {}
+        self.cells: dict[str, int] = {}  # by word as it stands
+        self.bare: dict[str, int] = {"": -1}  # by word without punctuation
 
     def _cell(self, raw: str) -> int:
         word = raw.strip(_EDGES)
-        if not word:
-            return -1
+        if word in self.bare:
+            return self.bare[word]
         window = b" " + word.encode("utf-8", "replace") + b" " + PAD
         x, y = (min(max(len(c.compress(window)) - b, 0), CELLS - 1) for c, b in zip(self.compressors, self.base))
-        return x * CELLS + y
+        self.bare[word] = x * CELLS + y
+        return self.bare[word]
 
     def histogram(self, text: str) -> np.ndarray:
         if len(self.cells) > 1_000_000:
             self.cells.clear()
+            self.bare = {"": -1}
         known, raw = self.cells, text.lower().split()
-        for w in set(raw) - known.keys():
+        for w in [w for w in set(raw) if w not in known]:
             known[w] = self._cell(w)
         found = np.array([known[w] for w in raw], np.int64) + 1
         return np.bincount(found, minlength=CELLS * CELLS + 1)[1:]
