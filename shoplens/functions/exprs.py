@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.params import Period
@@ -59,6 +59,19 @@ def in_period(day_col, period: Period) -> Column:
     return col(day_col).between(F.lit(period.start), F.lit(period.end))
 
 
+#: Partition column of the large tables: year * 100 + month of the posted day.
+MONTH_PARTITION = "posted_month"
+
+
+def period_rows(df: DataFrame, day: str, period: Period) -> DataFrame:
+    """Rows whose day column lies in the period.  On the posted basis the month
+    partitions are restricted too, where the table has them."""
+    df = df.filter(in_period(day, period))
+    if day == "posted_day" and MONTH_PARTITION in df.columns:
+        df = df.filter(F.col(MONTH_PARTITION).between(*[F.lit(d.year * 100 + d.month) for d in (period.start, period.end)]))
+    return df
+
+
 def on_or_after(day_col, day: _dt.date) -> Column:
     return col(day_col) >= F.lit(day)
 

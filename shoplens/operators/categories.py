@@ -1,18 +1,18 @@
 """Profit by job category with cost-based parts margin.
 
-Parts and labor lines are aggregated per job *before* they meet the job
-row (a job with three parts and two labor lines must not be counted six
-times).  Both pre-aggregates are partial aggregations keyed by job id.
+The period comes first: parts and labor lines are restricted to it by their own
+day columns, at the scan, then aggregated per job *before* they meet the job row (a job with
+three parts and two labor lines must not be counted six times).  Both
+pre-aggregates are partial aggregations keyed by job id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions import exprs as X
 from shoplens.functions.params import Period, validate_basis
-from shoplens.operators.revenue import orders_in
 from shoplens.sources.silver import Shop
 
 JOB_MONEY = (
@@ -24,24 +24,25 @@ JOB_MONEY = (
 )
 
 
-def parts_cost_per_job(shop: Shop) -> DataFrame:
-    """sum(cost x quantity) in cents and the part-row count per job."""
-    return shop.parts.groupBy("job_id").agg(
-        F.sum(F.coalesce(F.col("cost"), F.lit(0)) * F.coalesce(F.col("quantity"), F.lit(0.0)))
-        .alias("parts_cost"),
+def parts_cost_per_job(shop: Shop, parts: DataFrame | None = None) -> DataFrame:
+    """sum(cost x quantity) in cents (exact) and the part-row count per
+    job, of the given part rows or of all."""
+    cost = F.coalesce(F.col("cost"), F.lit(0)).cast("decimal(14,0)") * F.coalesce(
+        F.col("quantity"), F.lit(0.0)).cast("decimal(14,4)")
+    return (shop.parts if parts is None else parts).groupBy("job_id").agg(
+        F.sum(cost).cast("double").alias("parts_cost"),
         F.count(F.lit(1)).alias("parts_row_count"))
 
 
-def labor_hours_per_job(shop: Shop) -> DataFrame:
-    """Billed hours per job."""
-    return shop.labor_lines.groupBy("job_id").agg(
+def labor_hours_per_job(shop: Shop, lines: DataFrame | None = None) -> DataFrame:
+    """Billed hours per job, of the given labor lines or of all."""
+    return (shop.labor_lines if lines is None else lines).groupBy("job_id").agg(
         F.sum(F.coalesce(F.col("hours"), F.lit(0.0))).alias("labor_hours"))
 
 
 def sold_jobs_in(shop: Shop, period: Period, basis: str) -> DataFrame:
     """Authorized, not archived jobs on orders in the period."""
-    orders = orders_in(shop, period, basis).select(F.col("id").alias("repair_order_id"))
-    return shop.jobs.filter(X.sold()).join(orders, "repair_order_id", "left_semi")
+    return shop.of_period("jobs", period, basis).filter(X.sold())
 
 
 def job_category_metrics(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
@@ -56,8 +57,8 @@ def job_category_metrics(shop: Shop, period: Period, basis: str = "revenue") ->
     jobs = sold_jobs_in(shop, period, basis).select(
         F.col("id").alias("job_id"), "repair_order_id",
         X.category_label().alias("category"), *[c for c, _ in JOB_MONEY])
-    base = (jobs.join(parts_cost_per_job(shop), "job_id", "left")
-            .join(labor_hours_per_job(shop), "job_id", "left"))
+    base = (jobs.join(parts_cost_per_job(shop, shop.of_period("parts", period, basis)), "job_id", "left")
+            .join(labor_hours_per_job(shop, shop.of_period("labor_lines", period, basis)), "job_id", "left"))
     sums = [F.sum(c).alias(c) for c, _ in JOB_MONEY] + [
         F.sum("parts_cost").alias("parts_cost"), F.sum("parts_row_count").alias("parts_row_count"),
         F.sum("labor_hours").alias("labor_hours")]
@@ -73,14 +74,11 @@ def job_category_metrics(shop: Shop, period: Period, basis: str = "revenue") ->
         *[X.dollars(c).alias(n) for c, n in JOB_MONEY],
         (F.coalesce(F.col("parts_cost"), F.lit(0.0)) / F.lit(100.0)).alias("parts_cost"),
         F.coalesce(F.col("parts_row_count"), F.lit(0)).cast("long").alias("parts_row_count"),
-        F.coalesce(F.col("labor_hours"), F.lit(0.0)).alias("labor_hours"),
-        F.coalesce(F.col("subtotal"), F.lit(0)).alias("net_c"))
+        F.coalesce(F.col("labor_hours"), F.lit(0.0)).alias("labor_hours"))
     has_cost = F.col("parts_row_count") > 0
     margin = F.when(has_cost, F.col("parts_revenue") - F.col("parts_cost"))
-    # Share of the shop's net revenue.  The total is a window over the
-    # final category rows (one row per category label, a few dozen), so the
-    # join/aggregate pipeline above runs once.
-    shop_net_c = F.sum("net_c").over(Window.partitionBy())
+    # Share of the shop's net revenue, a scalar over the sold jobs alone
+    shop_net_c = sold_jobs_in(shop, period, basis).agg(F.sum("subtotal")).scalar()
     return out.select(
         "category", "job_count", "ro_count", "labor_revenue", "parts_revenue", "discounts",
         "fees", "net_revenue", "parts_cost", "parts_row_count", "labor_hours",

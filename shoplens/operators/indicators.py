@@ -8,7 +8,7 @@ subquery.  No cross join and no driver round trip.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions import exprs as X
@@ -96,15 +96,14 @@ def technician_review_flags(shop: Shop, period: Period, basis: str = "revenue")
 
 
 def review_flags_from(technicians: DataFrame) -> DataFrame:
-    """The rank runs over the final flagged rows (at most one per employee),
-    so the technician pipeline above is evaluated once."""
+    """The three named ones are a top-k of their own, joined back by id."""
     tech = _flag_columns(technicians).filter("flagged")
-    order = Window.orderBy(F.col("labor_hours").desc(), F.col("technician_name").asc(),
-                           F.col("technician_id").asc())
-    return tech.select(
+    named = (tech.orderBy(F.col("labor_hours").desc(), F.col("technician_name").asc(), F.col("technician_id").asc())
+             .limit(TECH_NAMED_IN_ALERT).select("technician_id", F.lit(True).alias("named")))
+    return tech.join(named, "technician_id", "left").select(
         "technician_id", "technician_name", "jobs", "labor_hours", "effective_labor_rate",
         "average_hours_per_job", "low_rate", "long_jobs",
-        (F.row_number().over(order) <= TECH_NAMED_IN_ALERT).alias("named_in_alert"))
+        F.coalesce("named", F.lit(False)).alias("named_in_alert"))
 
 
 def alerts(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
@@ -145,15 +144,12 @@ def technician_scorecard(shop: Shop, period: Period, basis: str = "revenue") ->
     """I5 + I4 + E4: per technician, production figures, share of the shop's
     order labor sales and status against the shop rate.
 
-    Shop rate = the shop's order labor sales (a cheap orders-only scalar
-    subquery) over the billed hours summed across the technician rows (a
-    window over the final rows, at most one per employee), so the technician
-    pipeline is evaluated once."""
+    Shop rate = the shop's order labor sales over the billed hours of all
+    technicians; both are scalar subqueries (partial aggregates of one row)."""
     labor_c = revenue.orders_in(shop, period, basis).agg(X.sum_cents("labor_sales")).scalar()
-    tech = (people.technician_metrics(shop, period, basis, ordered=False)
-            .withColumn("_shop_labor", X.dollars(labor_c))
-            .withColumn("_hours", F.coalesce(F.sum("labor_hours").over(Window.partitionBy()),
-                                              F.lit(0.0))))
+    tech = people.technician_metrics(shop, period, basis, ordered=False)
+    hours = tech.agg(F.coalesce(F.sum("labor_hours"), F.lit(0.0))).scalar()
+    tech = tech.withColumn("_shop_labor", X.dollars(labor_c)).withColumn("_hours", hours)
     tech = tech.withColumn("_shop", F.struct(
         X.safe_div("_shop_labor", "_hours").alias("rate"), F.col("_shop_labor").alias("labor")))
     return _scorecard_rows(tech)

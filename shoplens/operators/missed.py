@@ -19,8 +19,7 @@ DEFAULT_JOB_LIMIT = 50
 
 
 def _open_jobs(shop: Shop, period: Period, basis: str) -> DataFrame:
-    orders = orders_in(shop, period, basis).select(F.col("id").alias("repair_order_id"))
-    return shop.jobs.filter(X.not_archived()).join(orders, "repair_order_id", "left_semi")
+    return shop.of_period("jobs", period, basis).filter(X.not_archived())
 
 
 def _split_sums(df: DataFrame, *keys) -> DataFrame:
@@ -73,7 +72,7 @@ def top_declined_jobs(shop: Shop, period: Period, basis: str = "revenue",
     orders = orders_in(shop, period, basis).select(
         F.col("id").alias("repair_order_id"), F.col("repair_order_number").alias("ro_number"),
         F.col(raw).alias("report_date"), F.col("service_writer_id"))
-    top = (shop.jobs.filter(X.declined())
+    top = (shop.of_period("jobs", period, basis).filter(X.declined())
            .join(orders, "repair_order_id", "inner")
            .select(F.col("id").alias("job_id"), F.col("name").alias("job_name"),
                    X.category_label().alias("category"), "subtotal", "ro_number",

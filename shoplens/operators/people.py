@@ -1,12 +1,12 @@
 """Technician and advisor reports.
 
-Skew / fan-out policy: labor lines are first aggregated per (job,
-technician).  That pre-aggregation (a) is what makes "distinct jobs per
-technician" a plain count, with no Expand-based distinct plan, and (b) is a
-partial aggregate, so a technician or job holding a third of all lines is
-collapsed map-side before anything is shuffled.  Employees are joined last,
-after the big sides are reduced to one row per technician; Spark's
-size-checked broadcast (AQE) decides whether that join broadcasts.
+Order of work: the period restricts the labor lines by their own day columns, at
+the scan, before anything is aggregated.  What is left is aggregated per (job, technician),
+which makes "distinct jobs per technician" a plain count, and then per
+technician (or technician and week); either level has a map-side part, so a
+technician holding a third of all lines is a row per task before the shuffle.
+Employees are joined last, to one row per technician; Spark's size check
+decides whether that join broadcasts.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions import exprs as X
-from shoplens.functions.params import Period, basis_column, validate_basis
+from shoplens.functions.params import Period, basis_column, check_technician_id, validate_basis
 from shoplens.operators.revenue import orders_in
 from shoplens.sources.silver import Shop
 
@@ -23,22 +23,22 @@ from shoplens.sources.silver import Shop
 TREND_THRESHOLD = 0.05
 
 
-def labor_by_job_technician(shop: Shop, technician_id: int | None = None) -> DataFrame:
-    """Per (job, technician): billed hours and hours x rate (cents)."""
-    ll = shop.labor_lines
-    if technician_id is not None:
-        ll = ll.filter(F.col("technician_id") == F.lit(int(technician_id)))
-    return ll.groupBy("job_id", "technician_id").agg(
-        F.sum("hours").alias("hours"),
-        F.sum(F.col("hours") * F.col("rate")).alias("sales_c"))
+def line_sales(hours: str = "hours", rate: str = "rate"):
+    """Hours x rate in cents, exact: its sums do not depend on partitioning."""
+    return F.col(hours).cast("decimal(14,4)") * F.col(rate).cast("decimal(14,0)")
+
 
+def _work(lines: DataFrame, *by: str) -> DataFrame:
+    """Per (job, technician, ...): billed hours and hours x rate (cents)."""
+    return lines.groupBy("job_id", "technician_id", *by).agg(
+        F.sum("hours").alias("hours"), F.sum(line_sales()).alias("sales_c"))
 
-def period_job_ids(shop: Shop, period: Period, basis: str) -> DataFrame:
-    """Ids of jobs whose order falls in the period (semi join: order ids are
-    the primary key, so this is the inner join without its payload)."""
-    orders = orders_in(shop, period, basis).select(F.col("id").alias("repair_order_id"))
-    return (shop.jobs.select(F.col("id").alias("job_id"), "repair_order_id")
-            .join(orders, "repair_order_id", "left_semi").select("job_id"))
+
+def _per(work: DataFrame, *by: str) -> DataFrame:
+    return work.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("jobs"),
+        F.coalesce(F.sum("hours"), F.lit(0.0)).alias("labor_hours"),
+        (F.coalesce(F.sum("sales_c").cast("double"), F.lit(0.0)) / F.lit(100.0)).alias("labor_sales"))
 
 
 def _technician_rates(df: DataFrame) -> DataFrame:
@@ -55,14 +55,9 @@ def technician_metrics(shop: Shop, period: Period, basis: str = "revenue",
     per-job averages.  Labor without a known employee is dropped (inner
     join), no authorized/archived filter."""
     validate_basis(basis)
-    per_job = labor_by_job_technician(shop).join(
-        period_job_ids(shop, period, basis), "job_id", "left_semi")
+    lines = shop.of_period("labor_lines", period, basis).filter("technician_id is not null")
     emp = shop.employees.select(F.col("id").alias("technician_id"), "first_name", "last_name")
-    g = (per_job.join(emp, "technician_id", "inner")
-         .groupBy("technician_id", "first_name", "last_name")
-         .agg(F.count(F.lit(1)).alias("jobs"),
-              F.coalesce(F.sum("hours"), F.lit(0.0)).alias("labor_hours"),
-              F.coalesce(F.sum("sales_c") / F.lit(100.0), F.lit(0.0)).alias("labor_sales")))
+    g = _per(_work(lines), "technician_id").join(emp, "technician_id")
     out = _technician_rates(g.select("technician_id", X.display_name().alias("technician_name"),
                                      "jobs", "labor_hours", "labor_sales"))
     # report order: most billed hours first, then name
@@ -75,17 +70,11 @@ def technician_trend(shop: Shop, window: Period, basis: str = "revenue",
     the trailing window; one technician when ``technician_id`` is given,
     else every technician at once.  No employee join (unknown ids kept)."""
     day = basis_column(basis)
-    orders = orders_in(shop, window, basis).select(
-        F.col("id").alias("repair_order_id"), X.week_start(day).alias("week"))
-    jobs = shop.jobs.select(F.col("id").alias("job_id"), "repair_order_id").join(
-        orders, "repair_order_id", "inner")
-    per_job = labor_by_job_technician(shop, technician_id).filter(
-        F.col("technician_id").isNotNull())
-    g = (per_job.join(jobs, "job_id", "inner")
-         .groupBy("technician_id", "week")
-         .agg(F.count(F.lit(1)).alias("jobs"),
-              F.coalesce(F.sum("hours"), F.lit(0.0)).alias("labor_hours"),
-              F.coalesce(F.sum("sales_c") / F.lit(100.0), F.lit(0.0)).alias("labor_sales")))
+    lines = shop.of_period("labor_lines", window, basis).filter("technician_id is not null")
+    if technician_id is not None:
+        lines = lines.filter(F.col("technician_id") == F.lit(check_technician_id(technician_id)))
+    lines = lines.withColumn("week", X.week_start(day))
+    g = _per(_work(lines, "week"), "technician_id", "week")
     out = g.select(
         "technician_id", X.day_text("week").alias("week_start"), "jobs", "labor_hours",
         "labor_sales",

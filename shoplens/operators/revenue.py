@@ -29,7 +29,7 @@ ORDER_MONEY = (
 
 def orders_in(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
     """Orders whose basis day lies in the period (NULL / malformed drop)."""
-    return shop.repair_orders.filter(X.in_period(basis_column(basis), period))
+    return shop.of_period("repair_orders", period, basis)
 
 
 def _cents_sums(prefix: str = "") -> list[Column]:

@@ -1,9 +1,9 @@
 """Composite reports (K1 dashboard response, K2 snapshot, K3 missed work).
 
-The composite filters orders (and the jobs / labor lines of those orders)
-by the reporting period once and persists that base, so the ten member
-reports share one scan instead of re-reading the tables; the period
-comparison covers both periods in a single pass.
+The members share one base: the tables restricted to the reporting period (and
+the one before it, for the comparison).  Every table carries the days of its
+order, so the restriction prunes partitions at the scan and needs no stored
+copy; only small results that several members use are persisted.
 """
 
 from __future__ import annotations
@@ -12,11 +12,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.functions.params import (Period, basis_column, check_days, date_range,
-                                       validate_basis)
-from shoplens.functions import exprs as X
+from shoplens.functions.params import Period, check_days, date_range, validate_basis
 from shoplens.operators import categories, indicators, missed, people, revenue
-from shoplens.sources.silver import Shop
+from shoplens.sources.silver import TABLE_NAMES, Shop
 
 
 class Report(dict):
@@ -37,23 +35,9 @@ class Report(dict):
             df.write.mode(mode).format(fmt).save(f"{path.rstrip('/')}/{name}")
 
 
-def period_shop(shop: Shop, period: Period, basis: str,
-                storage: StorageLevel | None = StorageLevel.MEMORY_AND_DISK) -> tuple[Shop, list]:
-    """A Shop restricted to orders of the period (plus the previous period
-    of the same length, for the comparison) and their jobs / lines."""
-    day = basis_column(basis)
-    both = Period(period.previous().start, period.end)
-    orders = shop.repair_orders.filter(X.in_period(day, both))
-    ids = orders.select(F.col("id").alias("repair_order_id"))
-    jobs = shop.jobs.join(ids, "repair_order_id", "left_semi")
-    job_ids = jobs.select(F.col("id").alias("job_id"))
-    labor = shop.labor_lines.join(job_ids, "job_id", "left_semi")
-    parts = shop.parts.join(job_ids, "job_id", "left_semi")
-    bases = []
-    if storage is not None:
-        orders, jobs, labor, parts = (d.persist(storage) for d in (orders, jobs, labor, parts))
-        bases = [orders, jobs, labor, parts]
-    return Shop(shop.employees, orders, jobs, labor, parts), bases
+def period_shop(shop: Shop, period: Period, basis: str) -> Shop:
+    """A Shop restricted to orders of the period and their jobs and lines."""
+    return Shop(shop.employees, *[shop.of_period(n, period, basis) for n in TABLE_NAMES[1:]])
 
 
 def dashboard_report(shop: Shop, days: int = 30, basis: str = "revenue", as_of=None,
@@ -65,7 +49,7 @@ def dashboard_report(shop: Shop, days: int = 30, basis: str = "revenue", as_of=N
     validate_basis(basis)
     period = date_range(days=days, as_of=as_of)
     storage = StorageLevel.MEMORY_AND_DISK if cache else None
-    ps, bases = period_shop(shop, period, basis, storage)
+    ps, bases = period_shop(shop, Period(period.previous().start, period.end), basis), []
     # small shared results: computed once, reused by the indicator members
     tech = people.technician_metrics(ps, period, basis, ordered=False)
     trend = revenue.dashboard_trend(ps, period, basis)
@@ -99,6 +83,7 @@ def dashboard_snapshot(shop: Shop, start=None, end=None, basis: str = "revenue",
     and missed work for an explicit range."""
     period = date_range(start, end, as_of=as_of)
     validate_basis(basis)
+    shop = period_shop(shop, period, basis)
     return Report({
         "revenue": revenue.revenue(shop, period, basis),
         "monthly_trends": revenue.monthly_trends(shop, period, basis),

@@ -69,9 +69,8 @@ _li AS (
     CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) // 100 AS lb,
     min(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber) AS pk,
     min(l_suppkey) OVER (PARTITION BY l_orderkey, l_linenumber) AS sk,
-    row_number() OVER (PARTITION BY l_orderkey, l_linenumber
-      ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
-               l_returnflag, l_linestatus, l_shipdate) - 1 AS pos
+    row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
+               l_returnflag, l_linestatus, l_shipdate) - 1 AS line_id
   FROM lineitem
 ),
 _lines AS (
@@ -114,7 +113,7 @@ jobs AS (
   FROM _jobs
 ),
 labor_lines AS (
-  SELECT job_id * 16 + pos AS id, job_id, CAST(NULL AS VARCHAR) AS name,
+  SELECT line_id AS id, job_id, CAST(NULL AS VARCHAR) AS name,
     CAST(8500 + (l_suppkey % 5) * 1000 + (l_partkey % 50) * 20 AS BIGINT) AS rate,
     l_quantity / 16.0 AS hours,
     CAST(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS INTEGER) AS complete,
@@ -122,7 +121,7 @@ labor_lines AS (
   FROM _lines
 ),
 parts AS (
-  SELECT job_id * 16 + pos AS id, job_id, l_quantity AS quantity,
+  SELECT line_id AS id, job_id, l_quantity AS quantity,
     CAST(NULL AS VARCHAR) AS brand, CAST(NULL AS VARCHAR) AS name,
     CAST(l_partkey AS VARCHAR) AS part_number, CAST(NULL AS VARCHAR) AS description,
     (lb * 6 * length(p_type)) // (CAST(l_quantity AS BIGINT) * 100) AS cost,

@@ -23,8 +23,11 @@ from shoplens.sources.silver import Shop, land_documents, load_shop
 
 # Fixed report parameters of the registered queries.
 AS_OF = _dt.date(2001, 8, 1)                       # last order day of the test data
-HISTORY = Period(_dt.date(1995, 1, 1), AS_OF)      # the whole history
+# the whole history: orders are posted and completed some days after the last order day
+HISTORY = Period(_dt.date(1995, 1, 1), _dt.date(2001, 12, 31))
 YEAR = date_range(days=365, as_of=AS_OF)           # dashboard 365-day period
+QUARTER = date_range(days=90, as_of=AS_OF)         # longest period with a daily trend
+ONE_TECHNICIAN = 5                                 # the technician of the single-technician trend
 TREND_WEEKS = 52
 TREND = trend_window(TREND_WEEKS, AS_OF)
 SYNC_WINDOW = ingest_window(AS_OF)                 # previous 12 months
@@ -78,6 +81,13 @@ def _landed(fn) -> Query:
 
 
 # ----------------------------------------------------------- ingest queries
+def with_orphans(shop: Shop) -> Shop:
+    """The tables without some parents (the derived ones have no orphans):
+    orders whose key divides by 101 and jobs whose id divides by 103."""
+    return Shop(shop.employees, shop.repair_orders.filter("id % 101 <> 0"), shop.jobs.filter("id % 103 <> 0"),
+                shop.labor_lines, shop.parts)
+
+
 def _known_jobs(shop: Shop) -> DataFrame:
     """Jobs stored by the earlier sync: those of orders created before the
     current ingest window."""
@@ -123,7 +133,8 @@ def upsert_latest_orders(d: Landed) -> DataFrame:
 
 def upsert_latest_employees(d: Landed) -> DataFrame:
     first = landed.flatten_employees(d.employee_pages())
-    again = first.withColumn("updated_date", F.lit(AS_OF_TEXT))
+    # the re-sync brings every third employee only: the others stay as they are
+    again = first.filter("id % 3 = 0").withColumn("updated_date", F.lit(AS_OF_TEXT))
     return upsert.upsert_latest(upsert.with_seq(first, F.lit(0)),
                                 upsert.with_seq(again, F.lit(1)))
 
@@ -140,9 +151,18 @@ def new_jobs_anti(d: Landed) -> DataFrame:
 
 
 def ingest_stats(d: Landed) -> DataFrame:
-    summaries = landed.order_job_summaries(d.order_pages())
-    fetched = landed.flatten_jobs(d.job_docs())
-    return upsert.ingest_stats(summaries, _known_jobs(d.shop).select("id"), fetched)
+    return upsert.ingest_stats(landed.order_job_summaries(d.order_pages()), _known_jobs(d.shop).select("id"),
+                               _usable_jobs(d))
+
+
+def _usable_jobs(d: Landed) -> DataFrame:
+    """Job documents of a fetch that failed for every 29th job id."""
+    return landed.flatten_jobs(d.job_docs()).filter("id % 29 <> 0")
+
+
+def ingest_errors(d: Landed) -> DataFrame:
+    return upsert.ingest_errors(landed.order_job_summaries(d.order_pages()), _known_jobs(d.shop).select("id"),
+                                _usable_jobs(d))
 
 
 INGEST = {
@@ -157,6 +177,7 @@ INGEST = {
     "upsert_new_jobs": upsert_new_jobs,
     "new_jobs_anti": new_jobs_anti,
     "ingest_stats": ingest_stats,
+    "ingest_errors": ingest_errors,
 }
 
 
@@ -171,10 +192,12 @@ def queries() -> dict[str, Query]:
         "monthly_trends": lambda s: revenue.monthly_trends(s, H, "revenue"),
         "trend_total_fallback": lambda s: revenue.trend_total_fallback(s, H, "activity"),
         "dashboard_trend": lambda s: revenue.dashboard_trend(s, Y, "production"),
+        "dashboard_trend_daily": lambda s: revenue.dashboard_trend(s, QUARTER, "production"),
         "period_comparison": lambda s: revenue.period_comparison(s, Y, "revenue"),
         # people
         "technician_metrics": lambda s: people.technician_metrics(s, H, "revenue"),
         "technician_trend": lambda s: people.technician_trend(s, TREND, "revenue"),
+        "technician_trend_one": lambda s: people.technician_trend(s, TREND, "revenue", ONE_TECHNICIAN),
         "technician_trend_direction": lambda s: people.technician_trend_direction(
             people.technician_trend(s, TREND, "revenue", ordered=False)),
         "advisor_metrics": lambda s: people.advisor_metrics(s, H, "revenue"),
@@ -207,7 +230,7 @@ def queries() -> dict[str, Query]:
         "category_counts": inspect.category_counts,
         "sales_totals": inspect.sales_totals,
         "created_monthly": inspect.created_monthly,
-        "orphan_counts": inspect.orphan_counts,
+        "orphan_counts": lambda s: inspect.orphan_counts(with_orphans(s)),
         # indicators
         "shop_rate": lambda s: indicators.shop_rate(s, H, "revenue"),
         "alerts": lambda s: indicators.alerts(s, H, "revenue"),

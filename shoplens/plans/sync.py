@@ -1,53 +1,86 @@
 """K4: one full sync run in batch form (employees, then orders, then jobs),
-with its statistics.
+with its result.
 
 Landed folders hold whatever the last fetch wrote: employee pages, order
-pages and job documents.  The run merges them into the versioned silver
-tables with the same batch functions the streaming ingest uses, under one
-``run_id`` (a replayed run id is a no-op), and reports found / synced /
-skipped / failed jobs plus the first failures.
+pages and job documents.  The run takes the orders of the ingest window (the
+previous 12 months), the job documents that these orders mention, and all
+employees; it merges them into the versioned tables with the functions of the
+streaming ingest, under one ``run_id`` (a replayed run id is a no-op), and
+publishes them.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shoplens.functions.params import Period, ingest_window
 from shoplens.operators import upsert
 from shoplens.sources import landed
 from shoplens.sources import schemas as S
-from shoplens.streaming.ingest_stream import (VersionedTable, employee_batch_writer,
-                                              job_batch_writer, order_batch_writer)
+from shoplens.sources.silver import Shop
+from shoplens.streaming import ingest_stream as ST
 
 
 @dataclass
 class SyncResult:
+    """``stats``: one row of counts (jobs found / synced / skipped / failed,
+    employees and orders synced); ``errors``: the first failures."""
     stats: DataFrame
     errors: DataFrame
+    started_at: _dt.datetime
+    finished_at: _dt.datetime
 
 
-def run_full_sync(spark: SparkSession, landing_root: str, table_root: str,
-                  run_id: int) -> SyncResult:
-    t = {n: VersionedTable(spark, f"{table_root}/{n}")
-         for n in ("employees", "repair_orders", "jobs", "labor_lines", "parts")}
-    emp_pages = landed.read_json(spark, f"{landing_root}/employee_pages", S.EMPLOYEE_PAGE)
-    order_pages = landed.read_json(spark, f"{landing_root}/order_pages", S.ORDER_PAGE)
-    job_docs = landed.read_json(spark, f"{landing_root}/job_documents", S.JOB)
-
-    # job ids known before this run decide skipped vs synced
-    prev = t["jobs"].latest(before=run_id)
-    known = (t["jobs"].read(prev).select("id") if prev is not None
-             else spark.createDataFrame([], "id long"))
-    # stats stay lazy: they read the landed files and the pre-run version,
-    # both of which the merges below leave untouched
-    summaries = landed.order_job_summaries(order_pages)
-    fetched = landed.flatten_jobs(job_docs.filter(job_docs["_corrupt_record"].isNull()))
-    stats = upsert.ingest_stats(summaries, known, fetched)
+def _orders_in(pages: DataFrame, window: Period) -> DataFrame:
+    """Order pages with only the orders created in the window (orders without
+    an id stay, for the rejects)."""
+    day = lambda o: F.try_to_date(F.substring(o["createdDate"], 1, 10), "yyyy-MM-dd")
+    inside = lambda o: F.coalesce(day(o).between(F.lit(window.start), F.lit(window.end)), F.lit(False)) | o["id"].isNull()
+    return pages.withColumn("content", F.filter("content", inside))
+
+
+def run_full_sync(spark: SparkSession, landing_root: str, table_root: str, run_id: int, as_of=None) -> SyncResult:
+    started = _dt.datetime.now(_dt.timezone.utc)
+    window = ingest_window(as_of if as_of is not None else started.date())
+    read = lambda name, schema: landed.read_json(spark, f"{landing_root}/{name}", schema, with_time=True)
+    employees, orders = read("employee_pages", S.EMPLOYEE_PAGE), _orders_in(read("order_pages", S.ORDER_PAGE), window)
+    summaries = landed.order_job_summaries(orders)
+    mentioned = summaries.select(F.col("job_id").alias("id")).distinct()
+    documents = read("job_documents", S.JOB)
+    # documents of other jobs are not part of this run; unreadable and id-less ones are rejects of it
+    documents = documents.join(mentioned, "id", "left_semi").unionByName(documents.filter("id is null"))
+
+    known = ST.tables(spark, table_root)["jobs"].read()
+    known = spark.createDataFrame([], "id long") if known is None else known.select("id")
+    fetched = landed.flatten_jobs(documents.filter(F.col(ST.CORRUPT).isNull()))
+    counts = upsert.ingest_stats(summaries, known, fetched)
     errors = upsert.ingest_errors(summaries, known, fetched)
+    flat_orders = landed.flatten_orders(orders).filter("id is not null")
+    stats = counts.select("*", landed.flatten_employees(employees).filter("id is not null")
+                          .agg(F.count_distinct("id")).scalar().alias("employees_synced"),
+                          flat_orders.agg(F.count_distinct("id")).scalar().alias("orders_synced"))
+    # both read the tables as they are now: taken before the merges change them
+    stats = spark.createDataFrame(stats.collect(), stats.schema)  # one row
+    errors = spark.createDataFrame(errors.collect(), errors.schema)  # at most 25 rows
+
+    source = "run"
+    ST.employee_batch_writer(table_root)(employees, run_id, source)
+    ST.order_batch_writer(table_root)(orders, run_id, source)
+    ST.job_batch_writer(table_root)(documents, run_id, source)
+    return SyncResult(stats, errors, started, _dt.datetime.now(_dt.timezone.utc))
+
 
-    employee_batch_writer(t["employees"])(emp_pages, run_id)
-    order_batch_writer(t["repair_orders"])(order_pages, run_id)
-    job_batch_writer(t["jobs"], t["labor_lines"], t["parts"])(
-        job_docs.filter(job_docs["_corrupt_record"].isNull()), run_id)
-    return SyncResult(stats=stats, errors=errors)
+def refine(spark: SparkSession, table_root: str, silver_root: str) -> Shop:
+    """The published tables as silver tables: parsed day columns, the ingest
+    time, and the layout that reports read.  Returns them opened."""
+    t = ST.published(spark, table_root)
+    empty = {"employees": S.EMPLOYEES, "repair_orders": S.REPAIR_ORDERS, "jobs": S.JOBS, "labor_lines": S.LABOR_LINES,
+             "parts": S.PARTS}
+    full = {n: landed.stamp(t[n]) if n in t else spark.createDataFrame([], empty[n]) for n in ST.TABLES}
+    full["repair_orders"] = landed.with_order_days(full["repair_orders"])
+    Shop.of(full).write(silver_root)
+    return Shop.read(spark, silver_root)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         # core config, not settable at run time: give the context a folder
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shoplens-ckpt-"))
         path = sc.getCheckpointDir()
@@ -71,3 +74,16 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(p):
         return []
     return sorted(str(s.getPath().getName()) for s in fs.listStatus(p) if s.isDirectory())
+
+
+def rename_folder(spark: SparkSession, private: str, public: str) -> None:
+    """Publish a folder by one rename.  If another writer was first, its folder
+    stays and ours is deleted."""
+    jvm = spark._jvm
+    src, dst = jvm.org.apache.hadoop.fs.Path(private), jvm.org.apache.hadoop.fs.Path(public)
+    fs = src.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(dst) and fs.rename(src, dst):
+        return
+    if not fs.exists(dst):
+        raise RuntimeError(f"could not publish {public}")
+    fs.delete(src, True)

@@ -17,16 +17,18 @@ lines is split across partitions like any other range.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shoplens.session import ensure_checkpoint_dir
 from shoplens.sources.landed import with_order_days
 
 TABLES = ("orders", "lineitem", "supplier", "part")
 
 # Fixed values of the derivation (shared with the oracle text).
-JOB_KEY_FACTOR = 8      # job_id = l_orderkey * 8 + l_linenumber (line numbers 1..7)
-LINE_KEY_FACTOR = 16    # line id = job_id * 16 + position of the line in its job
+JOB_KEY_FACTOR = 8      # job_id = l_orderkey * 8 + l_linenumber (line numbers 0..7, checked)
 ORDER_NUMBER_OFFSET = 1000
 ZERO_TOTAL_MONTH = "1996-02"
 
@@ -116,34 +118,36 @@ JOB = ("l_orderkey", "l_linenumber")
 
 def _lines(lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """Lineitem rows with their job key, the job's smallest part / supplier,
-    the job's part type and the line's 0-based position inside the job.
+    the job's part type and the line's id: its rank among all lines, ordered
+    by job and line order (so no bound on the lines of a job).
 
     No step collects a whole job into one task, however many lines it has:
     the rows are range-sorted on (job, line order), so a large job spans
-    several partitions; each line is ranked inside its (partition, job)
-    slice; per slice we keep its size and minima, and a prefix sum over the
-    slices of a job (at most one row per partition) turns slice ranks into
-    positions and slice minima into job minima.
+    several partitions; a line is ranked inside its partition, and a prefix
+    sum over partition sizes (a row per partition) turns that into its id.
+    Job minima come from partial minima per (partition, job).  The ranked rows
+    are written to the shared folder first: both reads see one partitioning.
     """
     keys = [*JOB, *LINE_ORDER]
-    s = lineitem.select(*keys).repartitionByRange(*keys).withColumn(
-        "_p", F.spark_partition_id())
-    ranked = s.withColumn(
-        "_r", F.row_number().over(Window.partitionBy("_p", *JOB).orderBy(*LINE_ORDER)) - 1)
-    slices = s.groupBy("_p", *JOB).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("l_partkey").alias("_pk"),
-        F.min("l_suppkey").alias("_sk"))
-    job_w = Window.partitionBy(*JOB)
-    before = job_w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(
-        "_p", *JOB, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-        F.min("_pk").over(job_w).alias("pk"), F.min("_sk").over(job_w).alias("sk"))
-    li = ranked.join(slices, ["_p", *JOB], "inner").select(
+    spark = lineitem.sparkSession
+    stage = f"{ensure_checkpoint_dir(spark)}/shoplens-stage/{uuid.uuid4().hex}"
+    (lineitem.select(*keys).repartitionByRange(*keys).withColumn("_p", F.spark_partition_id())
+     .withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)) - 1).write.parquet(stage))
+    ranked = spark.read.parquet(stage)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranked.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    minima = (ranked.groupBy("_p", *JOB).agg(F.min("l_partkey").alias("_pk"), F.min("l_suppkey").alias("_sk"))
+              .select("_p", *JOB, *[F.min(c).over(Window.partitionBy(*JOB)).alias(n) for c, n in
+                                    (("_pk", "pk"), ("_sk", "sk"))]))
+    number = F.col("l_linenumber")
+    key = F.when(number.between(0, JOB_KEY_FACTOR - 1), F.col("l_orderkey") * JOB_KEY_FACTOR + number).otherwise(
+        F.raise_error(F.concat(F.lit("line number outside the job key: "), number.cast("string"))))
+    li = ranked.join(minima, ["_p", *JOB]).join(offsets, "_p").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-        "l_returnflag", "l_linestatus",
-        (F.col("l_orderkey") * JOB_KEY_FACTOR + F.col("l_linenumber")).alias("job_id"),
+        "l_returnflag", "l_linestatus", key.cast("long").alias("job_id"),
         idiv(cents(F.col("l_extendedprice")), 100).alias("lb"),
-        "pk", "sk", (F.col("_r") + F.col("_off")).alias("pos"))
+        "pk", "sk", (F.col("_r") + F.col("_off")).alias("line_id"))
     p = part.select(F.col("p_partkey").alias("pk"), "p_type", "p_name")
     jid = F.col("job_id")
     category = (F.when(jid % 23 == 0, F.lit("Courtesy"))
@@ -196,7 +200,7 @@ def jobs(lines: DataFrame) -> DataFrame:
 
 def labor_lines(lines: DataFrame) -> DataFrame:
     return lines.select(
-        (F.col("job_id") * LINE_KEY_FACTOR + F.col("pos")).alias("id"), "job_id",
+        F.col("line_id").alias("id"), "job_id",
         F.lit(None).cast("string").alias("name"),
         (F.lit(8500) + (F.col("l_suppkey") % 5) * 1000 + (F.col("l_partkey") % 50) * 20)
         .cast("long").alias("rate"),
@@ -210,7 +214,7 @@ def parts(lines: DataFrame) -> DataFrame:
     keep = (F.col("l_returnflag") != "R") & (
         F.coalesce(F.trim(F.col("category")), F.lit("")) != "PROMO")
     return lines.filter(keep).select(
-        (F.col("job_id") * LINE_KEY_FACTOR + F.col("pos")).alias("id"), "job_id",
+        F.col("line_id").alias("id"), "job_id",
         F.col("l_quantity").alias("quantity"),
         F.lit(None).cast("string").alias("brand"), F.lit(None).cast("string").alias("name"),
         F.col("l_partkey").cast("string").alias("part_number"),
@@ -219,16 +223,18 @@ def parts(lines: DataFrame) -> DataFrame:
         idiv(F.col("lb"), qty).alias("retail"))
 
 
-def derive(spark: SparkSession, sf_dir: str, with_lines: bool = False):
-    """Lazy silver tables derived from the test tables under ``sf_dir``
-    (and, on request, the shared job-keyed line rows they come from)."""
+def derive(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Silver tables derived from the test tables under ``sf_dir``.  The line
+    rows that jobs, labor lines and parts come from are written to the shared
+    folder once."""
     t = read_tables(spark, sf_dir)
-    lines = _lines(t["lineitem"], t["part"])
-    tables = {
+    stage = f"{ensure_checkpoint_dir(spark)}/shoplens-stage/{uuid.uuid4().hex}"
+    _lines(t["lineitem"], t["part"]).write.parquet(stage)
+    lines = spark.read.parquet(stage)
+    return {
         "employees": employees(t["supplier"]),
         "repair_orders": with_order_days(repair_orders(t["orders"])),
         "jobs": jobs(lines),
         "labor_lines": labor_lines(lines),
         "parts": parts(lines),
     }
-    return (tables, lines) if with_lines else tables

@@ -27,11 +27,17 @@ def _zero() -> Column:
     return F.lit(0).cast("long")
 
 
-def read_json(spark: SparkSession, path: str, schema, multi_line: bool = False) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema, multi_line: bool = False, with_time: bool = False) -> DataFrame:
     """Typed read of landed documents.  Malformed lines keep their raw text
-    in ``_corrupt_record`` (PERMISSIVE) instead of failing the job."""
+    in ``_corrupt_record`` (PERMISSIVE) instead of failing the job;
+    ``with_time`` adds the landing time of the file as ``_landed_at``."""
     from pyspark.sql import types as T
     with_corrupt = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
+    if with_time:
+        lines = spark.read.text(path, wholetext=multi_line).select(
+            "value", F.col("_metadata.file_modification_time").alias("_landed_at")).filter("trim(value) <> ''")
+        parsed = F.from_json("value", with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+        return lines.select(parsed.alias("d"), "_landed_at").select("d.*", "_landed_at")
     return (spark.read.schema(with_corrupt).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record")
             .option("multiLine", str(multi_line).lower()).json(path))
@@ -47,10 +53,12 @@ def _m(c: str) -> Column:
     return F.coalesce(F.col(c), _zero())
 
 
-def flatten_orders(pages: DataFrame) -> DataFrame:
-    """A1 + B14 + B16: one row per order in the pages."""
-    o = pages.select(F.explode("content").alias("o")).select("o.*")
+def flatten_orders(pages: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """A1 + B14 + B16: one row per order in the pages (with the page's columns
+    ``keep``)."""
+    o = pages.select(F.explode("content").alias("o"), *keep).select("o.*", *keep)
     return o.select(
+        *keep,
         F.col("id"), F.col("repairOrderNumber").alias("repair_order_number"),
         F.col("shopId").alias("shop_id"),
         F.col("repairOrderStatus.id").alias("status_id"),
@@ -88,10 +96,11 @@ def order_job_summaries(pages: DataFrame) -> DataFrame:
             .filter(F.col("job_id").isNotNull() & (F.col("job_id") != 0)))
 
 
-def flatten_employees(pages: DataFrame) -> DataFrame:
+def flatten_employees(pages: DataFrame, keep: list[str] = ()) -> DataFrame:
     """A2: every employee in every page (no 100-row cap)."""
-    e = pages.select(F.explode("content").alias("e")).select("e.*")
+    e = pages.select(F.explode("content").alias("e"), *keep).select("e.*", *keep)
     return e.select(
+        *keep,
         "id", F.col("firstName").alias("first_name"), F.col("lastName").alias("last_name"),
         F.col("employeeRole.id").alias("role_id"), F.col("employeeRole.name").alias("role_name"),
         F.col("updatedDate").alias("updated_date"))
@@ -115,12 +124,19 @@ def flatten_jobs(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("laborHours"), F.lit(0.0)).alias("labor_hours"))
 
 
+def _line_id(line: str) -> Column:
+    """A line's own id; without one, a stable negative key of its job, place
+    and content (the same document always gives the same key)."""
+    made = F.xxhash64("job_id", "at", F.to_json(F.col(line))).bitwiseAND(F.lit((1 << 62) - 1))
+    return F.coalesce(F.col(f"{line}.id"), -1 - made).alias("id")
+
+
 def flatten_labor(docs: DataFrame) -> DataFrame:
     """Labor children, keyed by line id, carrying their job id."""
     x = docs.filter(F.col("id").isNotNull()).select(
-        F.col("id").alias("job_id"), F.explode("labor").alias("l"))
+        F.col("id").alias("job_id"), F.posexplode("labor").alias("at", "l"))
     return x.select(
-        F.col("l.id").alias("id"), "job_id", F.col("l.name").alias("name"),
+        _line_id("l"), "job_id", F.col("l.name").alias("name"),
         F.coalesce(F.col("l.rate"), _zero()).alias("rate"),
         F.coalesce(F.col("l.hours"), F.lit(0.0)).alias("hours"),
         X.flag01("l.complete").alias("complete"),
@@ -130,9 +146,9 @@ def flatten_labor(docs: DataFrame) -> DataFrame:
 def flatten_parts(docs: DataFrame) -> DataFrame:
     """Part children, keyed by part id, carrying their job id."""
     x = docs.filter(F.col("id").isNotNull()).select(
-        F.col("id").alias("job_id"), F.explode("parts").alias("p"))
+        F.col("id").alias("job_id"), F.posexplode("parts").alias("at", "p"))
     return x.select(
-        F.col("p.id").alias("id"), "job_id",
+        _line_id("p"), "job_id",
         F.coalesce(F.col("p.quantity"), F.lit(0.0)).alias("quantity"),
         F.col("p.brand").alias("brand"), F.col("p.name").alias("name"),
         F.col("p.partNumber").alias("part_number"), F.col("p.description").alias("description"),

@@ -1,98 +1,51 @@
 """Silver tables: the five typed business tables every report reads.
 
-A :class:`Shop` is just five DataFrames.  ``materialize`` writes them once
-under the cluster's shared ``spark.checkpoint.dir`` (cutting the
-derivation's lineage, so a lost executor re-reads files instead of
-recomputing the derivation): the four large tables bucketed on their join
-keys as external catalog tables, employees as plain Parquet.  ``Shop.read``
-reopens them in any session (registering the bucketed tables from the
-layout manifest); reports then get bucket-local joins and aggregates,
-column pruning and pushed filters straight at the Parquet scan.
+A :class:`Shop` is just five DataFrames.  Jobs, labor lines and parts carry the
+id and the three business days of their order, so a report restricts each table
+by its own columns, before any join.  ``write`` partitions the four large
+tables by the month of the default basis (``posted_month``) and sorts by day
+within files, so a period prunes partitions on that basis and row groups on the
+others.  Rows are dealt to files by Spark's rebalance step: a month, job or
+order that holds a third of all rows becomes several files, and small months
+share a task.
+
+``materialize`` writes the tables once under the cluster's shared
+``spark.checkpoint.dir`` (cutting the derivation's lineage, so a lost executor
+re-reads files instead of recomputing the derivation): to a private folder
+first, published by renaming it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import threading
+import uuid
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shoplens.session import ensure_checkpoint_dir, path_exists
+from shoplens.functions import exprs as X
+from shoplens.functions.params import Period, basis_column
+from shoplens.session import ensure_checkpoint_dir, path_exists, rename_folder
+from shoplens.sources.schemas import ORDER_DAY_COLUMNS
 
 TABLE_NAMES = ("employees", "repair_orders", "jobs", "labor_lines", "parts")
+DAYS = list(ORDER_DAY_COLUMNS)
+MONTH = X.MONTH_PARTITION
 
 # Adapter version: bump when the derivation or the layout changes so stale
 # copies are ignored.
-DERIVATION_VERSION = "5"
-
-# Physical layout of the written copy.  The four large tables are bucketed
-# on the key they are joined / aggregated on, so
-#   * per-job aggregates of labor lines and parts need no shuffle,
-#   * jobs meet orders bucket-to-bucket (jobs on repair_order_id, orders on id),
-#   * a join of lines with jobs shuffles only the (smaller, filtered) jobs side.
-# Inside a bucket rows are sorted on the column reports filter on, so Parquet
-# min/max statistics prune row groups.  Buckets live in the shared folder as
-# external catalog tables; a session that has not seen them registers them
-# from the layout manifest.
-BUCKET_KEYS = {"repair_orders": "id", "jobs": "repair_order_id", "labor_lines": "job_id",
-               "parts": "job_id"}
-SORT_KEYS = {
-    "employees": ("id",),
-    "repair_orders": ("created_day",),
-    "jobs": ("repair_order_id",),
-    "labor_lines": ("job_id",),
-    "parts": ("job_id",),
-}
-LAYOUT = "_layout"
-BUCKETS_CONF = "spark.shoplens.silver.buckets"
-
-
-def table_name(root: str, name: str) -> str:
-    return f"shoplens_{hashlib.sha1(root.encode()).hexdigest()[:12]}_{name}"
-
-
-# Target input bytes per bucket when the count is derived from the data.
-BYTES_PER_BUCKET = 128 * 1024 * 1024
-
-
-def _bucket_count(spark: SparkSession, input_bytes: int = 0) -> int:
-    """Buckets per table: ``spark.shoplens.silver.buckets`` when set; else
-    about one bucket per 128 MB of input, at least the default parallelism
-    and at most the shuffle partition count."""
-    v = spark.conf.get(BUCKETS_CONF, None)
-    if v:
-        return max(1, int(v))
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    floor = spark.sparkContext.defaultParallelism
-    by_size = -(-int(input_bytes) // BYTES_PER_BUCKET)
-    return max(1, min(cap, max(floor, by_size)))
-
-
-def _input_bytes(spark: SparkSession, sf_dir: str, names) -> int:
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    total = 0
-    for n in names:
-        p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{n}.parquet")
-        total += int(p.getFileSystem(conf).getContentSummary(p).getLength())
-    return total
+DERIVATION_VERSION = "7"
 
 
-def _register(spark: SparkSession, root: str, name: str, buckets: int) -> DataFrame:
-    """Open a bucketed table, registering it in this session's catalog first
-    (external: the files stay where they are)."""
-    t = table_name(root, name)
-    if not spark.catalog.tableExists(t):
-        path = f"{root}/{name}"
-        schema = spark.read.parquet(path).schema
-        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {t} ({cols}) USING parquet "
-                  f"CLUSTERED BY ({BUCKET_KEYS[name]}) SORTED BY ({SORT_KEYS[name][0]}) "
-                  f"INTO {buckets} BUCKETS LOCATION '{path}'")
-    return spark.table(t)
+def _with_days(child: DataFrame, fk: str, parent: DataFrame, *more: str) -> DataFrame:
+    """``child`` with the business days (and ``more``) of its parent; none if it has no parent."""
+    if set(DAYS) <= set(child.columns):
+        return child
+    cols = [c for c in (*more, *DAYS) if c not in child.columns]
+    right = parent.select(F.col("id").alias("_parent"), *cols)
+    return child.join(right, F.col(fk) == F.col("_parent"), "left").drop("_parent")
 
 
 @dataclass
@@ -103,6 +56,11 @@ class Shop:
     labor_lines: DataFrame
     parts: DataFrame
 
+    def __post_init__(self):
+        self.jobs = _with_days(self.jobs, "repair_order_id", self.repair_orders)
+        self.labor_lines = _with_days(self.labor_lines, "job_id", self.jobs, "repair_order_id")
+        self.parts = _with_days(self.parts, "job_id", self.jobs, "repair_order_id")
+
     @classmethod
     def of(cls, tables: dict[str, DataFrame]) -> "Shop":
         return cls(**{n: tables[n] for n in TABLE_NAMES})
@@ -110,48 +68,25 @@ class Shop:
     def as_dict(self) -> dict[str, DataFrame]:
         return {n: getattr(self, n) for n in TABLE_NAMES}
 
+    def of_period(self, name: str, period: Period, basis: str) -> DataFrame:
+        """Rows of a table whose order's basis day lies in the period."""
+        return X.period_rows(getattr(self, name), basis_column(basis), period)
+
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> "Shop":
-        layout: dict[str, int] = {}
-        if path_exists(spark, f"{root}/{LAYOUT}/_SUCCESS"):
-            layout = json.loads(spark.read.text(f"{root}/{LAYOUT}").first()[0])
-        out = {}
-        for n in TABLE_NAMES:
-            df = None
-            buckets = int(layout.get(n, 0))
-            if buckets and n in BUCKET_KEYS:
-                try:
-                    df = _register(spark, root, n, buckets)
-                except Exception:  # noqa: BLE001 - no usable catalog: plain files
-                    df = None
-            out[n] = df if df is not None else spark.read.parquet(f"{root}/{n}")
-        return cls(**out)
-
-    def write(self, root: str, mode: str = "overwrite", buckets: int | None = None) -> None:
-        """Write the five tables under ``root`` (bucketed when ``buckets``)."""
-        spark = self.jobs.sparkSession
-        layout: dict[str, int] = {}
+        return cls(**{n: spark.read.parquet(f"{root}/{n}") for n in TABLE_NAMES})
+
+    def write(self, root: str, mode: str = "overwrite") -> None:
+        """Write the five tables under ``root``."""
         for n in TABLE_NAMES:
             df = getattr(self, n)
-            keys = [k for k in SORT_KEYS[n] if k in df.columns]
-            layout[n] = 0
-            if buckets and n in BUCKET_KEYS:
-                key = BUCKET_KEYS[n]
-                try:
-                    # one task per bucket, so each bucket is one file per write
-                    (df.repartition(buckets, key).write.mode(mode)
-                     .bucketBy(buckets, key).sortBy(*keys)
-                     .option("path", f"{root}/{n}").saveAsTable(table_name(root, n)))
-                    layout[n] = int(buckets)
-                    continue
-                except Exception:  # noqa: BLE001 - no usable catalog: plain files
-                    pass
-            if keys:
-                df = df.sortWithinPartitions(*keys)
-            df.write.mode(mode).parquet(f"{root}/{n}")
-        # per-table layout manifest (one tiny JSON line) for later sessions
-        spark.createDataFrame([(json.dumps(layout),)], "value string").coalesce(1) \
-            .write.mode("overwrite").text(f"{root}/{LAYOUT}")
+            if n == "employees":
+                df.write.mode(mode).parquet(f"{root}/{n}")
+                continue
+            month = F.year("posted_day") * 100 + F.month("posted_day")
+            df = df.withColumn(MONTH, month).hint("rebalance", F.col(MONTH))
+            (df.sortWithinPartitions(MONTH, "posted_day", "created_day").write.mode(mode)
+             .partitionBy(MONTH).parquet(f"{root}/{n}"))
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str, names) -> str:
@@ -175,33 +110,23 @@ def silver_root(spark: SparkSession, sf_dir: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/shoplens-silver/{fp}"
 
 
-# one writer per process: concurrent callers wait for the first build
+# concurrent callers of one process wait for the first build; another process
+# that builds the same tables loses the rename and uses the published ones
 _BUILD_LOCK = threading.RLock()
 
 
 def materialize(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
-    """Derive the silver tables from ``sf_dir`` once and write them to the
+    """Derive the silver tables from ``sf_dir`` once and publish them in the
     shared folder; later calls (any session on the cluster) reuse them.
     An explicit ``root`` builds a copy there (used to time a fresh build)."""
     from shoplens.sources import adapter
 
     root = root or silver_root(spark, sf_dir)
     with _BUILD_LOCK:
-        return _materialize(spark, sf_dir, root, adapter)
-
-
-def _materialize(spark: SparkSession, sf_dir: str, root: str, adapter) -> str:
-    if all(path_exists(spark, f"{root}/{n}/_SUCCESS") for n in TABLE_NAMES + (LAYOUT,)):
-        return root
-    tables, lines = adapter.derive(spark, sf_dir, with_lines=True)
-    # jobs, labor_lines and parts all come from the same shuffled lineitem
-    # rows: keep them for the three writes instead of recomputing them.
-    lines.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        buckets = _bucket_count(spark, _input_bytes(spark, sf_dir, adapter.TABLES))
-        Shop.of(tables).write(root, buckets=buckets)
-    finally:
-        lines.unpersist()
+        if not path_exists(spark, root):
+            private = f"{root}.{uuid.uuid4().hex}"
+            Shop.of(adapter.derive(spark, sf_dir)).write(private)
+            rename_folder(spark, private, root)
     return root
 
 
@@ -215,33 +140,31 @@ def land_documents(spark: SparkSession, sf_dir: str) -> str:
     the declared schemas, exactly like freshly landed data."""
     from shoplens.sources import documents
 
-    root = materialize(spark, sf_dir) + "/landed"
+    root = materialize(spark, sf_dir) + ".landed"
     with _BUILD_LOCK:
-        return _land(spark, sf_dir, root, documents)
-
-
-def _land(spark: SparkSession, sf_dir: str, root: str, documents) -> str:
-    if all(path_exists(spark, f"{root}/{d}/_SUCCESS") for d in LANDED.values()):
-        return root
-    shop = load_shop(spark, sf_dir)
-    texts = {"order_pages": documents.order_pages_text(shop),
-             "employee_pages": documents.employee_pages_text(shop),
-             "job_documents": documents.job_documents_text(shop)}
-    for name, text in texts.items():
-        text.write.mode("overwrite").text(f"{root}/{name}")
+        if not path_exists(spark, root):
+            shop = load_shop(spark, sf_dir)
+            texts = {"order_pages": documents.order_pages_text(shop),
+                     "employee_pages": documents.employee_pages_text(shop),
+                     "job_documents": documents.job_documents_text(shop)}
+            private = f"{root}.{uuid.uuid4().hex}"
+            for name, text in texts.items():
+                text.write.mode("overwrite").text(f"{private}/{name}")
+            rename_folder(spark, private, root)
     return root
 
 
-_OPENED: dict[tuple, Shop] = {}
+_OPENED: dict[str, tuple[SparkSession, Shop]] = {}
 
 
 def load_shop(spark: SparkSession, sf_dir: str) -> Shop:
-    """Silver tables for a test-data folder (materialized on first use).
-    The opened DataFrames are remembered per session and input folder, so
-    repeated reports skip the fingerprint and file listing."""
-    key = (id(spark._jsparkSession), sf_dir.rstrip("/"))
+    """Silver tables for a test-data folder (materialized on first use).  The
+    opened DataFrames are remembered with their session, under a folder name
+    that changes when the input does."""
     with _BUILD_LOCK:
-        shop = _OPENED.get(key)
-        if shop is None:
-            shop = _OPENED[key] = Shop.read(spark, materialize(spark, sf_dir))
+        root = materialize(spark, sf_dir)
+        owner, shop = _OPENED.get(root, (None, None))
+        if owner is not spark:
+            shop = Shop.read(spark, root)
+            _OPENED[root] = (spark, shop)
     return shop

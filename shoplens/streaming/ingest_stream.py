@@ -1,13 +1,20 @@
-"""Structured Streaming ingest of landed documents into silver tables.
+"""Structured Streaming ingest of landed documents into versioned tables.
 
-* orders / employees: latest version of a key wins (J1)
+* orders / employees: the latest version of a key wins (J1).  Later means a
+  later update stamp, then a later landing (file modification time), then the
+  greater row text, so the winner depends neither on file names nor on how the
+  files fall into batches.
 * jobs: an unseen job id is inserted with its labor lines and parts; a job
-  already stored is never refreshed (J2)
-* every micro-batch writes a new table version ``v=<batch_id>``; a version
-  is visible once its ``_SUCCESS`` marker exists.  A replayed batch id finds
-  its version committed and does nothing, so replays and restarts give the
-  same tables (J3).  Each version is a written table, which also cuts the
-  lineage of the merge.
+  already stored is never refreshed (J2).
+* every micro-batch writes the table's next version and records which batch of
+  which stream it holds.  A replayed batch is found there and does nothing; a
+  new checkpoint is a new stream, so its batches always count (J3).
+* what cannot be stored (unreadable text, documents without an id) goes to the
+  table ``rejected`` with its reason.
+
+The versions of all tables that belong together are published by one pointer
+file; readers see either all of a batch or nothing.  Each version is a written
+table, which also cuts the lineage of the merge; old versions are cleaned.
 
 The file source plus ``trigger(availableNow=True)`` processes whatever has
 landed and stops, the shape of a periodic re-sync.
@@ -15,17 +22,44 @@ landed and stops, the shape of a periodic re-sync.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shoplens.operators.upsert import SEQ, first_per_key
+from shoplens.operators.upsert import SEQ, first_per_key, latest_per_key
 from shoplens.session import ensure_checkpoint_dir, list_dirs, path_exists
 from shoplens.sources import landed
 from shoplens.sources import schemas as S
 
+TABLES = ("employees", "repair_orders", "jobs", "labor_lines", "parts")
+LANDED_AT, CORRUPT = "_landed_at", "_corrupt_record"
+#: Versions of a table that stay for readers that opened them.
+KEPT_VERSIONS = 3
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, visible whole or not at all (written aside, then renamed)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{p.getParent().toString()}/_{p.getName()}.tmp")
+    fs = p.getFileSystem(conf)
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(aside, p):
+        raise RuntimeError(f"could not publish {path}")
+
+
+def _get(spark: SparkSession, path: str) -> str:
+    return spark.read.option("wholetext", "true").text(path).first()[0]
+
 
 class VersionedTable:
-    """Parquet versions ``<root>/v=<n>`` of one table."""
+    """Parquet versions ``<root>/v=<n>`` of one table; ``<root>/v=<n>.json``
+    says, per source, the last batch that the version holds."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -33,19 +67,20 @@ class VersionedTable:
     def path(self, version: int) -> str:
         return f"{self.root}/v={version:012d}"
 
-    def committed(self, version: int) -> bool:
-        return path_exists(self.spark, f"{self.path(version)}/_SUCCESS")
-
     def versions(self) -> list[int]:
-        out = []
-        for name in list_dirs(self.spark, self.root):
-            if name.startswith("v=") and self.committed(int(name[2:])):
-                out.append(int(name[2:]))
-        return sorted(out)
+        names = [n for n in list_dirs(self.spark, self.root) if n.startswith("v=")]
+        return sorted(v for v in (int(n[2:]) for n in names) if path_exists(self.spark, f"{self.path(v)}.json"))
+
+    def latest(self) -> int | None:
+        return max(self.versions(), default=None)
 
-    def latest(self, before: int | None = None) -> int | None:
-        vs = [v for v in self.versions() if before is None or v < before]
-        return vs[-1] if vs else None
+    def applied(self) -> dict[str, int]:
+        """The last batch of each source that the latest version holds."""
+        v = self.latest()
+        return {} if v is None else json.loads(_get(self.spark, f"{self.path(v)}.json"))
+
+    def holds(self, source: str, batch_id: int) -> bool:
+        return self.applied().get(source, -1) >= batch_id
 
     def read(self, version: int | None = None, with_seq: bool = False) -> DataFrame | None:
         v = self.latest() if version is None else version
@@ -54,98 +89,188 @@ class VersionedTable:
         df = self.spark.read.parquet(self.path(v))
         return df if with_seq else df.drop(SEQ)
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(self.path(version))
+    def write(self, df: DataFrame, source: str, batch_id: int) -> int:
+        applied = self.applied()
+        v = self.latest()
+        v = 0 if v is None else v + 1
+        df.write.mode("overwrite").parquet(self.path(v))
+        _put(self.spark, f"{self.path(v)}.json", json.dumps({**applied, source: int(batch_id)}))
+        self._clean()
+        return v
+
+    def _clean(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for v in self.versions()[:-KEPT_VERSIONS]:
+            for path in (f"{self.path(v)}.json", self.path(v)):
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(conf).delete(p, True)
+
 
+def tables(spark: SparkSession, root: str) -> dict[str, VersionedTable]:
+    return {n: VersionedTable(spark, f"{root.rstrip('/')}/{n}") for n in (*TABLES, "rejected")}
 
-def _seq_of(batch_id: int, *more):
-    """Ordering of versions: batch, then source file, then the document's
-    own update stamp (later wins)."""
-    return F.struct(F.lit(int(batch_id)).alias("batch"), F.input_file_name().alias("file"), *more)
+
+def publish(spark: SparkSession, root: str) -> dict[str, int | None]:
+    """Make the latest versions of all tables the ones that readers see."""
+    now = {n: t.latest() for n, t in tables(spark, root).items()}
+    _put(spark, f"{root.rstrip('/')}/published-{max([-1, *_pointers(spark, root)]) + 1:012d}.json", json.dumps(now))
+    return now
+
+
+def _pointers(spark: SparkSession, root: str) -> list[int]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/published-*.json")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    return sorted(int(s.getPath().getName()[10:-5]) for s in found)
+
+
+def published(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The five tables (and ``rejected``) as last published together."""
+    at = _pointers(spark, root)
+    if not at:
+        return {}
+    now = json.loads(_get(spark, f"{root.rstrip('/')}/published-{at[-1]:012d}.json"))
+    return {n: t.read(now[n]) for n, t in tables(spark, root).items() if now.get(n) is not None}
+
+
+# ------------------------------------------------------------------ merging
+def _seq(df: DataFrame, stamp: str) -> DataFrame:
+    """Attach what decides which version of a key is later."""
+    at = F.col(LANDED_AT) if LANDED_AT in df.columns else F.lit(None).cast("timestamp")
+    row = [c for c in df.columns if c != LANDED_AT]
+    return df.withColumn(SEQ, F.struct(F.col(stamp).alias("updated"), at.alias("landed"),
+                                       F.to_json(F.struct(*row)).alias("row"))).drop(LANDED_AT)
+
+
+def _latest(df: DataFrame, key: str) -> DataFrame:
+    """Latest version per key, with what made it the latest (for the next merge)."""
+    return latest_per_key(df.withColumn("_won", F.col(SEQ)), key).withColumnRenamed("_won", SEQ)
 
 
 def _merge_latest(prev: DataFrame | None, new: DataFrame, key: str = "id") -> DataFrame:
-    """Latest version per key (the sequence column is kept for the next
-    merge); keys missing from ``new`` stay as they are."""
-    both = new if prev is None else prev.unionByName(new)
-    payload = [c for c in both.columns if c != key]
-    g = (both.filter(F.col(key).isNotNull()).groupBy(key)
-         .agg(F.max_by(F.struct(*payload), F.col(SEQ)).alias("_r")))
-    return g.select(key, "_r.*")
-
-
-def _previous(t: VersionedTable, batch_id: int) -> DataFrame | None:
-    v = t.latest(before=batch_id)
-    return t.read(v, with_seq=True) if v is not None else None
-
-
-def order_batch_writer(table: VersionedTable):
-    """foreachBatch function: merge a batch of order pages, latest wins."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if table.committed(batch_id):
-            return
-        flat = landed.flatten_orders(batch).withColumn(
-            SEQ, _seq_of(batch_id, F.col("updated_date").alias("updated")))
-        table.write(_merge_latest(_previous(table, batch_id), flat), batch_id)
-    return run
-
-
-def employee_batch_writer(table: VersionedTable):
-    """foreachBatch function: merge a batch of employee pages, latest wins."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if table.committed(batch_id):
-            return
-        flat = landed.flatten_employees(batch).withColumn(
-            SEQ, _seq_of(batch_id, F.col("updated_date").alias("updated")))
-        table.write(_merge_latest(_previous(table, batch_id), flat), batch_id)
-    return run
-
-
-def job_batch_writer(jobs: VersionedTable, labor: VersionedTable, parts: VersionedTable):
-    """foreachBatch function for job documents: first wins per job id (a
-    stored job is never refreshed); the children of a newly inserted job
-    come from the document that won and replace lines by line id."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if all(t.committed(batch_id) for t in (jobs, labor, parts)):
-            return
-        docs = batch.filter(F.col("id").isNotNull()).withColumn(
-            SEQ, _seq_of(batch_id, F.col("updatedDate").alias("updated")))
-        won = first_per_key(docs.select("id", SEQ, F.col(SEQ).alias("_won")), "id", SEQ)
-        known = _previous(jobs, batch_id)
-        if known is not None:
-            won = won.join(known.select("id"), "id", "left_anti")
-        winners = docs.join(won.select("id", F.col("_won").alias(SEQ)), ["id", SEQ], "left_semi")
-        new_jobs = landed.flatten_jobs(winners).join(winners.select("id", SEQ), "id")
-        # each child row comes from exactly one winning document: the batch
-        # number alone orders its versions
-        child_seq = F.struct(F.lit(int(batch_id)).alias("batch"), F.lit("").alias("file"),
-                             F.lit(None).cast("string").alias("updated"))
-        new_labor = landed.flatten_labor(winners).withColumn(SEQ, child_seq)
-        new_parts = landed.flatten_parts(winners).withColumn(SEQ, child_seq)
-        labor.write(_merge_latest(_previous(labor, batch_id), new_labor), batch_id)
-        parts.write(_merge_latest(_previous(parts, batch_id), new_parts), batch_id)
-        jobs.write(new_jobs if known is None else known.unionByName(new_jobs), batch_id)
-    return run
-
-
-def start(spark: SparkSession, kind: str, landing: str, table_root: str,
-          checkpoint: str | None = None, max_files_per_trigger: int | None = None,
-          multi_line: bool = False):
+    """Latest version per key.  The batch alone is reduced to one row per key;
+    stored rows without a new version pass through an anti join, and only the
+    others are compared."""
+    new = _latest(new, key)
+    if prev is None:
+        return new
+    ids = new.select(key)
+    met = prev.join(ids, key, "left_semi").unionByName(new)
+    return prev.join(ids, key, "left_anti").unionByName(_latest(met, key))
+
+
+def _flat(pages: DataFrame, flatten) -> DataFrame:
+    """Flat rows of pages, with the landing time of their file."""
+    if LANDED_AT not in pages.columns:
+        return flatten(pages)
+    return flatten(pages, keep=[LANDED_AT])
+
+
+def _reject(table: VersionedTable, kind: str, bad: DataFrame, source: str, batch_id: int) -> None:
+    """Append what could not be stored: (kind, reason, text)."""
+    if table.holds(f"{source}/{kind}", batch_id):
+        return
+    rows = bad.select(F.lit(kind).alias("kind"), "reason", "text")
+    old = table.read()
+    table.write(rows if old is None else old.unionByName(rows), f"{source}/{kind}", batch_id)
+
+
+def _unreadable(docs: DataFrame) -> DataFrame:
+    if CORRUPT not in docs.columns:
+        return docs.limit(0).select(F.lit("").alias("reason"), F.lit("").alias("text"))
+    return docs.filter(F.col(CORRUPT).isNotNull()).select(F.lit("unreadable").alias("reason"), F.col(CORRUPT).alias("text"))
+
+
+def _readable(docs: DataFrame) -> DataFrame:
+    return docs.filter(F.col(CORRUPT).isNull()).drop(CORRUPT) if CORRUPT in docs.columns else docs
+
+
+def _without_id(rows: DataFrame) -> DataFrame:
+    return rows.filter("id is null").select(F.lit("no id").alias("reason"), F.to_json(F.struct("*")).alias("text"))
+
+
+def _latest_writer(root: str, name: str, kind: str, flatten):
+    def write(batch: DataFrame, batch_id: int, source: str) -> None:
+        spark = batch.sparkSession
+        t = tables(spark, root)
+        if not t[name].holds(source, batch_id):
+            rows = _flat(_readable(batch), flatten)
+            _reject(t["rejected"], kind, _unreadable(batch).unionByName(_without_id(rows.drop(LANDED_AT))), source, batch_id)
+            new = _seq(rows.filter("id is not null"), "updated_date")
+            t[name].write(_merge_latest(t[name].read(with_seq=True), new), source, batch_id)
+        publish(spark, root)
+    return write
+
+
+def order_batch_writer(root: str):
+    """Merge a batch of order pages, latest wins."""
+    return _latest_writer(root, "repair_orders", "order", landed.flatten_orders)
+
+
+def employee_batch_writer(root: str):
+    """Merge a batch of employee pages, latest wins."""
+    return _latest_writer(root, "employees", "employee", landed.flatten_employees)
+
+
+def job_batch_writer(root: str):
+    """First wins per job id (a stored job is never refreshed); the lines of a
+    newly inserted job come from the document that won and replace stored
+    lines of the same id.  The three tables are published together."""
+    def write(batch: DataFrame, batch_id: int, source: str) -> None:
+        spark = batch.sparkSession
+        t = tables(spark, root)
+        if not t["jobs"].holds(source, batch_id):
+            docs = _readable(batch)
+            plain = docs.drop(LANDED_AT)
+            _reject(t["rejected"], "job", _unreadable(batch).unionByName(_without_id(plain)), source, batch_id)
+            docs = _seq(docs.filter("id is not null"), "updatedDate")
+            known = t["jobs"].read(with_seq=True)
+            first = first_per_key(docs)
+            if known is not None:
+                first = first.join(known.select("id"), "id", "left_anti")
+            # children before the job: a replay after a lost driver finds the job unseen and starts over
+            for name, flatten in (("labor_lines", landed.flatten_labor), ("parts", landed.flatten_parts)):
+                if not t[name].holds(source, batch_id):
+                    lines = flatten(first)
+                    turn = F.struct(F.lit((t[name].latest() or 0) + 1).alias("version"), F.to_json(F.struct("*")).alias("row"))
+                    t[name].write(_merge_latest(t[name].read(with_seq=True), lines.withColumn(SEQ, turn)), source, batch_id)
+            new = landed.flatten_jobs(first)
+            t["jobs"].write(new if known is None else known.unionByName(new), source, batch_id)
+        publish(spark, root)
+    return write
+
+
+WRITERS = {"orders": (S.ORDER_PAGE, order_batch_writer), "employees": (S.EMPLOYEE_PAGE, employee_batch_writer),
+           "jobs": (S.JOB, job_batch_writer)}
+
+
+def landed_at() -> Column:
+    return F.col("_metadata.file_modification_time").alias(LANDED_AT)
+
+
+def start(spark: SparkSession, kind: str, landing: str, table_root: str, checkpoint: str | None = None,
+          max_files_per_trigger: int | None = None, multi_line: bool = False):
     """Start an availableNow stream for ``kind`` in {orders, employees, jobs}.
-    Returns the StreamingQuery (call ``awaitTermination()``)."""
-    schema = {"orders": S.ORDER_PAGE, "employees": S.EMPLOYEE_PAGE, "jobs": S.JOB}[kind]
-    reader = spark.readStream.schema(schema).option("multiLine", str(multi_line).lower())
+    Returns the StreamingQuery (call ``awaitTermination()``).  Without a
+    ``checkpoint``, each pair of landing folder and table root has its own."""
+    schema, writer = WRITERS[kind]
+    schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = (spark.readStream.schema(schema).option("multiLine", str(multi_line).lower())
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    src = reader.json(landing)
-    if kind == "orders":
-        fn = order_batch_writer(VersionedTable(spark, f"{table_root}/repair_orders"))
-    elif kind == "employees":
-        fn = employee_batch_writer(VersionedTable(spark, f"{table_root}/employees"))
-    else:
-        fn = job_batch_writer(VersionedTable(spark, f"{table_root}/jobs"),
-                              VersionedTable(spark, f"{table_root}/labor_lines"),
-                              VersionedTable(spark, f"{table_root}/parts"))
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark)}/shoplens-stream/{kind}"
-    return (src.writeStream.foreachBatch(fn).option("checkpointLocation", ckpt)
+    src = reader.json(landing).select("*", landed_at())
+    pair = hashlib.sha1(f"{landing.rstrip('/')}\n{table_root.rstrip('/')}".encode()).hexdigest()[:16]
+    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark)}/shoplens-stream/{kind}-{pair}"
+    write = writer(table_root)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        # the id that Spark gave this checkpoint: another checkpoint is another source
+        stream = json.loads(_get(batch.sparkSession, f"{ckpt}/metadata"))["id"]
+        batch = batch.persist()
+        try:
+            write(batch, batch_id, f"stream:{stream}")
+        finally:
+            batch.unpersist()
+
+    return (src.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
             .trigger(availableNow=True).start())

@@ -35,7 +35,7 @@ def main() -> int:
         except Exception as e:  # noqa: BLE001
             r = {"ok": False, "error": str(e)[:400]}
         dt = time.time() - t0
-        if not r.get("ok"):
+        if r.get("ok") is False:
             bad += 1
         print(f"{k:32s} {str(r.get('ok')):5s} {dt:6.1f}s "
               + ("" if r.get("ok") else json.dumps(r, default=str)[:1500]), flush=True)

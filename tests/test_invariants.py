@@ -81,18 +81,35 @@ def test_period_comparison_previous_equals_revenue_of_previous_period(spark):
     assert (c.current_ro_count, c.current_total_sales) == (cur.ro_count, cur.total_sales)
 
 
-@pytest.mark.parametrize("buckets", [None, 4])
-def test_silver_layouts_round_trip(spark, tmp_dir, buckets):
+def test_silver_layout_round_trip(spark, tmp_dir):
     from shoplens.sources.silver import TABLE_NAMES, Shop
 
     shop = load_shop(spark, SF)
-    root = os.path.join(tmp_dir, f"silver-{buckets}")
-    shop.write(root, buckets=buckets)
+    root = os.path.join(tmp_dir, "silver")
+    shop.write(root)
     back = Shop.read(spark, root)
     for n in TABLE_NAMES:
         a, b = getattr(shop, n), getattr(back, n)
         assert sorted(a.columns) == sorted(b.columns), n
         assert a.exceptAll(b.select(*a.columns)).count() == 0, n
         assert b.count() == a.count(), n
-    plan = back.labor_lines.groupBy("job_id").count()._jdf.queryExecution().executedPlan().toString()
-    assert ("Exchange" not in plan) == bool(buckets)
+
+
+def test_hot_month_is_several_files(spark, tmp_dir, make_shop):
+    """One month (and one job) holds nearly all labor lines: it is written by several tasks."""
+    import glob
+
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        shop = make_shop(orders=[dict(id=1, posted_date="2020-01-05"), dict(id=2, posted_date="2020-02-05")],
+                         jobs=[dict(id=1, repair_order_id=1), dict(id=2, repair_order_id=2)])
+        shop.labor_lines = spark.range(20_000).selectExpr(
+            "id", "1 as job_id", "md5(cast(id as string)) as name", "1 as rate", "1.0 as hours", "1 as complete",
+            "1 as technician_id", "1 as repair_order_id", "date'2020-01-01' as completed_day",
+            "date'2020-01-05' as posted_day", "date'2020-01-01' as created_day")
+        shop.write(os.path.join(tmp_dir, "hot"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    files = glob.glob(os.path.join(tmp_dir, "hot/labor_lines/posted_month=202001/*.parquet"))
+    assert len(files) > 3

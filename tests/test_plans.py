@@ -17,7 +17,7 @@ FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "Car
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    import __spark_entry__ as E
+    from shoplens.plans import registry
 
     old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold",
                                                "spark.sql.adaptive.autoBroadcastJoinThreshold")}
@@ -25,7 +25,7 @@ def plans(spark):
         spark.conf.set(k, "-1")
     try:
         yield {k: fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
-               for k, fn in E.queries().items()}
+               for k, fn in registry.queries().items()}
     finally:
         for k, v in old.items():
             if v is None:
@@ -48,11 +48,37 @@ def test_period_filter_reaches_the_scan(plans, key, column):
     assert re.search(rf"PushedFilters: \[[^\]]*GreaterThanOrEqual\({column}", plans[key]), key
 
 
-@pytest.mark.parametrize("key", ["parts_cost_per_job", "labor_hours_per_job"])
-def test_per_job_aggregates_are_bucket_local(plans, key):
-    assert "Exchange" not in plans[key]
+def test_reports_read_only_needed_order_columns(plans):
+    scan = re.search(r"FileScan parquet \[([^\]]*)\]", plans["revenue"])
+    assert scan and len(scan.group(1).split(",")) <= 9
 
 
-def test_reports_read_only_needed_order_columns(plans):
-    scan = re.search(r"repair_orders\[([^\]]*)\]", plans["revenue"])
-    assert scan and len(scan.group(1).split(",")) <= 8
+def _tree(plan: str) -> list[tuple[int, str]]:
+    """(depth, node) per line of a plan."""
+    out = []
+    for line in plan.splitlines():
+        m = re.match(r"([\s:|]*)(?:\+- |:- )?(?:\*\(\d+\) )?(\w.*)", line)
+        if m:
+            out.append((len(line) - len(line.lstrip(" :+-|")), m.group(2)))
+    return out
+
+
+def test_no_window_over_one_partition(plans):
+    """What comes together in one task is a partial aggregate or a sorted report, never a window."""
+    for k, plan in plans.items():
+        nodes = _tree(plan)
+        for (d, n), (_, below) in zip(nodes, nodes[1:]):
+            if n.startswith("Window") and "SinglePartition" in plan[plan.index(n):plan.index(n) + 600]:
+                assert "SinglePartition" not in below, (k, below)
+
+
+@pytest.mark.parametrize("key", ["revenue", "technician_metrics", "technician_trend", "job_category_metrics",
+                                 "missed_revenue_summary", "top_declined_jobs", "shop_rate", "advisor_metrics"])
+def test_fact_scans_prune_months_and_days(plans, key):
+    """Every scan of a large table in a report on the default basis prunes partitions and pushes the day predicate."""
+    scans = re.findall(r"FileScan parquet [^\n]*", plans[key])
+    facts = [x for x in scans if re.search(r"/(repair_orders|jobs|labor_lines|parts)[\],]", x)]
+    assert facts
+    for x in facts:
+        assert re.search(r"PartitionFilters: \[[^\]]*posted_month", x), (key, x[:400])
+        assert "posted_day" in x[x.index("PushedFilters"):], (key, x[:400])

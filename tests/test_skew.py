@@ -72,9 +72,9 @@ def test_category_metrics_under_skew(make_shop, skewed):
     assert sum(r.percent_of_shop_revenue for r in got.values()) == pytest.approx(100.0)
 
 
-def test_adapter_line_positions_for_a_hot_job(spark):
+def test_adapter_line_ids_for_a_hot_job(spark):
     """One (order, line number) holds most lineitem rows and spans several
-    range partitions: positions must still be 0..n-1 in line order."""
+    range partitions: ids must still be distinct, gapless and in line order."""
     from shoplens.sources import adapter
 
     rnd = random.Random(3)
@@ -93,8 +93,22 @@ def test_adapter_line_positions_for_a_hot_job(spark):
                                        F.lit("STANDARD").alias("p_type"),
                                        F.lit("x").alias("p_name"))
     lines = adapter._lines(li, part).toPandas()
-    assert len(lines) == 400
+    assert len(lines) == 400 and sorted(lines.line_id) == list(range(400))
+    assert len({r.id for r in adapter.labor_lines(adapter._lines(li, part)).collect()}) == 400
     for (o, ln), g in lines.groupby(["l_orderkey", "l_linenumber"]):
         g = g.sort_values("l_partkey")   # unique here, so it fixes the line order
-        assert list(g.pos) == list(range(len(g)))
+        assert list(g.line_id) == list(range(g.line_id.min(), g.line_id.min() + len(g)))
         assert (g.pk == g.l_partkey.min()).all() and (g.sk == g.l_suppkey.min()).all()
+
+
+def test_adapter_raises_on_line_numbers_outside_the_job_key(spark):
+    from shoplens.sources import adapter
+
+    rows = [(1, 9, 1, 1, 1.0, 1.0, 0.0, 0.0, "N", "O", dt.datetime(2000, 1, 1))]
+    li = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, "
+                               "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                               "l_linestatus string, l_shipdate timestamp_ntz")
+    part = spark.range(0, 5).select(F.col("id").alias("p_partkey"), F.lit("STANDARD").alias("p_type"),
+                                    F.lit("x").alias("p_name"))
+    with pytest.raises(Exception, match="job key"):
+        adapter._lines(li, part).collect()

@@ -55,24 +55,92 @@ def test_orders_one_batch_equals_many_batches_and_replay(spark, tmp_dir):
     _run(spark, "orders", landing, many, os.path.join(tmp_dir, "ck2"), max_files=1)
     t_one = ST.VersionedTable(spark, f"{one}/repair_orders")
     t_many = ST.VersionedTable(spark, f"{many}/repair_orders")
-    assert len(t_one.versions()) == 1 and len(t_many.versions()) == 4
+    assert t_one.versions() == [0] and t_many.versions() == [1, 2, 3]   # old versions are cleaned
     a, b = t_one.read(), t_many.read()
     assert _rows(a) == _rows(b)
     bumped = a.filter(F.col("id") < 50).agg(F.min("updated_date")).first()[0]
     assert bumped.startswith("2999")
     assert a.count() == shop.repair_orders.count()
 
-    # replay of a committed batch id is a no-op; a re-landed page is harmless
+    # replay of a batch that the table holds is a no-op; a re-landed page is harmless
     before = _rows(t_many.read())
-    writer = ST.order_batch_writer(t_many)
+    writer = ST.order_batch_writer(many)
     page = spark.read.schema(S.ORDER_PAGE).json(files[0])
-    writer(page, 0)
-    assert t_many.versions() == [0, 1, 2, 3]
-    writer(page, 4)                 # re-fetched page: latest wins, no duplicates
+    (source, last), = t_many.applied().items()
+    writer(page, last, source)
+    assert t_many.versions() == [1, 2, 3]
+    writer(page, last + 1, source)                 # re-fetched page: latest wins, no duplicates
     after = t_many.read()
     assert after.count() == len(before) and after.select("id").distinct().count() == len(before)
 
 
+def _page(*orders):
+    import json
+
+    return json.dumps({"content": [dict(id=i, repairOrderNumber=i, totalSales=t, updatedDate=u) for i, t, u in orders]})
+
+
+def _write(path, name, *lines):
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, name), "w") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+def _orders(spark, root):
+    return {r.id: r.total_sales for r in ST.published(spark, root)["repair_orders"].collect()}
+
+
+def test_new_checkpoint_counts_new_files(spark, tmp_dir):
+    land, root = f"{tmp_dir}/in", f"{tmp_dir}/out"
+    _write(land, "a.json", _page((1, 10, "2020-01-01")))
+    _run(spark, "orders", land, root, f"{tmp_dir}/ck1")
+    _write(f"{tmp_dir}/in2", "b.json", _page((2, 20, "2020-01-01")))
+    _run(spark, "orders", f"{tmp_dir}/in2", root, f"{tmp_dir}/ck2")
+    assert _orders(spark, root) == {1: 10, 2: 20}
+
+
+def test_default_checkpoints_tell_targets_apart(spark, tmp_dir):
+    land = f"{tmp_dir}/in"
+    _write(land, "a.json", _page((1, 10, "2020-01-01")))
+    for target in ("x", "y"):
+        _run(spark, "orders", land, f"{tmp_dir}/{target}", None)
+        assert _orders(spark, f"{tmp_dir}/{target}") == {1: 10}
+
+
+@pytest.mark.parametrize("max_files", [None, 1])
+def test_update_stamp_wins_whatever_the_file_name(spark, tmp_dir, max_files):
+    land, root = f"{tmp_dir}/in", f"{tmp_dir}/out"
+    _write(land, "page-10.json", _page((1, 10, "2020-02-01")))
+    _write(land, "page-9.json", _page((1, 9, "2020-01-01"), (2, 5, None), (2, 5, None)))
+    _run(spark, "orders", land, root, f"{tmp_dir}/ck", max_files)
+    assert _orders(spark, root) == {1: 10, 2: 5}
+
+
+def test_later_landing_wins_without_stamps(spark, tmp_dir):
+    land, root = f"{tmp_dir}/in", f"{tmp_dir}/out"
+    _write(land, "z.json", '{"content": [{"id": 1, "firstName": "Zoe"}]}')
+    os.utime(f"{land}/z.json", (1_000_000_000, 1_000_000_000))
+    _write(land, "a.json", '{"content": [{"id": 1, "firstName": "Ann"}]}')
+    os.utime(f"{land}/a.json", (1_100_000_000, 1_100_000_000))
+    _run(spark, "employees", land, root, f"{tmp_dir}/ck")
+    assert [r.first_name for r in ST.published(spark, root)["employees"].collect()] == ["Ann"]
+
+
+def test_rejects_and_lines_without_id(spark, tmp_dir):
+    land, root = f"{tmp_dir}/in", f"{tmp_dir}/out"
+    _write(land, "j.json", "{broken", '{"name": "no id"}',
+           '{"id": 7, "labor": [{"hours": 1.0}, {"hours": 1.0}, {"id": 3}], "parts": [{"cost": 5}]}')
+    _run(spark, "jobs", land, root, f"{tmp_dir}/ck")
+    out = ST.published(spark, root)
+    assert sorted((r.kind, r.reason) for r in out["rejected"].collect()) == [("job", "no id"), ("job", "unreadable")]
+    assert [r.id for r in out["jobs"].collect()] == [7]
+    labor = out["labor_lines"].collect()
+    assert len(labor) == 3 and len({r.id for r in labor}) == 3 and out["parts"].count() == 1
+    # the same documents again: same generated keys, nothing doubled
+    _run(spark, "jobs", land, root, f"{tmp_dir}/ck-other")
+    assert ST.published(spark, root)["labor_lines"].count() == 3
+
+
 def test_jobs_first_wins_with_children(spark, tmp_dir):
     shop = load_shop(spark, SF)
     landing = os.path.join(tmp_dir, "landing_jobs")

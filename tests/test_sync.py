@@ -1,4 +1,4 @@
-"""K4 batch sync: statistics, first-wins jobs across runs, replay safety."""
+"""K4 batch sync: window, statistics, first-wins jobs across runs, replay safety, and reports on its tables."""
 
 from __future__ import annotations
 
@@ -7,47 +7,96 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from shoplens.plans.sync import run_full_sync
-from shoplens.sources import documents
-from shoplens.sources.silver import load_shop
+from shoplens.functions.params import ingest_window
+from shoplens.operators import revenue
+from shoplens.plans import registry
+from shoplens.plans.sync import refine, run_full_sync
+from shoplens.sources import documents, landed
+from shoplens.sources.silver import Shop, load_shop
+from shoplens.streaming import ingest_stream as ST
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+AS_OF = registry.AS_OF
 
 
-def test_full_sync_stats_and_rerun(spark, tmp_dir):
+def _land(spark, shop, land, extra=()):
+    documents.employee_pages_text(shop).write.text(f"{land}/employee_pages")
+    documents.order_pages_text(shop).write.text(f"{land}/order_pages")
+    docs = documents.job_documents_text(shop)
+    if extra:
+        docs = docs.unionByName(spark.createDataFrame([(x,) for x in extra], "value string"))
+    docs.write.text(f"{land}/job_documents")
+
+
+def _in_window(shop):
+    orders = landed.in_ingest_window(shop.repair_orders, ingest_window(AS_OF))
+    jobs = shop.jobs.join(orders.select(F.col("id").alias("repair_order_id")), "repair_order_id", "left_semi")
+    return orders, jobs
+
+
+def test_full_sync_result_and_rerun(spark, tmp_dir):
     shop = load_shop(spark, SF)
     land = os.path.join(tmp_dir, "landed")
+    orders, jobs = _in_window(shop)
+    cut = jobs.select(F.percentile_approx("id", 0.2)).first()[0]
+    # documents of jobs with small ids never arrived; one landed line is corrupt, one is of a job nobody mentions
+    present = Shop(shop.employees, shop.repair_orders, shop.jobs.filter(F.col("id") >= cut), shop.labor_lines, shop.parts)
     documents.employee_pages_text(shop).write.text(f"{land}/employee_pages")
     documents.order_pages_text(shop).write.text(f"{land}/order_pages")
-    # documents of jobs with id < 200 never arrived; one landed line is corrupt
-    missing = shop.jobs.filter(F.col("id") < 200)
-    present = type(shop)(shop.employees, shop.repair_orders, shop.jobs.filter(F.col("id") >= 200),
-                         shop.labor_lines, shop.parts)
-    docs = documents.job_documents_text(present).unionByName(
-        spark.createDataFrame([("{not json",)], "value string"))
-    docs.write.text(f"{land}/job_documents")
-    n_jobs, n_missing = shop.jobs.count(), missing.count()
-    assert n_missing > 0
-
-    root = os.path.join(tmp_dir, "silver")
-    r0 = run_full_sync(spark, land, root, 0)
-    s0 = r0.stats.first().asDict()
-    assert s0 == dict(jobs_found=n_jobs, jobs_synced=n_jobs - n_missing, jobs_skipped=0,
-                      jobs_failed=n_missing)
-    assert r0.errors.count() == min(25, n_missing)
-
-    r1 = run_full_sync(spark, land, root, 1)
-    s1 = r1.stats.first().asDict()
+    documents.job_documents_text(present).unionByName(spark.createDataFrame(
+        [("{not json",), ('{"id": 999999999}',)], "value string")).write.text(f"{land}/job_documents")
+    n_jobs, n_missing, n_orders = jobs.count(), jobs.filter(F.col("id") < cut).count(), orders.count()
+    assert 0 < n_missing < n_jobs and 0 < n_orders < shop.repair_orders.count()
+
+    root = os.path.join(tmp_dir, "tables")
+    r0 = run_full_sync(spark, land, root, 0, AS_OF)
+    assert r0.stats.first().asDict() == dict(
+        jobs_found=n_jobs, jobs_synced=n_jobs - n_missing, jobs_skipped=0, jobs_failed=n_missing,
+        employees_synced=shop.employees.count(), orders_synced=n_orders)
+    assert r0.errors.count() == min(25, n_missing) and r0.started_at <= r0.finished_at
+    out = ST.published(spark, root)
+    assert out["jobs"].count() == n_jobs - n_missing and out["repair_orders"].count() == n_orders
+    assert out["rejected"].filter("reason = 'unreadable'").count() == 1
+
+    s1 = run_full_sync(spark, land, root, 1, AS_OF).stats.first().asDict()
     assert s1["jobs_synced"] == 0 and s1["jobs_skipped"] == n_jobs - n_missing
     assert s1["jobs_failed"] == n_missing            # failed jobs are retried next run
+    jobs_table = ST.VersionedTable(spark, f"{root}/jobs")
+    assert jobs_table.versions() == [0, 1] and jobs_table.read().count() == n_jobs - n_missing
+    # replaying a run id changes nothing
+    run_full_sync(spark, land, root, 1, AS_OF)
+    assert jobs_table.versions() == [0, 1]
+
+
+def test_stream_after_sync_on_one_root(spark, tmp_dir):
+    shop = load_shop(spark, SF)
+    land, root = os.path.join(tmp_dir, "landed"), os.path.join(tmp_dir, "tables")
+    _land(spark, shop, land)
+    run_full_sync(spark, land, root, 0, AS_OF)
+    before = ST.published(spark, root)["repair_orders"].count()
+    os.makedirs(f"{tmp_dir}/more")
+    with open(f"{tmp_dir}/more/p.json", "w") as f:
+        f.write('{"content": [{"id": 99000001, "totalSales": 1}]}\n')
+    ST.start(spark, "orders", f"{tmp_dir}/more", root, checkpoint=f"{tmp_dir}/ck").awaitTermination()
+    assert ST.published(spark, root)["repair_orders"].count() == before + 1
+
+
+def test_reports_on_synced_tables(spark, tmp_dir):
+    """Sync, refine, read: the reports equal those on the derived tables, within the window."""
+    shop = load_shop(spark, SF)
+    land, root = os.path.join(tmp_dir, "landed"), os.path.join(tmp_dir, "tables")
+    _land(spark, shop, land)
+    run_full_sync(spark, land, root, 0, AS_OF)
+    refine(spark, root, f"{tmp_dir}/silver")
+    got = Shop.read(spark, f"{tmp_dir}/silver")
+    assert {"posted_day", "completed_day", "created_day", "synced_at"} <= set(got.repair_orders.columns)
+    orders, jobs = _in_window(shop)
+    ids = jobs.select(F.col("id").alias("job_id"))
+    want = Shop(shop.employees, orders, jobs, shop.labor_lines.join(ids, "job_id", "left_semi"),
+                shop.parts.join(ids, "job_id", "left_semi"))
+    from shoplens.operators import categories, people
 
-    from shoplens.streaming.ingest_stream import VersionedTable
-    jobs = VersionedTable(spark, f"{root}/jobs")
-    assert jobs.versions() == [0, 1]
-    assert jobs.read().count() == n_jobs - n_missing
-    emp = VersionedTable(spark, f"{root}/employees").read()
-    assert emp.count() == shop.employees.count()
-    # replaying a committed run id changes nothing
-    run_full_sync(spark, land, root, 1)
-    assert jobs.versions() == [0, 1]
+    for report in (revenue.revenue, people.technician_metrics, categories.job_category_metrics):
+        rows = [sorted(map(str, report(s, registry.YEAR, "revenue").collect())) for s in (got, want)]
+        assert rows[0] == rows[1] and rows[0]
