@@ -65,18 +65,21 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
 def sketches(shingles: np.ndarray, seeds: np.ndarray, samples: int = SAMPLES) -> tuple[list[int], bytes]:
     """The sketch values (signed 64-bit) and the signature of a document with at least one shingle."""
     n, keys = len(shingles), labelled(shingles)
-    out = []
-    for k, seed in enumerate(seeds):
-        # a random order of the labelled shingles: an odd multiplier and the high bits
-        order = (keys ^ (keys >> np.uint64(29))) * seed
-        least = np.argpartition(order, samples - 1)[:samples] if n > samples else np.arange(n)
-        least = np.sort(least)  # text order
-        value = np.uint64(k + 1)
-        with np.errstate(over="ignore"):
-            for h in keys[least]:
-                value = (value ^ h) * np.uint64(0xD1342543DE82EF95)
-                value ^= value >> np.uint64(32)
-        out.append(int(value.astype(np.int64)))
+    mixed, out = keys ^ (keys >> np.uint64(29)), []
+    step = max(1, 2_000_000 // n)  # sketches at a time, for bounded memory
+    for at in range(0, len(seeds), step):
+        # a random order of the labelled shingles per sketch: an odd multiplier
+        orders = mixed[None] * seeds[at:at + step, None]
+        rows, least = np.arange(len(orders)), []
+        for _ in range(min(samples, n)):
+            least.append(orders.argmin(1))
+            orders[rows, least[-1]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        chosen = keys[np.sort(np.stack(least, 1), 1)]  # in text order
+        value = (at + 1 + rows).astype(np.uint64)
+        for h in chosen.T:
+            value = (value ^ h) * np.uint64(0xD1342543DE82EF95)
+            value ^= value >> np.uint64(32)
+        out += value.view(np.int64).tolist()
     # one permutation, SIGNATURE bins, the low byte of each bin's least hash; 0: empty bin
     once = np.unique(shingles)
     bins = (once >> np.uint64(64 - 6)).astype(np.int64)
@@ -102,10 +105,9 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 words = find(text.lower())
                 if len(known) > 1_000_000:
                     known.clear()
-                for w in words:
-                    if w not in known:
-                        known[w] = xxhash.xxh3_64_intdigest(w)
-                hashes = np.fromiter((known[w] for w in words), np.uint64, len(words))
+                for w in [w for w in set(words) if w not in known]:
+                    known[w] = xxhash.xxh3_64_intdigest(w)
+                hashes = np.array([known[w] for w in words], np.uint64)
                 cls = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 keys, signature = sketches(shingle_hashes(hashes), seeds) if words else ([], b"")
                 rows.append((doc, cls, len(words), keys, signature))
@@ -174,55 +176,58 @@ def _aligned(pairs: DataFrame, src: DataFrame, threshold: float) -> DataFrame:
 
 
 def _passing(rows: DataFrame, first_only: bool, threshold: float) -> DataFrame:
-    """Pairs of each block of a sketch value whose labels differ and whose
-    lengths and signatures allow a link; ``first_only``: per row the first."""
+    """Pairs (smaller id first) of each block of a sketch value whose labels
+    differ and whose lengths and signatures allow a link; ``first_only``: per
+    row only that with the smallest id."""
     least, places = LEAST_AGREED, SIGNATURE
 
-    def pairs_of(key, docs, labels, sizes, marks, sides, one):
-        for i in range(0, len(docs), 200):  # rows in strips, for bounded memory
-            mine = slice(i, i + 200)
-            used = (marks[mine, None, :] != 0) | (marks[None, :, :] != 0)
-            same = (marks[mine, None, :] == marks[None, :, :]) & (marks[mine, None, :] != 0)
-            agreed = same.sum(2) >= np.maximum(1, np.floor(least * used.sum(2)))
-            short, long = np.minimum(sizes[mine, None], sizes[None]), np.maximum(sizes[mine, None], sizes[None])
-            ok = agreed & (labels[mine, None] != labels[None]) & (short >= threshold * long - 1e-9) & (
-                docs[None] < docs[mine, None])
-            if not one:  # two different blocks: pairs within each are those of its own block
-                ok &= sides[mine, None] != sides[None]
-            if first_only:
-                hit = ok.any(1)
-                yield docs[np.argmax(ok, 1)[hit]], docs[mine][hit]
-            else:
-                x, y = np.nonzero(ok)
-                yield docs[y], docs[mine][x]
+    def work(frame: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        docs, labels, words, side = (frame[c].to_numpy() for c in ("doc_id", "label", "n_words", "side"))
+        marks = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(-1, places)
+        own = frame["bi"].to_numpy() == frame["bj"].to_numpy()
+        first, found, apart = np.full(len(docs), -1), [], 1
+        while apart < len(docs):  # all rows and the row so many places on, while groups are that large
+            at = np.flatnonzero(group[apart:] == group[:-apart])
+            if not len(at):
+                break
+            for i in range(0, len(at), 50_000):
+                a = at[i:i + 50_000]
+                b = a + apart
+                short, long = np.minimum(words[a], words[b]), np.maximum(words[a], words[b])
+                # of two different blocks, pairs within each are those of its own block
+                ok = (labels[a] != labels[b]) & (short >= threshold * long - 1e-9) & (own[a] | (side[a] != side[b]))
+                a, b = a[ok], b[ok]
+                x, y = marks[a], marks[b]
+                agreed = ((x == y) & (x != 0)).sum(1)
+                used = ((x != 0) | (y != 0)).sum(1)
+                ok = agreed >= np.maximum(1, np.floor(least * used))
+                if first_only:
+                    first[b[ok]] = a[ok]  # of several, the one furthest away is the first
+                else:
+                    found.append((docs[a[ok]], docs[b[ok]]))
+            apart += 1
+        if first_only:
+            b = np.flatnonzero(first >= 0)
+            found = [(docs[first[b]], docs[b])]
+        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
-
-        def one(group: pd.DataFrame):
-            group = group.sort_values("doc_id")
-            marks = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(-1, places)
-            return pairs_of(None, group["doc_id"].to_numpy(), group["label"].to_numpy(), group["n_words"].to_numpy(),
-                            marks, group["side"].to_numpy(), group["bi"].iloc[0] == group["bj"].iloc[0])
-
-        def emit(groups: list):
-            found = [(a, b) for g in groups if len(g) > 1 for a, b in one(g)]
-            if found:
-                out = pd.DataFrame({"a": np.concatenate([a for a, _ in found]),
-                                    "b": np.concatenate([b for _, b in found])})
-                yield out.drop_duplicates()
-
         for frame in frames:
-            frame = frame if rest is None else pd.concat([rest, frame])
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             if not len(frame):
                 continue
-            k = frame[["key", "bi", "bj"]].to_numpy()
-            cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-            groups = [frame.iloc[s:e] for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(frame)])]
-            rest = groups.pop()
-            yield from emit(groups)
-        if rest is not None:
-            yield from emit([rest])
+            new = np.zeros(len(frame), bool)
+            for c in ("key", "bi", "bj"):
+                x = frame[c].to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            last = np.flatnonzero(new)[-1] if new.any() else 0  # the last group may go on
+            if last:
+                yield work(frame.iloc[:last], np.cumsum(new[:last]))
+            rest = frame.iloc[last:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield work(rest, np.zeros(len(rest), np.int64))
 
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).withColumn("c", F.ceil(F.col("n") / BLOCK).cast("int"))
     dealt = (rows.join(sizes, "key")
@@ -230,7 +235,7 @@ def _passing(rows: DataFrame, first_only: bool, threshold: float) -> DataFrame:
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
              .select("key", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side",
                      "doc_id", "label", "n_words", "signature"))
-    return (dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    return (dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "doc_id")
             .mapInPandas(blocks, "a long, b long").distinct())
 
 
