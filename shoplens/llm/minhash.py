@@ -11,7 +11,9 @@ each component form one group.
 Order of work, so that a group of a third of all rows stays cheap: documents
 with equal word sequences are one class and only its representative goes on;
 within a sketch value, blocks of at most twice :data:`BLOCK` representatives
-are compared on 64-byte signatures; the first round aligns each representative
+are compared on 128-byte signatures of their words (an alignment of a share t
+of the longer one's words means that t / (2 - t) of all words, with
+multiplicity, are common); the first round aligns each representative
 with one passing predecessor per block, the second only pairs that are then
 still in different components.
 """
@@ -28,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, components, null_safe_semi, saved, with_group_totals
 
-SHINGLE, SAMPLES, SKETCHES, SIGNATURE, BLOCK = 5, 2, 24, 64, 1000
-#: Pairs whose signatures agree on less than this share of places are not aligned.
-LEAST_AGREED = 0.25
+SHINGLE, SAMPLES, SKETCHES, SIGNATURE, BLOCK = 5, 2, 24, 128, 1000
+#: Pairs whose signatures agree on fewer places than an aligned pair's do, by so many standard deviations, are not aligned.
+DEVIATIONS = 4.0
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,8 +64,19 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
     return _mix(shingles + number * np.uint64(0x9E3779B97F4A7C15))
 
 
-def sketches(shingles: np.ndarray, seeds: np.ndarray, samples: int = SAMPLES) -> tuple[list[int], bytes]:
-    """The sketch values (signed 64-bit) and the signature of a document with at least one shingle."""
+def signature(words: np.ndarray) -> bytes:
+    """One byte for each of :data:`SIGNATURE` classes of occurrence-labelled
+    words: of the least hash in the class, 0 if the class is empty."""
+    once = np.sort(labelled(words))
+    classes = (once >> np.uint64(64 - 7)).astype(np.int64)
+    first = np.r_[True, classes[1:] != classes[:-1]]
+    out = np.zeros(SIGNATURE, np.uint8)
+    out[classes[first]] = (once[first] & np.uint64(0xFF)).astype(np.uint8) | np.uint8(1)
+    return out.tobytes()
+
+
+def sketches(shingles: np.ndarray, seeds: np.ndarray, samples: int = SAMPLES) -> list[int]:
+    """The sketch values (signed 64-bit) of a document with at least one shingle."""
     n, keys = len(shingles), labelled(shingles)
     mixed, out = keys ^ (keys >> np.uint64(29)), []
     step = max(1, 2_000_000 // n)  # sketches at a time, for bounded memory
@@ -80,13 +93,7 @@ def sketches(shingles: np.ndarray, seeds: np.ndarray, samples: int = SAMPLES) ->
             value = (value ^ h) * np.uint64(0xD1342543DE82EF95)
             value ^= value >> np.uint64(32)
         out += value.view(np.int64).tolist()
-    # one permutation, SIGNATURE bins, the low byte of each bin's least hash; 0: empty bin
-    once = np.unique(shingles)
-    bins = (once >> np.uint64(64 - 6)).astype(np.int64)
-    first = np.r_[True, bins[1:] != bins[:-1]]
-    signature = np.zeros(SIGNATURE, np.uint8)
-    signature[bins[first]] = (once[first] & np.uint64(0xFF)).astype(np.uint8) | np.uint8(1)
-    return out, signature.tobytes()
+    return out
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,8 +116,8 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     known[w] = xxhash.xxh3_64_intdigest(w)
                 hashes = np.array([known[w] for w in words], np.uint64)
                 cls = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                keys, signature = sketches(shingle_hashes(hashes), seeds) if words else ([], b"")
-                rows.append((doc, cls, len(words), keys, signature))
+                keys, marks = (sketches(shingle_hashes(hashes), seeds), signature(hashes)) if words else ([], b"")
+                rows.append((doc, cls, len(words), keys, marks))
             made = pd.DataFrame(rows, columns=["doc_id", "cls", "n_words", "keys", "signature"])
             made["doc_id"] = made["doc_id"].astype("Int64")
             yield made
@@ -179,7 +186,7 @@ def _passing(rows: DataFrame, first_only: bool, threshold: float) -> DataFrame:
     """Pairs (smaller id first) of each block of a sketch value whose labels
     differ and whose lengths and signatures allow a link; ``first_only``: per
     row only that with the smallest id."""
-    least, places = LEAST_AGREED, SIGNATURE
+    share, places = threshold / (2 - threshold), SIGNATURE
 
     def work(frame: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
         docs, labels, words, side = (frame[c].to_numpy() for c in ("doc_id", "label", "n_words", "side"))
@@ -200,7 +207,7 @@ def _passing(rows: DataFrame, first_only: bool, threshold: float) -> DataFrame:
                 x, y = marks[a], marks[b]
                 agreed = ((x == y) & (x != 0)).sum(1)
                 used = ((x != 0) | (y != 0)).sum(1)
-                ok = agreed >= np.maximum(1, np.floor(least * used))
+                ok = agreed >= np.maximum(1, share * used - DEVIATIONS * np.sqrt(share * (1 - share) * used))
                 if first_only:
                     first[b[ok]] = a[ok]  # of several, the one furthest away is the first
                 else:
