@@ -8,7 +8,8 @@ windows are told apart by a fingerprint under their seed, and the smallest
 document of each window is an aggregation.  Overlapping matched windows merge
 into maximal repeats, whose words go from every document but the first.
 
-Seeds and windows are grouped with map-side sums, so a passage that a third of
+Of equal word sequences only the first document is searched.  Seeds and windows
+are grouped with map-side sums, so a passage that a third of
 all documents share makes no large group; results return to the windows per
 (window, salt).
 """
@@ -118,7 +119,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_c
 
     scanned = saved(src.mapInPandas(
         scan, "doc_id long, rid long, n_words long, kept_sha256 string, seeds array<long>"), "seeds")
-    seeds = scanned.select(F.explode("seeds").alias("seed"), "rid")
+    # equal word sequences: all but the smallest document lose every window, and need no search
+    classes = with_group_totals(
+        scanned.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "rid", "kept_sha256"), ["kept_sha256"], ["rid"],
+        [F.min("id").alias("_m")], [F.min("_m").alias("first")])
+    copies = saved(classes.filter("id > first").select("rid").distinct(), "copies")
+    seeds = scanned.join(copies, "rid", "left_anti").select(F.explode("seeds").alias("seed"), "rid")
     shared = (seeds.groupBy("seed").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"))
               .filter("lo <> hi").select("seed"))
     wanted = seeds.join(shared, "seed").groupBy("rid").agg(F.collect_set("seed").alias("seeds"))
@@ -165,6 +171,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_c
             yield pd.DataFrame(rows, columns=["rid", "n_removed", "sha"])
 
     result = changed.mapInPandas(cut, "rid long, n_removed long, sha string")
-    return scanned.join(result, "rid", "left").select(
-        "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("sha", "kept_sha256").alias("kept_sha256"))
+    flagged = scanned.join(result, "rid", "left").join(copies.withColumn("copy", F.lit(True)), "rid", "left")
+    copy = F.col("copy").isNotNull() & (F.col("n_words") >= window)
+    return flagged.select(
+        "doc_id", "n_words",
+        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, F.lit(_digest([]))).otherwise(F.coalesce("sha", "kept_sha256")).alias("kept_sha256"))
