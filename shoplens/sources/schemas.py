@@ -81,15 +81,3 @@ LABOR_LINES = _struct(("id", L), ("job_id", L), ("name", S), ("rate", L), ("hour
 
 PARTS = _struct(("id", L), ("job_id", L), ("quantity", D), ("brand", S), ("name", S),
                 ("part_number", S), ("description", S), ("cost", L), ("retail", L))
-
-SILVER = {
-    "employees": EMPLOYEES,
-    "repair_orders": REPAIR_ORDERS,
-    "jobs": JOBS,
-    "labor_lines": LABOR_LINES,
-    "parts": PARTS,
-}
-
-
-def names(schema: T.StructType) -> list[str]:
-    return [f.name for f in schema.fields]
