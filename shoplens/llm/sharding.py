@@ -17,7 +17,7 @@ documents without links fill what is left.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -33,45 +33,54 @@ def _prefix(df: DataFrame, by: list[str], order: list[str], n: str, name: str) -
     return df.withColumn(name, F.coalesce(F.sum(n).over(w), F.lit(0)).cast("long"))
 
 
+def _by_shard(df: DataFrame, shard: str) -> dict[int, int]:
+    """Documents per shard (a row per shard)."""
+    return {r["s"]: r["n"] for r in df.groupBy(F.col(shard).alias("s")).agg(F.sum("n").alias("n")).collect()}
+
+
 def propagate(cells: DataFrame, targets: dict[int, int], rounds: int = MOST_ROUNDS) -> DataFrame:
     """Cells (hub, shard, n) after label propagation under ``targets`` (rows per
     shard).  Loads above a target are left as they are; no move enters one."""
-    spark = cells.sparkSession
-    quota = spark.createDataFrame(list(targets.items()), "shard int, target long")
-    state = saved(cells, "cells")
+    state, n_shards = saved(cells, "cells"), len(targets)
+    hub = Window.partitionBy("hub")  # at most one row per shard
     for _ in range(rounds):
-        load = state.groupBy("shard").agg(F.sum("n").alias("load"))
-        # one row per shard
-        free = F.broadcast(saved(quota.join(load, "shard", "left").select(
-            "shard", F.greatest(F.lit(0), F.col("target") - F.coalesce("load", F.lit(0))).alias("free")), "free"))
-        rated = state.join(free, "shard")
-        best = rated.filter("free > 0").groupBy("hub").agg(
-            F.max_by(F.struct("shard", "n"), F.struct("n", "free", -F.col("shard"))).alias("to"))
-        total = state.groupBy("hub").agg(F.sum("n").alias("size"))
-        asks = (state.join(best, "hub").join(total, "hub").select("hub", "shard", "n", "size", "to.shard", F.col("to.n").alias("n_to"))
-                .toDF("hub", "shard", "n", "size", "to", "n_to")
-                # towards as many neighbours or more: every move leaves fewer cut links
-                .filter("to <> shard and n <= n_to")
-                .withColumn("class", (F.lit(64) - F.floor(F.log2(F.col("size").cast("double")))).cast("int") * CLASSES
-                            + F.pmod(F.xxhash64("hub"), F.lit(CLASSES)).cast("int")))
-        asks = saved(asks, "asks")
-        by_class = asks.groupBy("to", "class").agg(F.sum("n").alias("m"))
-        by_class = _prefix(by_class, ["to"], ["class"], "m", "ahead")
-        run = Window.partitionBy("to", "class").orderBy("hub", "shard").rowsBetween(Window.unboundedPreceding, -1)
-        moves = (asks.join(by_class, ["to", "class"])
-                 .join(free.select(F.col("shard").alias("to"), "free"), "to")
-                 .withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("n").over(run), F.lit(0)))
-                 .withColumn("moved", F.greatest(F.lit(0), F.least("n", F.col("free") - F.col("ahead"))))
-                 .filter("moved > 0").select("hub", "shard", "to", "moved"))
-        moves = saved(moves, "moves")
-        if moves.isEmpty():
+        load = _by_shard(state, "shard")
+        free = {s: max(0, t - load.get(s, 0)) for s, t in targets.items()}
+        room = F.array(*[F.lit(free[s]).cast("long") for s in range(n_shards)])
+        rated = state.withColumn("free", F.element_at(room, F.col("shard") + 1))
+        rank = F.struct("n", "free", (-F.col("shard")).alias("minus"))
+        asks = saved(
+            rated.withColumn("best", F.max(F.when(F.col("free") > 0, rank)).over(hub))
+            .withColumn("size", F.sum("n").over(hub))
+            .select("hub", "shard", "n", "size", (-F.col("best.minus")).alias("to"), F.col("best.n").alias("n_to"))
+            # towards as many neighbours or more: every move leaves fewer cut links
+            .filter("to <> shard and n <= n_to"), "asks")
+        wanted = _by_shard(asks, "to")
+        if not wanted:
             break
-        change = (moves.select("hub", "shard", (-F.col("moved")).alias("n"))
-                  .unionByName(moves.select("hub", F.col("to").alias("shard"), F.col("moved").alias("n"))))
+        if all(n <= free[s] for s, n in wanted.items()):
+            moves = asks.withColumn("moved", F.col("n"))
+        else:
+            moves = _admitted(asks, F.element_at(room, F.col("to") + 1))
+        change = moves.filter("moved > 0").select("hub", F.explode(F.array(
+            F.struct("shard", (-F.col("moved")).alias("n")),
+            F.struct(F.col("to").alias("shard"), F.col("moved").alias("n")))).alias("c")).select("hub", "c.shard", "c.n")
         state = saved(state.unionByName(change).groupBy("hub", "shard").agg(F.sum("n").alias("n")).filter("n > 0"), "cells")
     return state
 
 
+def _admitted(asks: DataFrame, free: Column) -> DataFrame:
+    """``asks`` with how many documents of each the quota of its target admits:
+    larger hubs first, in hash order within a size."""
+    asks = asks.withColumn("class", (F.lit(64) - F.floor(F.log2(F.col("size").cast("double")))).cast("int") * CLASSES
+                           + F.pmod(F.xxhash64("hub"), F.lit(CLASSES)).cast("int"))
+    by_class = _prefix(asks.groupBy("to", "class").agg(F.sum("n").alias("m")), ["to"], ["class"], "m", "ahead")
+    run = Window.partitionBy("to", "class").orderBy("hub", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("ahead") + F.coalesce(F.sum("n").over(run), F.lit(0))
+    return asks.join(by_class.drop("m"), ["to", "class"]).withColumn(
+        "moved", F.greatest(F.lit(0), F.least("n", free - ahead)))
+
+
 def shards(docs: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, size (bytes of the text plus 8),
     text_crc32, law ('rows'), shard, slot, grown_shard (null under this law).
