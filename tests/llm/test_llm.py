@@ -264,7 +264,7 @@ def test_suffix_order():
             assert [s[i:i + 50] for i in order] == [s[i:i + 50] for i in sorted(range(len(s)), key=lambda i: s[i:])]
 
 
-@pytest.mark.parametrize("chunk", [3_000_000, 100])
+@pytest.mark.parametrize("chunk", [1_000_000, 100])
 def test_suffix_repeats(spark, corpus, monkeypatch, chunk):
     monkeypatch.setattr(suffix, "CHUNK", chunk)
     got = collect(suffix.remove_repeats(documents(spark, corpus)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
