@@ -13,9 +13,9 @@ with equal word sequences are one class and only its representative goes on;
 within a sketch value, blocks of at most twice :data:`BLOCK` representatives
 are compared on 128-byte signatures of their words (an alignment of a share t
 of the longer one's words means that t / (2 - t) of all words, with
-multiplicity, are common); the first round aligns each representative
-with one passing predecessor per block, the second only pairs that are then
-still in different components.
+multiplicity, are common); in :data:`ROUNDS` rounds each representative is aligned with its
+most similar partner per block, then all pairs that are still in different
+components are.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .common import WORD, components, null_safe_semi, saved, with_group_totals
 SHINGLE, SAMPLES, SKETCHES, SIGNATURE, BLOCK = 5, 2, 24, 128, 1000
 #: Pairs whose signatures agree on fewer places than an aligned pair's do, by so many standard deviations, are not aligned.
 DEVIATIONS = 4.0
+#: Rounds that align only the most similar partners.
+ROUNDS = 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -182,17 +184,18 @@ def _aligned(pairs: DataFrame, src: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInPandas(align, "a long, b long")
 
 
-def _passing(rows: DataFrame, first_only: bool, threshold: float) -> DataFrame:
+def _passing(rows: DataFrame, best_only: bool, threshold: float) -> DataFrame:
     """Pairs (smaller id first) of each block of a sketch value whose labels
-    differ and whose lengths and signatures allow a link; ``first_only``: per
-    row only that with the smallest id."""
+    differ and whose lengths and signatures allow a link; ``best_only``: per
+    row only that with the signature most like its own."""
     share, places = threshold / (2 - threshold), SIGNATURE
 
     def work(frame: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
         docs, labels, words, side = (frame[c].to_numpy() for c in ("doc_id", "label", "n_words", "side"))
         marks = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(-1, places)
         own = frame["bi"].to_numpy() == frame["bj"].to_numpy()
-        first, found, apart = np.full(len(docs), -1), [], 1
+        best, partner = np.full(len(docs), -1.0), np.full(len(docs), -1)
+        found, apart = [], 1
         while apart < len(docs):  # all rows and the row so many places on, while groups are that large
             at = np.flatnonzero(group[apart:] == group[:-apart])
             if not len(at):
@@ -208,14 +211,18 @@ def _passing(rows: DataFrame, first_only: bool, threshold: float) -> DataFrame:
                 agreed = ((x == y) & (x != 0)).sum(1)
                 used = ((x != 0) | (y != 0)).sum(1)
                 ok = agreed >= np.maximum(1, share * used - DEVIATIONS * np.sqrt(share * (1 - share) * used))
-                if first_only:
-                    first[b[ok]] = a[ok]  # of several, the one furthest away is the first
-                else:
+                if not best_only:
                     found.append((docs[a[ok]], docs[b[ok]]))
+                    continue
+                a, b, agreement = a[ok], b[ok], agreed[ok] / used[ok]
+                for x, y in ((a, b), (b, a)):  # within one step, no row stands twice on a side
+                    better = agreement > best[x]
+                    best[x[better]], partner[x[better]] = agreement[better], y[better]
             apart += 1
-        if first_only:
-            b = np.flatnonzero(first >= 0)
-            found = [(docs[first[b]], docs[b])]
+        if best_only:
+            x = np.flatnonzero(partner >= 0)
+            x, y = docs[x], docs[partner[x]]
+            found = [(np.minimum(x, y), np.maximum(x, y))]
         a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
         return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
@@ -273,18 +280,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     bucketed = saved(where.join(rows.select("doc_id", "n_words", "signature"), "doc_id").distinct(), "buckets")
 
     texts = known
-    first = saved(_passing(bucketed.withColumn("label", F.col("doc_id")), True, threshold), "candidates")
-    links = saved(_aligned(first, texts, threshold).distinct(), "links")
-    found = saved(components(links), "components")
-    # buckets whose members are not yet in one component
-    labelled_rows = bucketed.join(found, bucketed["doc_id"] == found["id"], "left").select(
-        "key", "doc_id", "n_words", "signature", F.coalesce("component_id", "doc_id").alias("label"))
-    mixed = labelled_rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(
-        "lo <> hi").select("key")
-    second = _passing(saved(labelled_rows.join(mixed, "key", "left_semi"), "unsettled"), False, threshold)
-    second = second.join(first, ["a", "b"], "left_anti")
-    links = saved(links.unionByName(_aligned(saved(second, "candidates"), texts, threshold)).distinct(), "links")
-    found = components(links)
+    # rounds of most similar partners, then every pair that is still in different components
+    unsettled = bucketed.withColumn("label", F.col("doc_id"))
+    tried = links = None
+    for best_only in [True] * ROUNDS + [False]:
+        pairs = _passing(unsettled, best_only, threshold)
+        pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
+        more = _aligned(pairs, texts, threshold)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = saved((more if links is None else links.unionByName(more)).distinct(), "links")
+        found = saved(components(links), "components")
+        if best_only:
+            # sketch values whose members are not yet in one component
+            labelled_rows = bucketed.join(found, bucketed["doc_id"] == found["id"], "left").select(
+                "key", "doc_id", "n_words", "signature", F.coalesce("component_id", "doc_id").alias("label"))
+            mixed = labelled_rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(
+                "lo <> hi").select("key")
+            unsettled = saved(labelled_rows.join(mixed, "key", "left_semi"), "unsettled")
     degree = (links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id")
               .agg(F.count("*").alias("n_links")))
     per_class = found.withColumnRenamed("id", "class_id").join(degree, "class_id", "left")
