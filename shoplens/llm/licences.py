@@ -1,9 +1,12 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, each is normalised and looked up among the known
-licence sentences; what remains of the document is the sequence of their
-identifiers.  Rules are ordered patterns over that sequence: all sentences of a
-rule in order, with at most :data:`GAP` other sentences between them.
+A text is normalised to words and boundaries, and the known licence sentences
+are looked up in it: all words in order, from one boundary to another.  What
+stands between the words of a known sentence does not matter, so it may be
+wrapped over lines or comment lines and hold stops and semicolons of its own.
+What remains of the document is the sequence of the identifiers found.  Rules
+are ordered patterns over that sequence: all sentences of a rule in order, with
+at most :data:`GAP` other sentences between them.
 """
 
 from __future__ import annotations
@@ -14,8 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences end at a line end, at a semicolon, or at a stop that white space or the end follows.
-SPLIT = r"[\n;]+|[.!?]+(?:\s+|$)"
+#: Sentences end at a semicolon, at a line without letters and digits, and at a stop (with closing
+#: marks) that white space or the end follows, but not inside "v. 2.0".
+SPLIT = r"""(?!(?<=\bv)\.\s+\d)[.!?]+["')\]”’]*(?=\s|$)|;|\n(?:[^a-z0-9\n]*\n)+"""
+#: A known sentence may also begin and end at a line end or a colon, which do not end other sentences.
+SOFT = r":(?=\s)|\n"
 #: At most so many sentences stand between two sentences of a rule.
 GAP = 10
 
@@ -28,6 +34,15 @@ SENTENCES = {
     "mit_keep": "the above copyright notice and this permission notice shall be included in all copies or substantial "
                 "portions of the software",
     "asis": "the software is provided as is without warranty of any kind express or implied",
+    "mit_grant_2": "permission is hereby granted free of charge to any person obtaining a copy of this software and "
+                   "associated documentation files the software to deal in the software without restriction including "
+                   "without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
+                   "copies of the software and to permit persons to whom the software is furnished to do so subject to "
+                   "the following conditions",
+    "mit_keep_2": "the above copyright notice and this permission notice including the next paragraph shall be included "
+                  "in all copies or substantial portions of the software",
+    "asis_2": "the software is provided as is without warranty of any kind express or implied including but not limited "
+              "to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "apache_notice": "licensed under the apache license version 2 0",
     "apache_notice_2": "licensed under the apache license version 2 0 the license",
     "apache_use": "you may not use this file except in compliance with the license",
@@ -43,21 +58,47 @@ SENTENCES = {
     "cc_by": "licensed under cc by 4 0",
     "cc_by_sa": "licensed under cc by sa 4 0",
     "cc0": "to the extent possible under law the author has waived all copyright and related rights to this work",
+    "cc_by_2": "this work is licensed under a creative commons attribution 4 0 international license",
+    "cc_by_3": "this work is licensed under the creative commons attribution 4 0 international license",
+    "cc_by_nc_2": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+    "cc_by_nc_3": "this work is licensed under the creative commons attribution noncommercial 4 0 international license",
+    "cc_by_sa_2": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    "cc_by_sa_3": "this work is licensed under the creative commons attribution sharealike 4 0 international license",
+    "cc0_2": "to the extent possible under law the person who associated cc0 with this work has waived all copyright "
+             "and related or neighboring rights to this work",
+    "cc0_3": "to the extent possible under law the author s have dedicated all copyright and related and neighboring "
+             "rights to this software to the public domain worldwide",
     "bsd_permit": "redistribution and use in source and binary forms with or without modification are permitted provided "
                   "that the following conditions are met",
     "bsd_asis": "this software is provided by the copyright holders and contributors as is",
     "mpl_notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "reserved": "all rights reserved",
 }
+#: The full sentence of the BSD licences, by who provides the software.
+BSD_ASIS = {
+    f"bsd_asis_{i}": f"this software is provided by {who} as is and any express or implied warranties including but not "
+                     "limited to the implied warranties of merchantability and fitness for a particular purpose are "
+                     "disclaimed"
+    for i, who in enumerate(["the copyright holders and contributors", "the copyright holder and contributors",
+                             "the copyright holders", "the copyright holder", "the regents and contributors",
+                             "the authors and contributors", "the author and contributors", "the authors",
+                             "the author"], 2)
+}
+SENTENCES |= BSD_ASIS
 
 #: Rules: licence, and the sentences that must stand in this order.
 RULES = [
-    ("MIT", ["mit_notice"]), ("MIT", ["mit_notice_2"]), ("MIT", ["mit_grant", "mit_keep", "asis"]),
+    ("MIT", ["mit_notice"]), ("MIT", ["mit_notice_2"]),
+    *[("MIT", [grant, keep, asis]) for grant in ("mit_grant", "mit_grant_2") for keep in ("mit_keep", "mit_keep_2")
+      for asis in ("asis", "asis_2")],
     ("Apache-2.0", ["apache_notice"]), ("Apache-2.0", ["apache_notice_2", "apache_use"]),
     ("GPL-3.0", ["gpl3_notice"]), ("GPL-2.0", ["gpl2_notice"]),
     ("GPL-2.0-or-later", ["gpl_free", "gpl_terms_2"]), ("GPL-3.0-or-later", ["gpl_free", "gpl_terms_3"]),
     ("CC-BY-NC-4.0", ["cc_by_nc"]), ("CC-BY-4.0", ["cc_by"]), ("CC-BY-SA-4.0", ["cc_by_sa"]), ("CC0-1.0", ["cc0"]),
-    ("BSD", ["bsd_permit", "bsd_asis"]), ("MPL-2.0", ["mpl_notice"]),
+    ("CC-BY-NC-4.0", ["cc_by_nc_2"]), ("CC-BY-4.0", ["cc_by_2"]), ("CC-BY-SA-4.0", ["cc_by_sa_2"]),
+    ("CC-BY-NC-4.0", ["cc_by_nc_3"]), ("CC-BY-4.0", ["cc_by_3"]), ("CC-BY-SA-4.0", ["cc_by_sa_3"]),
+    ("CC0-1.0", ["cc0_2"]), ("CC0-1.0", ["cc0_3"]),
+    *[("BSD", ["bsd_permit", asis]) for asis in ("bsd_asis", *BSD_ASIS)], ("MPL-2.0", ["mpl_notice"]),
 ]
 
 
@@ -69,6 +110,43 @@ def follows(places: dict[str, list[int]], rule: list[str]) -> bool:
     return bool(ends)
 
 
+def finder(split: str, soft: str, known: dict[str, str]):
+    """A function from a text to its number of sentences and the known ones
+    among them as (number, identifier), in text order.  Of known sentences that
+    overlap, the first counts, of those that begin together the longest."""
+    import re
+
+    ends, softs = re.compile(split).sub, re.compile(soft).sub
+    between, join = re.compile("[^a-z0-9\x01\x02]+").sub, re.compile("[ \x01\x02]*[\x01\x02][ \x01\x02]*").sub
+    words = str.maketrans("\x01\x02", "  ")
+
+    def pieces(part: str) -> int:
+        return sum(1 for x in part.split("\x02") if x.strip(" \x01"))
+
+    def find(text: str) -> tuple[int, list[tuple[int, str]]]:
+        text = text.lower().replace("\x01", " ").replace("\x02", " ")
+        # \x02 stands where sentences end, \x01 where only known ones may, a space between other words
+        text = between(" ", softs("\x01", ends("\x02", text)))
+        text = "\x02" + join(lambda m: "\x02" if "\x02" in m[0] else "\x01", text).strip(" \x01\x02") + "\x02"
+        flat, places = text.translate(words), []
+        for name, sentence in known.items():
+            at = flat.find(f" {sentence} ")
+            while at >= 0:
+                end = at + len(sentence) + 1
+                if text[at] != " " and text[end] != " ":
+                    places.append((at, -end, name))
+                at = flat.find(f" {sentence} ", at + 1)
+        n, done, found = 0, 0, []
+        for at, end, name in sorted(places):
+            if at >= done:
+                n += pieces(text[done:at])
+                found.append((n, name))
+                n, done = n + 1, -end
+        return n + pieces(text[done:]), found
+
+    return find
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_sentences, n_known, sentences
     (identifiers in text order, joined by a space), licences (found ones,
@@ -76,24 +154,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Null and empty texts have no sentences; repeated rows and null ids give rows
     like others; an empty table gives an empty result; other columns are ignored."""
-    split, known, rules = SPLIT, {v: k for k, v in SENTENCES.items()}, RULES
-    test = follows
+    split, soft, known, rules = SPLIT, SOFT, SENTENCES, RULES
+    test, make = follows, finder
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        cut, strip = re.compile(split).split, re.compile("[^a-z0-9]+").sub
+        find = make(split, soft, known)
         for frame in frames:
             out = []
             for text in frame["text"]:
-                n, ids, places = 0, [], {}
-                for part in cut(text.lower()):
-                    part = strip(" ", part).strip(" ")
-                    if part:
-                        if part in known:
-                            ids.append(known[part])
-                            places.setdefault(known[part], []).append(n)
-                        n += 1
+                n, known_here = find(text)
+                ids, places = [name for _, name in known_here], {}
+                for at, name in known_here:
+                    places.setdefault(name, []).append(at)
                 found = sorted({name for name, rule in rules if test(places, rule)}) if ids else []
                 out.append((n, len(ids), " ".join(ids), ",".join(found)))
             made = pd.DataFrame(out, columns=["n_sentences", "n_known", "sentences", "licences"])

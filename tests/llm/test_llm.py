@@ -358,6 +358,69 @@ def test_licences(spark):
     assert licences.scan(documents(spark, EMPTY)).count() == 0
 
 
+VERBATIM = [
+    ("MIT", """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated \
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the \
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit \
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the \
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE \
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR \
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.""", 3),
+    ("BSD", """Redistribution and use in source and binary forms, with or without modification, are permitted provided \
+that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following \
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following \
+disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, \
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE \
+DISCLAIMED.""", 2),
+    ("GPL-2.0-or-later", """This program is free software; you can redistribute it and/or modify it under the terms of \
+the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at \
+your option) any later version.""", 2),
+    ("GPL-3.0-or-later", """This program is free software: you can redistribute it and/or modify it under the terms of \
+the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at \
+your option) any later version.""", 2),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the \
+MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""", 1),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in \
+compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0""", 3),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", 1),
+    ("CC0-1.0", """To the extent possible under law, the person who associated CC0 with this work has waived all copyright \
+and related or neighboring rights to this work.""", 1),
+]
+
+
+def test_licences_verbatim_and_wrapped(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for i, (name, text, known) in enumerate(VERBATIM):
+        def wrapped(width, prefix="", text=text):
+            return "\n\n".join(textwrap.fill(x, width) for x in text.split("\n\n")).replace("\n", "\n" + prefix)
+
+        for k, shape in enumerate([text, wrapped(72), wrapped(40, " * "), wrapped(60, "# ").replace("\n", "\r\n")]):
+            rows.append((10 * i + k, shape))
+            want[10 * i + k] = (name, known)
+    got = {r.doc_id: r for r in licences.scan(documents(spark, rows)).collect()}
+    assert {k: (r.licences, r.n_known) for k, r in got.items()} == want
+    for i in range(len(VERBATIM)):  # wrapping changes no sentence count
+        assert len({got[10 * i + k].n_sentences for k in range(4)}) == 1
+    rows = [(1, "this is not licensed under the\nmit license agreement"), (2, "See\nlicensed under the\nMIT license\nfor more")]
+    assert {r.doc_id: r.licences for r in licences.scan(documents(spark, rows)).collect()} == {1: "", 2: "MIT"}
+
+
 # ------------------------------------------------------------------ 10
 def test_alignment():
     rng = random.Random(9)
