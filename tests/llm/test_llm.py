@@ -271,6 +271,15 @@ def test_suffix_repeats(spark, corpus, monkeypatch, chunk):
     assert got == sorted(brute.remove_bytes(corpus), key=str)
 
 
+@pytest.mark.parametrize("bits", [5, 8])
+def test_suffix_buckets_are_even(bits):
+    text = np.random.default_rng(6).integers(97, 123, 2_000_000).astype(np.uint8)
+    keys = suffix._seed_of_windows(text, suffix.LENGTH, bits)
+    for found in (np.unique(keys), keys):  # distinct seeds, windows
+        load = np.bincount((found >> np.uint64(suffix._rest_bits(bits))).astype(np.int64), minlength=1 << bits)
+        assert len(load) == 1 << bits and load.max() < 1.3 * load.mean()
+
+
 def test_substring_repeats(spark, corpus):
     got = collect(substring.remove_repeats(documents(spark, corpus)), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert got == sorted(brute.remove_words(corpus), key=str)
