@@ -1,18 +1,19 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
-From a bounded sample of labelled documents, one dictionary is trained on
-toxic and one on ordinary text.  Every word of a document is a window; it is
-compressed with either dictionary, and the pair of lengths is its *cell*.
-Thresholds are calibrated on other labelled documents: each cell gets the log
-ratio of its frequency in toxic and in ordinary text, cells that do not speak
-clearly for toxic text count nothing, and a logistic curve turns a document's
-sums into a score.  Whole texts are scored, window by window, in the tasks.
+From a bounded sample of labelled documents (whole texts), one dictionary is
+trained on toxic and one on ordinary text.  Every word of a document is a
+window; it is compressed with either dictionary, and the pair of lengths is its
+*cell*.  Thresholds are calibrated on other labelled documents: each cell gets
+the log ratio of its frequency in toxic and in ordinary text, cells that do not
+speak clearly for toxic text count nothing, and a logistic curve turns a
+document's features into a score: all its windows count, by their rate, against
+chance at its length, and in its worst passage.  Whole texts are scored, window
+by window, in the tasks.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,12 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: At most so many labelled documents of each class are learnt from.
 TOXIC_SAMPLE, ORDINARY_SAMPLE = 2500, 7500
-#: At most so many bytes of training text are taken from one document.
-SAMPLE_BYTES = 20_000
 TOXIC_WORDS, ORDINARY_WORDS = 600, 2500
 CELLS = 16
+#: Windows of a passage; the worst passage of a text is a feature.
+PASSAGE = 128
 #: Follows each window, and ends either dictionary: the last bytes of an input are never matched.
 PAD = b"\n0123456789abcdefghijklmnopqrstuvwxyz0123456789\n"
 _EDGES = ".,;:!?\"'()[]{}<>«»“”„-_*#|/\\"
@@ -50,7 +53,7 @@ def _compressor(words: list[str]):
 
 
 class Windows:
-    """Counts of a text's windows by cell: compressed length with the toxic
+    """The cells of a text's windows: compressed length with the toxic
     dictionary times :data:`CELLS` plus that with the ordinary one."""
 
     def __init__(self, toxic: list[str], ordinary: list[str]):
@@ -68,15 +71,16 @@ class Windows:
         self.bare[word] = x * CELLS + y
         return self.bare[word]
 
-    def histogram(self, text: str) -> np.ndarray:
+    def of(self, text: str) -> np.ndarray:
+        """The cells of the text's windows, in order."""
         if len(self.cells) > 1_000_000:
             self.cells.clear()
             self.bare = {"": -1}
         known, raw = self.cells, text.lower().split()
         for w in [w for w in set(raw) if w not in known]:
             known[w] = self._cell(w)
-        found = np.array([known[w] for w in raw], np.int64) + 1
-        return np.bincount(found, minlength=CELLS * CELLS + 1)[1:]
+        found = np.array([known[w] for w in raw], np.int64)
+        return found[found >= 0]
 
 
 @dataclass
@@ -84,46 +88,55 @@ class Model:
     toxic: list[str]
     ordinary: list[str]
     weights: np.ndarray  # by cell
+    chance: float  # mean weight of a window of ordinary text
     curve: np.ndarray  # of the features and a constant
 
-    def features(self, counts: np.ndarray) -> np.ndarray:
-        total = float(np.minimum(counts, 5) @ self.weights)
-        n = max(1.0, float(counts.sum()))
-        return np.array([total / math.sqrt(n), total, math.log(n), 1.0])
+    def features(self, cells: np.ndarray) -> np.ndarray:
+        each = self.weights[cells] - self.chance
+        n, above = max(1, len(cells)), float(each.sum())
+        worst = float(np.add.reduceat(each, np.arange(0, len(each), PASSAGE)).max()) if len(each) else 0.0
+        smooth = float(np.log1p(np.bincount(cells, minlength=len(self.weights))) @ self.weights)
+        return np.array([above / n, above / math.sqrt(n), worst, smooth / math.sqrt(n), smooth, math.log(n), 1.0])
 
-    def score(self, counts: np.ndarray) -> float:
-        z = float(self.features(counts) @ self.curve)
+    def score(self, cells: np.ndarray) -> float:
+        z = float(self.features(cells) @ self.curve)
         return 1.0 / (1.0 + math.exp(-min(max(z, -35.0), 35.0)))
 
 
-def _context_counts(texts: list[str]) -> Counter:
-    """For each word, the smaller of its numbers of distinct predecessors and
-    successors, so that copies of one document count once."""
-    before, after = set(), set()
-    for text in texts:
-        words = _words(text)
-        before.update(zip(["", *words], words))
-        after.update(zip(words, [*words[1:], ""]))
-    left, right = Counter(w for _, w in before), Counter(w for w, _ in after)
-    return Counter({w: min(n, right[w]) for w, n in left.items()})
-
-
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[list[str], list[str]]:
+def train_dictionaries(sample: DataFrame, n_toxic: int) -> tuple[list[str], list[str]]:
     """The words of the toxic dictionary (far more frequent in toxic text than
-    chance allows) and of the ordinary one, best first."""
-    t, o = _context_counts(toxic), _context_counts(ordinary)
-    share = sum(t.values()) / max(1, sum(t.values()) + sum(o.values()))
-    least = max(3, 0.004 * len(toxic))
+    chance allows) and of the ordinary one, best first.  ``sample`` has toxic
+    (0 or 1) and t (text), ``n_toxic`` toxic rows.
 
-    def excess(w: str) -> float:
-        expected = (t[w] + o[w]) * share
-        return (t[w] - expected) / math.sqrt(expected + 0.5)
+    A word counts the smaller of its numbers of distinct predecessors and
+    successors, so that copies of one document count once."""
+    words_of = _words
 
-    odd = [w for w in t if t[w] >= least and excess(w) > 3 and t[w] * (1 - share) > 8 * (o[w] + 0.5) * share]
-    odd.sort(key=lambda w: (-excess(w), w))
-    odd = odd[:TOXIC_WORDS]
-    usual = sorted((w for w in o if w not in set(odd)), key=lambda w: (-o[w], w))[:ORDINARY_WORDS]
-    return odd, usual
+    def neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), 50):
+                some, seen = frame.iloc[at:at + 50], set()
+                for toxic, text in zip(some["toxic"].tolist(), some["t"]):
+                    words = words_of(text)
+                    seen.update((toxic, w, 0, v) for v, w in zip(["", *words], words))
+                    seen.update((toxic, w, 1, v) for w, v in zip(words, [*words[1:], ""]))
+                yield pd.DataFrame(list(seen), columns=["toxic", "word", "side", "other"])
+
+    def number(toxic: int):
+        return F.least(*[F.sum(((F.col("toxic") == toxic) & (F.col("side") == side)).cast("long")) for side in (0, 1)])
+
+    words = saved(sample.select("toxic", "t").mapInPandas(neighbours, "toxic int, word string, side int, other string")
+                  .distinct().groupBy("word").agg(number(1).alias("t"), number(0).alias("o")), "words")
+    t, o = F.col("t"), F.col("o")
+    sums = words.agg(F.sum("t"), F.sum("o")).first()
+    share = (sums[0] or 0) / max(1, (sums[0] or 0) + (sums[1] or 0))
+    expected = (t + o) * F.lit(share)
+    excess = (t - expected) / F.sqrt(expected + 0.5)
+    odd = [r.word for r in words.filter((t >= max(3, 0.004 * n_toxic)) & (excess > 3)
+                                        & (t * (1 - share) > (o + 0.5) * (8 * share)))
+           .orderBy(excess.desc(), "word").limit(TOXIC_WORDS).collect()]
+    usual = [r.word for r in words.filter(o > 0).orderBy(o.desc(), "word").limit(ORDINARY_WORDS + TOXIC_WORDS).collect()]
+    return odd, [w for w in usual if w not in set(odd)][:ORDINARY_WORDS]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -138,43 +151,62 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from every other document of either list, thresholds and
-    curve from the rest.  Without documents of both classes, the score is the
-    share of toxic documents (0 without any)."""
-    n, m = len(toxic), len(ordinary)
+def fit(sample: DataFrame, n: int, m: int) -> Model:
+    """Dictionaries from every other row of either class, thresholds and curve
+    from the rest.  ``sample`` has toxic (``n`` rows with 1, ``m`` with 0), k
+    (number within the class) and t (text).  Without documents of both classes,
+    the score is the share of toxic documents (0 without any)."""
     if n < 2 or m < 2:
         share = (n + 1e-9) / (n + m + 2e-9) if n + m else 0.0
         share = min(max(share, 1e-9), 1 - 1e-9)
-        return Model([], [], np.zeros(CELLS * CELLS), np.array([0, 0, 0, math.log(share / (1 - share))]))
-    words = train_dictionaries(toxic[::2], ordinary[::2])
-    windows = Windows(*words)
-    counts_t = np.array([windows.histogram(t) for t in toxic[1::2]])
-    counts_o = np.array([windows.histogram(t) for t in ordinary[1::2]])
-    t, o = np.minimum(counts_t, 40).sum(0), np.minimum(counts_o, 40).sum(0)
+        return Model([], [], np.zeros(CELLS * CELLS), 0.0, np.array([0, 0, 0, 0, 0, 0, math.log(share / (1 - share))]))
+    words = train_dictionaries(sample.filter("k % 2 = 0"), (n + 1) // 2)
+    rest = sample.filter("k % 2 = 1")
+
+    def numbers(of) -> tuple[np.ndarray, np.ndarray]:
+        """The class of each row of the rest, and what ``of`` makes of its cells, as numbers."""
+        def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            windows = Windows(*words)
+            for frame in frames:
+                frame["x"] = [of(windows.of(t)).astype("<f8").tobytes() for t in frame["t"]]
+                yield frame[["toxic", "k", "x"]]
+
+        got = rest.mapInPandas(rows, "toxic int, k int, x binary").toPandas().sort_values(["toxic", "k"])
+        return got["toxic"].to_numpy(), np.array([np.frombuffer(x, "<f8") for x in got["x"]])
+
+    toxic, counts = numbers(lambda cells: np.bincount(cells, minlength=CELLS * CELLS))
+    smooth = np.log2(1 + counts)  # a document's repetitions of one word weigh less
+    t, o = smooth[toxic == 1].sum(0), smooth[toxic == 0].sum(0)
     ratio = np.log((t + 0.5) / (t.sum() + 0.5 * len(t))) - np.log((o + 0.5) / (o.sum() + 0.5 * len(o)))
     ratio *= (t + o) / (t + o + 20)  # cells that few windows fall into say little
-    model = Model(*words, np.where(ratio < 0.5, 0.0, ratio), np.zeros(4))
-    x = np.array([model.features(c) for c in [*counts_t, *counts_o]])
-    model.curve = _logistic(x, np.r_[np.ones(len(counts_t)), np.zeros(len(counts_o))])
+    weights, ordinary = np.where(ratio < 0.5, 0.0, ratio), counts[toxic == 0].sum(0)
+    model = Model(*words, weights, float(ordinary @ weights / max(1.0, ordinary.sum())), np.zeros(7))
+    toxic, x = numbers(model.features)
+    model.curve = _logistic(x, toxic.astype(float))
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the labelled documents outside the held-out fifth (crc32 of
     the id as text, mod 5, is 0): of either class those with the smallest
-    hashed ids, at most :data:`TOXIC_SAMPLE` and :data:`ORDINARY_SAMPLE`."""
+    hashed ids, at most :data:`TOXIC_SAMPLE` and :data:`ORDINARY_SAMPLE`, with
+    their whole texts, which stay in the tasks; rows repeated with one id and
+    text count once."""
     lab = (labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
-           .groupBy("doc_id").agg(F.max("toxic").alias("_toxic")).withColumnRenamed("doc_id", "_id"))
+           .groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.max("toxic").alias("_toxic")))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    src = docs.select(docs[id_col].cast("long").alias("i"), text.alias("t"), F.xxhash64(text).alias("h"))
 
-    def sample(value: int, most: int) -> list[str]:
-        ids = lab.filter(F.col("_toxic") == value).orderBy(F.xxhash64("_id"), "_id").limit(most)
-        rows = (docs.join(F.broadcast(ids), docs[id_col] == ids["_id"])  # at most `most` ids
-                .select(docs[id_col].alias("i"), F.substring(F.coalesce(docs[text_col], F.lit("")), 1, SAMPLE_BYTES).alias("t"))
-                .orderBy(F.xxhash64("i"), "i", "t").limit(most).toPandas())
-        return rows["t"].tolist()
+    def sample(value: int, most: int) -> list[tuple]:
+        ids = lab.filter(F.col("_toxic") == value).orderBy(F.xxhash64("i"), "i").limit(most).select("i")
+        rows = (src.select("i", "h").join(F.broadcast(ids), "i")  # at most `most` ids
+                .distinct().orderBy(F.xxhash64("i"), "i", "h").limit(most).collect())
+        return [(value, k, r.i, r.h) for k, r in enumerate(rows)]
 
-    return fit(sample(1, TOXIC_SAMPLE), sample(0, ORDINARY_SAMPLE))
+    toxic, ordinary = sample(1, TOXIC_SAMPLE), sample(0, ORDINARY_SAMPLE)
+    picked = docs.sparkSession.createDataFrame(toxic + ordinary, "toxic int, k int, i long, h long")
+    texts = src.join(F.broadcast(picked), ["i", "h"]).select("toxic", "k", "t").dropDuplicates(["toxic", "k"])
+    return fit(saved(texts, "labelled"), len(toxic), len(ordinary))
 
 
 def held_out(doc_id):
@@ -190,7 +222,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         windows = Windows(model.toxic, model.ordinary)
         for frame in frames:
-            frame["score"] = [model.score(windows.histogram(t)) for t in frame["text"]]
+            frame["score"] = [model.score(windows.of(t)) for t in frame["text"]]
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame[["doc_id", "score"]]
 
@@ -211,7 +243,7 @@ def clean_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
         windows = Windows(windows_of.toxic, windows_of.ordinary)
         for batch in frames:
             texts = batch.column(names.index(text_col)).to_pylist()
-            ok = [windows_of.score(windows.histogram(t or "")) < 0.5 for t in texts]
+            ok = [windows_of.score(windows.of(t or "")) < 0.5 for t in texts]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(keep, schema)

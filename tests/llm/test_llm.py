@@ -194,6 +194,31 @@ def test_toxicity_held_out(spark):
     assert clean.columns == docs.columns and clean.count() == (out["predicted"] == 0).sum()
 
 
+def test_toxicity_of_long_texts(spark):
+    """The toxic part of every text comes after more than 20,000 characters of ordinary words."""
+    rng = random.Random(8)
+    usual = [a + b + str(i) for a in "ka lo mi tere suno bari".split() for b in ("", "ka", "ton") for i in range(10)]
+    bad = ["grubbish", "snorfle", "blatherskite", "quibblor", "wazzock", "numpty"]
+    rows, labels = [], []
+    for i in range(240):
+        words = rng.choices(usual, k=4500)
+        if i % 3 == 0:
+            words += [w for _ in range(60) for w in (rng.choice(usual), rng.choice(bad))]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    assert all(len(" ".join(t.split()[:4500])) > 20_000 for _, t in rows)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = documents(spark, rows)
+    model = toxicity.train(docs, lab)
+    out = toxicity.toxicity(docs, model).toPandas()
+    held = out[out["held_out"]]
+    assert ((held["doc_id"] % 3 == 0) == (held["predicted"] == 1)).mean() > 0.95
+    # every window counts: five hundred toxic words give other features than five at the same length
+    cells = toxicity.Windows(model.toxic, model.ordinary).of
+    few, many = (model.features(cells(" ".join(["snorfle"] * k + [usual[0]] * (5000 - k)))) for k in (5, 500))
+    assert (many[:5] > few[:5]).all()
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, [(1, "a"), (2, None)])
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
