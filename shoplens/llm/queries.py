@@ -8,16 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, exact_dedup, licences, minhash, mixing, packing, sharding, substring, suffix, toxicity
+from . import (embedding, exact_dedup, group_packing, lexical, licences, merkle, minhash, mixing, packing, sharding,
+               substring, suffix, toxicity)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,18 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_postorder_merkle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents")).drop("proof")
+
+
+def op12_presence_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_tournament_tree_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 #: Parameters of the mixing query: 97 % of the largest entropy, at most 4 epochs of a source, all documents.
 MIX = {"target_entropy": 0.97, "max_repeats": 4.0, "budget": None, "block_tokens": 1 << 18, "seed": 17}
 
@@ -70,12 +83,106 @@ def queries() -> dict[str, Query]:
 
     ops = [op1_temperature_mixing, op2_chunk_recipe_dedup, op3_label_propagation_shards, op4_compression_toxicity,
            op5_spherical_cap_filters, op6_two_stage_suffix_sort, op7_seed_and_extend, op8_bin_completion_packing,
-           op9_sentence_rule_licences, op10_order_minhash]
+           op9_sentence_rule_licences, op10_order_minhash, op11_postorder_merkle_log, op12_presence_mask_search,
+           op13_tournament_tree_packing]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_temperature_mixing": MIXING_SQL, "op2_chunk_recipe_dedup": DEDUP_SQL}
+    return {"op1_temperature_mixing": MIXING_SQL, "op2_chunk_recipe_dedup": DEDUP_SQL,
+            "op11_postorder_merkle_log": MERKLE_SQL, "op12_presence_mask_search": SEARCH_SQL}
+
+
+def _field_sql(c: str, value: str | None = None) -> str:
+    value = value or f"{c}::VARCHAR"
+    return f"coalesce(octet_length(encode({value}))::VARCHAR || ':' || {value}, '-')"
+
+
+#: Trees level by level; proofs as the other children of each ancestor's parent; the checksum bit by bit.
+MERKLE_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce('=' || source, '') AS k,
+         sha256({" || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+         sha256({" || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars"))}
+                || {_field_sql("text", "replace(text, chr(10), '')")}) AS altered,
+         list_reduce([4294967295::BIGINT] || flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1),
+             lambda p: [ascii(substr(doc_id::VARCHAR, p::BIGINT, 1))::BIGINT] || list_transform(range(8), lambda b: -1::BIGINT))),
+             lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384::BIGINT)
+                            ELSE s >> 1 END) % 2 = 1 AS hit
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY k) AS n FROM docs),
+nodes(k, lv, i, h, n) AS (
+  SELECT k, 0, i, leaf, n FROM leaves
+  UNION ALL
+  SELECT k, lv + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3
+  FROM nodes WHERE n > 1 GROUP BY k, lv, i // 3, n),
+subroots AS (
+  SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper(lv, i, h, n) AS (
+  SELECT 0, i, subroot, n FROM subroots
+  UNION ALL
+  SELECT lv + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3
+  FROM upper WHERE n > 1 GROUP BY lv, i // 3, n),
+lower_steps AS (
+  SELECT l.k, l.i, own.lv, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i < own.i), '') AS a,
+         coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i > own.i), '') AS b
+  FROM leaves l JOIN nodes own ON own.k = l.k AND own.i = l.i // (3 ** own.lv)::BIGINT AND own.n > 1
+  JOIN nodes o ON o.k = own.k AND o.lv = own.lv AND o.i // 3 = own.i // 3
+  GROUP BY l.k, l.i, own.lv),
+upper_steps AS (
+  SELECT s.k, own.lv, coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i < own.i), '') AS a,
+         coalesce(string_agg(o.h, '' ORDER BY o.i) FILTER (o.i > own.i), '') AS b
+  FROM subroots s JOIN upper own ON own.i = s.i // (3 ** own.lv)::BIGINT AND own.n > 1
+  JOIN upper o ON o.lv = own.lv AND o.i // 3 = own.i // 3
+  GROUP BY s.k, own.lv),
+steps AS (
+  SELECT k, i, lv, a, b FROM lower_steps
+  UNION ALL
+  SELECT l.k, l.i, 1000 + u.lv, a, b FROM leaves l JOIN upper_steps u ON u.k = l.k),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY k, i ORDER BY lv) AS step FROM steps),
+folding(k, i, step, h) AS (
+  SELECT k, i, 0::BIGINT, CASE WHEN hit THEN altered ELSE leaf END FROM leaves
+  UNION ALL
+  SELECT f.k, f.i, s.step, sha256(s.a || f.h || s.b)
+  FROM folding f JOIN numbered s ON s.k = f.k AND s.i = f.i AND s.step = f.step + 1),
+ends AS (SELECT k, i, arg_max(h, step) AS folded FROM folding GROUP BY k, i),
+proofs AS (SELECT k, i, string_agg(a || b, '' ORDER BY step) AS proof FROM numbered GROUP BY k, i),
+top AS (SELECT h AS root FROM upper WHERE n = 1)
+SELECT l.doc_id, l.leaf, s.subroot, t.root, sha256(coalesce(p.proof, '')) AS proof_sha256, e.folded AS folded_root,
+       e.folded = t.root AS verified
+FROM leaves l JOIN subroots s ON s.k = l.k CROSS JOIN top t JOIN ends e ON e.k = l.k AND e.i = l.i
+LEFT JOIN proofs p ON p.k = l.k AND p.i = l.i
+"""
+
+SEARCH_SQL = """
+WITH terms_of AS (
+  SELECT 0 AS kind, doc_id AS id, row_number() OVER () AS row,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+  UNION ALL
+  SELECT 1, item_id, row_number() OVER (),
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') FROM benchmark),
+docs AS (SELECT id AS doc_id, row, terms, len(terms) AS n FROM terms_of WHERE kind = 0 AND len(terms) > 0),
+size AS (SELECT count(*) AS d, sum(n)::BIGINT AS l FROM docs),
+asked AS (SELECT DISTINCT id AS item_id, row AS item, unnest(terms) AS term FROM terms_of WHERE kind = 1),
+tf AS (
+  SELECT doc_id, row, n, term, count(*) AS tf
+  FROM (SELECT doc_id, row, n, unnest(terms) AS term FROM docs) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+given AS (
+  SELECT tf.*, floor(1000 * ln((2 * d + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+               * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * d) // l))) AS part
+  FROM tf JOIN df USING (term), size),
+scores AS (
+  SELECT item_id, item, doc_id, row, sum(part)::BIGINT AS score
+  FROM asked JOIN given USING (term) GROUP BY ALL HAVING sum(part) > 0)
+SELECT item_id, (row_number() OVER best)::INT AS rank, doc_id, score FROM scores
+WINDOW best AS (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)
+QUALIFY row_number() OVER best <= 10
+"""
 
 
 DEDUP_SQL = """
