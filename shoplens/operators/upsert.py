@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEQ = "_seq"
+#: Errors that a sync run reports.
+ERROR_LIMIT = 25
 
 
 def with_seq(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -94,7 +96,7 @@ def ingest_stats(summaries: DataFrame, known_ids: DataFrame, fetched: DataFrame)
 
 
 def ingest_errors(summaries: DataFrame, known_ids: DataFrame, fetched: DataFrame,
-                  limit: int = 25) -> DataFrame:
+                  limit: int = ERROR_LIMIT) -> DataFrame:
     """the first ``limit`` failed mentions (by order number, job id)."""
     known = known_ids.select(F.col("id").alias("job_id"))
     ok = fetched.select(F.col("id").alias("job_id"))

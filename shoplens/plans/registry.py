@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from shoplens.functions.params import Period, date_range, ingest_window, trend_window
 from shoplens.operators import (audit, categories, indicators, inspect, missed, people,
                                 revenue, upsert)
-from shoplens.sources import landed
+from shoplens.sources import documents, landed
 from shoplens.sources import schemas as S
 from shoplens.sources.silver import Shop, land_documents, load_shop
 
@@ -116,6 +116,24 @@ def ingest_parts(d: Landed) -> DataFrame:
     return landed.flatten_parts(d.job_docs())
 
 
+def ingest_null_order_amounts(d: Landed) -> DataFrame:
+    """B16 on orders of which some lack amounts and some say null."""
+    pages = landed.parse_text(documents.orders_text_with_gaps(d.shop), S.ORDER_PAGE)
+    return landed.flatten_orders(pages).select("id", "labor_sales", "fee_total", "parts_sales")
+
+
+def ingest_null_job_amounts(d: Landed) -> DataFrame:
+    """B16 on jobs of which some lack amounts and some say null."""
+    docs = landed.parse_text(documents.jobs_text_with_gaps(d.shop), S.JOB)
+    return landed.flatten_jobs(docs).select("id", "repair_order_id", "labor_hours", "subtotal", "labor_total")
+
+
+def ingest_null_part_amounts(d: Landed) -> DataFrame:
+    """B16 on parts of which some lack amounts and some say null."""
+    docs = landed.parse_text(documents.jobs_text_with_gaps(d.shop), S.JOB)
+    return landed.flatten_parts(docs).select("id", "job_id", "quantity", "cost", "retail")
+
+
 def ingest_window_orders(d: Landed) -> DataFrame:
     return landed.in_ingest_window(landed.flatten_orders(d.order_pages()), SYNC_WINDOW)
 
@@ -171,6 +189,9 @@ INGEST = {
     "ingest_jobs": ingest_jobs,
     "ingest_labor_lines": ingest_labor_lines,
     "ingest_parts": ingest_parts,
+    "ingest_null_order_amounts": ingest_null_order_amounts,
+    "ingest_null_job_amounts": ingest_null_job_amounts,
+    "ingest_null_part_amounts": ingest_null_part_amounts,
     "ingest_window": ingest_window_orders,
     "upsert_latest_orders": upsert_latest_orders,
     "upsert_latest_employees": upsert_latest_employees,

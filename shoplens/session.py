@@ -87,3 +87,15 @@ def rename_folder(spark: SparkSession, private: str, public: str) -> None:
     if not fs.exists(dst):
         raise RuntimeError(f"could not publish {public}")
     fs.delete(src, True)
+
+
+def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match ``pattern``, in order (none: an empty list)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    return sorted(str(s.getPath().toString()) for s in found)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -3,8 +3,8 @@ pages, job documents).
 
 Used to land test data and to round-trip the ingest path: the text these
 functions produce is exactly what ``landed.read_json`` reads from files.
-Every grouping here is bounded by construction (a page holds at most
-``page_size`` orders; a job document holds that job's own lines).
+It renders test data only: a page holds at most ``page_size`` orders, but a
+job document holds all lines of its job, however many the data has.
 """
 
 from __future__ import annotations
@@ -105,3 +105,32 @@ def job_documents_text(shop: Shop) -> DataFrame:
         F.col("completed_date").alias("completedDate"), F.col("labor_hours").alias("laborHours"),
         F.col("labor").alias("labor"), F.col("parts").alias("parts"))
     return j.select(F.to_json(doc).alias("value"))
+
+
+def _with_gaps(doc, fields, at):
+    """``doc`` as JSON: of three neighbours one has ``fields`` as explicit
+    nulls, one lacks them, and one has their values."""
+    none = doc
+    for f in fields:
+        none = none.withField(f, F.lit(None).cast("bigint"))
+    return (F.when(at % 3 == 0, F.to_json(none, {"ignoreNullFields": "false"}))
+            .when(at % 3 == 1, F.to_json(none)).otherwise(F.to_json(doc)))
+
+
+def orders_text_with_gaps(shop: Shop) -> DataFrame:
+    """A page per order, some amounts as explicit nulls or absent."""
+    o = order_structs(shop)
+    doc = _with_gaps(F.col("o"), ["laborSales", "feeTotal"], F.col("id"))
+    return o.select(F.concat(F.lit('{"content": ['), doc, F.lit("]}")).alias("value"))
+
+
+def jobs_text_with_gaps(shop: Shop) -> DataFrame:
+    """Job documents with some amounts as explicit nulls or absent, of the job and of its parts."""
+    parts = shop.parts.select("job_id", _with_gaps(F.struct(
+        "id", "quantity", "cost", "retail"), ["quantity", "cost"], F.col("id")).alias("part"))
+    parts = parts.groupBy("job_id").agg(F.array_join(F.collect_list("part"), ", ").alias("parts"))
+    j = shop.jobs.join(parts, shop.jobs["id"] == parts["job_id"], "left")
+    doc = _with_gaps(F.struct("id", F.col("repair_order_id").alias("repairOrderId"), F.col("labor_hours").alias("laborHours"),
+                              F.col("subtotal").alias("subtotal")), ["laborHours", "subtotal"], F.col("id"))
+    return j.select(F.concat(F.substring_index(doc, "}", 1), F.lit(', "parts": ['), F.coalesce("parts", F.lit("")),
+                             F.lit("]}")).alias("value"))

@@ -10,6 +10,11 @@ L, I, S, D, TS, B = (T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType
                      T.TimestampType(), T.BooleanType())
 
 
+# A field whose default depends on whether its key is there: a variant keeps
+# the JSON null that a typed read would take for an absent key.
+V = T.VariantType()
+
+
 def _struct(*fields):
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
@@ -25,12 +30,13 @@ ORDER = _struct(
     ("appointmentStartTime", S), ("customerId", L), ("vehicleId", L),
     ("technicianId", L), ("serviceWriterId", L), ("milesIn", L), ("milesOut", L),
     ("completedDate", S), ("postedDate", S), ("createdDate", S), ("updatedDate", S),
-    ("laborSales", L), ("partsSales", L), ("subletSales", L), ("discountTotal", L),
-    ("feeTotal", L), ("taxes", L), ("totalSales", L),
+    ("laborSales", V), ("partsSales", V), ("subletSales", V), ("discountTotal", V),
+    ("feeTotal", V), ("taxes", V), ("totalSales", V),
     ("jobs", T.ArrayType(JOB_SUMMARY)),
 )
 
-ORDER_PAGE = _struct(("content", T.ArrayType(ORDER)), ("totalElements", L), ("totalPages", I))
+# `number`: the page's place in its sequence, from 0 (not all sources tell)
+ORDER_PAGE = _struct(("content", T.ArrayType(ORDER)), ("totalElements", L), ("totalPages", I), ("number", I))
 
 EMPLOYEE_ROLE = _struct(("id", L), ("name", S))
 EMPLOYEE = _struct(("id", L), ("firstName", S), ("lastName", S),
@@ -38,16 +44,16 @@ EMPLOYEE = _struct(("id", L), ("firstName", S), ("lastName", S),
 EMPLOYEE_PAGE = _struct(("content", T.ArrayType(EMPLOYEE)), ("totalElements", L),
                         ("totalPages", I))
 
-LABOR = _struct(("id", L), ("name", S), ("rate", L), ("hours", D), ("complete", B),
+LABOR = _struct(("id", L), ("name", S), ("rate", V), ("hours", V), ("complete", B),
                 ("technicianId", L))
-PART = _struct(("id", L), ("quantity", D), ("brand", S), ("name", S), ("partNumber", S),
-               ("description", S), ("cost", L), ("retail", L))
+PART = _struct(("id", L), ("quantity", V), ("brand", S), ("name", S), ("partNumber", S),
+               ("description", S), ("cost", V), ("retail", V))
 JOB = _struct(
     ("id", L), ("repairOrderId", L), ("vehicleId", L), ("customerId", L), ("name", S),
     ("authorized", B), ("authorizedDate", S), ("selected", B), ("technicianId", L),
-    ("note", S), ("jobCategoryName", S), ("partsTotal", L), ("laborTotal", L),
-    ("discountTotal", L), ("feeTotal", L), ("subtotal", L), ("archived", B),
-    ("createdDate", S), ("updatedDate", S), ("completedDate", S), ("laborHours", D),
+    ("note", S), ("jobCategoryName", S), ("partsTotal", V), ("laborTotal", V),
+    ("discountTotal", V), ("feeTotal", V), ("subtotal", V), ("archived", B),
+    ("createdDate", S), ("updatedDate", S), ("completedDate", S), ("laborHours", V),
     ("labor", T.ArrayType(LABOR)), ("parts", T.ArrayType(PART)),
 )
 
@@ -81,3 +87,24 @@ LABOR_LINES = _struct(("id", L), ("job_id", L), ("name", S), ("rate", L), ("hour
 
 PARTS = _struct(("id", L), ("job_id", L), ("quantity", D), ("brand", S), ("name", S),
                 ("part_number", S), ("description", S), ("cost", L), ("retail", L))
+
+#: Documents' fields that default to zero where their key is absent, with the type they are stored in.
+ORDER_AMOUNTS = {c: "bigint" for c in ("laborSales", "partsSales", "subletSales", "discountTotal", "feeTotal", "taxes",
+                                       "totalSales")}
+JOB_AMOUNTS = {"partsTotal": "bigint", "laborTotal": "bigint", "discountTotal": "bigint", "feeTotal": "bigint",
+               "subtotal": "bigint", "laborHours": "double"}
+LABOR_AMOUNTS = {"rate": "bigint", "hours": "double"}
+PART_AMOUNTS = {"quantity": "double", "cost": "bigint", "retail": "bigint"}
+
+# ---------------------------------------------------------------- ingest log
+#: What a landed row carries besides its own columns: the landing time of its
+#: file, and for what cannot be stored the reason and the text.
+LANDED_AT, REASON, TEXT = "_landed_at", "_reason", "_text"
+ENTRY = [T.StructField(LANDED_AT, TS), T.StructField(REASON, S), T.StructField(TEXT, S)]
+LOG = {
+    "employees": T.StructType(EMPLOYEES.fields + ENTRY),
+    "repair_orders": T.StructType(REPAIR_ORDERS.fields + ENTRY + [
+        T.StructField("mentions", T.ArrayType(L)), T.StructField("page", I), T.StructField("pages", I)]),
+    "jobs": T.StructType(JOBS.fields + [T.StructField("labor", T.ArrayType(LABOR_LINES)),
+                                        T.StructField("parts", T.ArrayType(PARTS))] + ENTRY),
+}

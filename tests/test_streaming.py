@@ -53,25 +53,29 @@ def test_orders_one_batch_equals_many_batches_and_replay(spark, tmp_dir):
     many = os.path.join(tmp_dir, "many")
     _run(spark, "orders", landing, one, os.path.join(tmp_dir, "ck1"))
     _run(spark, "orders", landing, many, os.path.join(tmp_dir, "ck2"), max_files=1)
-    t_one = ST.VersionedTable(spark, f"{one}/repair_orders")
-    t_many = ST.VersionedTable(spark, f"{many}/repair_orders")
-    assert t_one.versions() == [0] and t_many.versions() == [1, 2, 3]   # old versions are cleaned
-    a, b = t_one.read(), t_many.read()
+    a, b = ST.published(spark, one)["repair_orders"], ST.published(spark, many)["repair_orders"]
     assert _rows(a) == _rows(b)
     bumped = a.filter(F.col("id") < 50).agg(F.min("updated_date")).first()[0]
     assert bumped.startswith("2999")
     assert a.count() == shop.repair_orders.count()
 
-    # replay of a batch that the table holds is a no-op; a re-landed page is harmless
-    before = _rows(t_many.read())
-    writer = ST.order_batch_writer(many)
+    # a replayed batch writes its own folder again; a re-landed page is harmless
+    before = _rows(b)
+    writer = ST.batch_writer("orders", many)
     page = spark.read.schema(S.ORDER_PAGE).json(files[0])
-    (source, last), = t_many.applied().items()
-    writer(page, last, source)
-    assert t_many.versions() == [1, 2, 3]
-    writer(page, last + 1, source)                 # re-fetched page: latest wins, no duplicates
-    after = t_many.read()
-    assert after.count() == len(before) and after.select("id").distinct().count() == len(before)
+    writer(page, 7, "other")
+    once = _log_files(many, "repair_orders")
+    writer(page, 7, "other")
+    assert len(_log_files(many, "repair_orders")) == len(once)
+    assert _rows(ST.published(spark, many)["repair_orders"]) == before
+    # merged or not, in one go or file by file: the same table
+    ST.merge_log(spark, one)
+    ST.merge_log(spark, many, max_files_per_trigger=1)
+    assert _rows(ST.published(spark, one)["repair_orders"]) == before == _rows(ST.published(spark, many)["repair_orders"])
+
+
+def _log_files(root, table):
+    return [os.path.join(d, f) for d, _, fs in os.walk(f"{root}/{table}/log") for f in fs if f.endswith(".parquet")]
 
 
 def _page(*orders):
@@ -158,9 +162,8 @@ def test_jobs_first_wins_with_children(spark, tmp_dir):
             os.link(os.path.join(extra, f), os.path.join(landing, "zz-" + f))
     _run(spark, "jobs", landing, root, os.path.join(tmp_dir, "ckj"))
 
-    jobs = ST.VersionedTable(spark, f"{root}/jobs").read()
-    labor = ST.VersionedTable(spark, f"{root}/labor_lines").read()
-    parts = ST.VersionedTable(spark, f"{root}/parts").read()
+    out = ST.published(spark, root)
+    jobs, labor, parts = out["jobs"], out["labor_lines"], out["parts"]
     docs = landed.parse_text(documents.job_documents_text(shop), S.JOB)
     assert _rows(jobs) == _rows(landed.flatten_jobs(docs))
     assert _rows(labor) == _rows(landed.flatten_labor(docs))
@@ -196,3 +199,111 @@ def test_order_summaries_skip_empty_and_idless(spark):
     assert [(r.repair_order_id, r.job_id) for r in s] == [(3, 5)]
     flat = {r.id: r for r in landed.flatten_orders(pages).collect()}
     assert flat[2].status_name is None and flat[2].total_sales == 0
+
+
+# ------------------------------------------------------------------ log and base
+def test_runs_in_any_order_and_two_streams_keep_everything(spark, tmp_dir):
+    """Run 20, then run 7; and two streams whose batches alternate: nothing is lost, rejects included."""
+    root = f"{tmp_dir}/out"
+    page = lambda name, i: spark.read.schema(S.EMPLOYEE_PAGE).json(spark.sparkContext.parallelize(
+        ['{"content": [{"id": %d, "firstName": "%s"}, {"firstName": "no id"}]}' % (i, name)]))
+    write = ST.batch_writer("employees", root)
+    write(page("Ann", 1), 20, "run")
+    write(page("Bob", 2), 7, "run")
+    for batch in range(2):
+        for stream in ("a", "b"):
+            write(page(f"{stream}{batch}", 100 + 10 * batch + ord(stream)), batch, stream)
+    for _ in range(2):
+        out = ST.published(spark, root)
+        assert {r.first_name for r in out["employees"].collect()} == {"Ann", "Bob", "a0", "a1", "b0", "b1"}
+        assert out["rejected"].count() == 6
+        ST.merge_log(spark, root)
+
+
+def test_a_merge_touches_only_the_partitions_it_meets(spark, tmp_dir):
+    land, root = f"{tmp_dir}/in", f"{tmp_dir}/out"
+    _write(land, "a.json", _page(*[(i, i, "2020-01-01") for i in range(300)]))
+    _run(spark, "orders", land, root, f"{tmp_dir}/ck")
+    ST.merge_log(spark, root)
+
+    def files():
+        base = ST._base_path(root, "repair_orders")
+        return {p: os.stat(p).st_mtime_ns for d, _, fs in os.walk(base) for f in fs if f.endswith(".parquet")
+                for p in [os.path.join(d, f)]}
+
+    before = files()
+    _write(land, "b.json", _page((5, 999, "2020-02-01"), (1000, 1, "2020-01-01"), (6, 0, "2019-01-01")))
+    _run(spark, "orders", land, root, f"{tmp_dir}/ck")
+    ST.merge_log(spark, root)
+    after = files()
+    kept = {p for p in before if after.get(p) == before[p]}
+    gone = {os.path.dirname(p) for p in set(before) - kept}
+    assert len(kept) >= ST.BUCKETS - 3 and 1 <= len(gone) <= 3
+    orders = _orders(spark, root)
+    assert orders == {**{i: i for i in range(300)}, 5: 999, 1000: 1}
+
+
+def test_a_merge_cut_off_in_its_overwrite_is_repeated_from_its_copy(spark, tmp_dir):
+    import shutil
+
+    land, root = f"{tmp_dir}/in", f"{tmp_dir}/out"
+    _write(land, "a.json", _page(*[(i, i, "2020-01-01") for i in range(50)]))
+    _run(spark, "orders", land, root, f"{tmp_dir}/ck")
+    rows = ST.log(spark, root, "repair_orders")
+    ST._merge_batch(spark, root, "repair_orders", rows, 0)
+    # the folders of the base are gone as after a loss between deletion and renaming
+    shutil.rmtree(ST._base_path(root, "repair_orders"))
+    ST._merge_batch(spark, root, "repair_orders", rows, 0)
+    assert _orders(spark, root) == {i: i for i in range(50)}
+
+
+def test_first_job_wins_in_one_batch_or_many_and_after_a_restart(spark, tmp_dir):
+    """Two documents of a job: the earlier landing stays, however the files fall into batches."""
+    land = f"{tmp_dir}/in"
+    for k, name in enumerate(("z.json", "m.json", "a.json")):
+        _write(land, name, *['{"id": %d, "name": "%s", "labor": [{"id": %d, "hours": %d}]}' % (i, name, i, k)
+                             for i in range(k, 12)])
+        os.utime(f"{land}/{name}", (1_000_000_000 + k, 1_000_000_000 + k))
+    want = {i: "z.json" for i in range(12)}
+    for target, files in (("one", None), ("many", 1)):
+        root = f"{tmp_dir}/{target}"
+        _run(spark, "jobs", land, root, f"{tmp_dir}/ck-{target}", files)
+        assert {r.id: r.name for r in ST.published(spark, root)["jobs"].collect()} == want
+        _write(land, f"later-{target}.json", '{"id": 3, "name": "later"}', '{"id": 50, "name": "new"}', '{"name": "lost"}')
+        _run(spark, "jobs", land, root, f"{tmp_dir}/ck-{target}", files)
+        out = ST.published(spark, root)
+        assert {r.id: r.name for r in out["jobs"].collect()} == {**want, 50: "new"}
+        assert out["rejected"].count() == 1 and {r.hours for r in out["labor_lines"].collect()} == {0.0}
+        # the second landing of a known job is not even logged
+        assert ST.log(spark, root, "jobs").filter("id = 3").count() == 1
+        os.remove(f"{land}/later-{target}.json")
+
+
+def test_lines_are_never_seen_without_their_job(spark, tmp_dir):
+    """A batch whose folder is not complete is not there at all."""
+    land, root = f"{tmp_dir}/in", f"{tmp_dir}/out"
+    _write(land, "a.json", '{"id": 1, "labor": [{"id": 10}]}')
+    _run(spark, "jobs", land, root, f"{tmp_dir}/ck")
+    _write(land, "b.json", '{"id": 2, "labor": [{"id": 20}]}')
+    _run(spark, "jobs", land, root, f"{tmp_dir}/ck")
+    done = [os.path.join(d, "_SUCCESS") for d, _, fs in os.walk(f"{root}/jobs/log") if "_SUCCESS" in fs]
+    os.remove([p for p in done if "batch=1" in p][0])
+    out = ST.published(spark, root)
+    assert [r.id for r in out["jobs"].collect()] == [1] and [r.id for r in out["labor_lines"].collect()] == [10]
+
+
+def test_explicit_null_stays_null_and_odd_amounts_are_rejected(spark, tmp_dir):
+    land, root = f"{tmp_dir}/in", f"{tmp_dir}/out"
+    _write(land, "o.json", '{"content": [{"id": 1, "laborSales": null, "taxes": 5}, {"id": 2, "laborSales": "x"}, '
+           '{"id": 3, "laborSales": 12.5}, {"id": 4}, {"id": 5, "totalSales": 7.0}]}')
+    _write(f"{tmp_dir}/jobs", "j.json", '{"id": 1, "laborHours": null, "labor": [{"id": 1, "rate": null}, {"id": 2}]}',
+           '{"id": 2, "parts": [{"id": 3, "cost": "abc"}]}')
+    _run(spark, "orders", land, root, f"{tmp_dir}/ck")
+    _run(spark, "jobs", f"{tmp_dir}/jobs", root, f"{tmp_dir}/ckj")
+    out = ST.published(spark, root)
+    rows = {r.id: (r.labor_sales, r.taxes, r.total_sales) for r in out["repair_orders"].collect()}
+    assert rows == {1: (None, 5, 0), 4: (0, 0, 0), 5: (0, 0, 7)}
+    assert sorted((r.kind, r.reason) for r in out["rejected"].collect()) == [
+        ("job", "unreadable amount"), ("order", "unreadable amount"), ("order", "unreadable amount")]
+    assert [(r.labor_hours, r.subtotal) for r in out["jobs"].collect()] == [(None, 0)]
+    assert {r.id: (r.rate, r.hours) for r in out["labor_lines"].collect()} == {1: (None, 0.0), 2: (0, 0.0)}

@@ -53,7 +53,7 @@ def test_full_sync_result_and_rerun(spark, tmp_dir):
     r0 = run_full_sync(spark, land, root, 0, AS_OF)
     assert r0.stats.first().asDict() == dict(
         jobs_found=n_jobs, jobs_synced=n_jobs - n_missing, jobs_skipped=0, jobs_failed=n_missing,
-        employees_synced=shop.employees.count(), orders_synced=n_orders)
+        employees_synced=shop.employees.count(), orders_synced=n_orders, pages_missing=0)
     assert r0.errors.count() == min(25, n_missing) and r0.started_at <= r0.finished_at
     out = ST.published(spark, root)
     assert out["jobs"].count() == n_jobs - n_missing and out["repair_orders"].count() == n_orders
@@ -62,11 +62,11 @@ def test_full_sync_result_and_rerun(spark, tmp_dir):
     s1 = run_full_sync(spark, land, root, 1, AS_OF).stats.first().asDict()
     assert s1["jobs_synced"] == 0 and s1["jobs_skipped"] == n_jobs - n_missing
     assert s1["jobs_failed"] == n_missing            # failed jobs are retried next run
-    jobs_table = ST.VersionedTable(spark, f"{root}/jobs")
-    assert jobs_table.versions() == [0, 1] and jobs_table.read().count() == n_jobs - n_missing
-    # replaying a run id changes nothing
+    assert ST.published(spark, root)["jobs"].count() == n_jobs - n_missing
+    # repeating a run id adds nothing
     run_full_sync(spark, land, root, 1, AS_OF)
-    assert jobs_table.versions() == [0, 1]
+    out = ST.published(spark, root)
+    assert out["jobs"].count() == n_jobs - n_missing and out["repair_orders"].count() == n_orders
 
 
 def test_stream_after_sync_on_one_root(spark, tmp_dir):
@@ -100,3 +100,49 @@ def test_reports_on_synced_tables(spark, tmp_dir):
     for report in (revenue.revenue, people.technician_metrics, categories.job_category_metrics):
         rows = [sorted(map(str, report(s, registry.YEAR, "revenue").collect())) for s in (got, want)]
         assert rows[0] == rows[1] and rows[0]
+
+
+def _landing(tmp_dir, orders, employees=(), jobs=()):
+    for name, lines in (("order_pages", orders), ("employee_pages", employees), ("job_documents", jobs)):
+        os.makedirs(f"{tmp_dir}/land/{name}", exist_ok=True)
+        with open(f"{tmp_dir}/land/{name}/x.json", "w") as f:
+            f.write("\n".join(lines) + "\n")
+    return f"{tmp_dir}/land"
+
+
+def test_missing_pages_are_errors_of_the_run(spark, tmp_dir):
+    page = '{"content": [{"id": %d, "createdDate": "2001-07-01", "jobs": [{"id": %d}]}], "totalPages": 6, "number": %d}'
+    land = _landing(tmp_dir, [page % (n, n, n) for n in (0, 1, 3)] + ['{"content": [], "totalPages": 6, "number": 5}'],
+                    jobs=['{"id": 0}', '{"id": 1}', '{"id": 3}', '{"id": 9}'])
+    r = run_full_sync(spark, land, f"{tmp_dir}/t", 1, AS_OF)
+    assert r.stats.first().pages_missing == 2
+    assert [e.error for e in r.errors.collect()] == ["order page 2 is missing", "order page 4 is missing"]
+    # a later run brings what was missing
+    land = _landing(tmp_dir, [page % (n, n, n) for n in range(6)], jobs=['{"id": %d}' % n for n in range(6)])
+    r = run_full_sync(spark, land, f"{tmp_dir}/t", 2, AS_OF)
+    stats = r.stats.first()
+    assert (stats.pages_missing, stats.jobs_synced, stats.jobs_skipped, r.errors.count()) == (0, 3, 2, 0)
+    assert {x.id for x in ST.published(spark, f"{tmp_dir}/t")["jobs"].collect()} == {1, 2, 3, 4, 5}
+
+
+def test_each_landed_folder_is_read_once(spark, tmp_dir, monkeypatch):
+    """A landed folder is scanned once in the plan that logs it, and is gone for the rest of the run."""
+    import shutil
+
+    shop = load_shop(spark, SF)
+    land = os.path.join(tmp_dir, "landed")
+    _land(spark, shop, land)
+    folders = {"employees": "employee_pages", "repair_orders": "order_pages", "jobs": "job_documents"}
+    scans: dict = {}
+    append = ST.append
+
+    def once(rows, root, table, source, batch):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        scans[table] = {f: plan.count(f"{land}/{f}") for f in folders.values()}
+        append(rows, root, table, source, batch)
+        shutil.rmtree(f"{land}/{folders[table]}")
+
+    monkeypatch.setattr(ST, "append", once)
+    stats = run_full_sync(spark, land, f"{tmp_dir}/t", 0, AS_OF).stats.first()
+    assert scans == {t: {f: int(f == own) for f in folders.values()} for t, own in folders.items()}
+    assert stats.jobs_synced == _in_window(shop)[1].count()
