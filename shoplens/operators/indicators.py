@@ -41,20 +41,20 @@ def shop_figures(shop: Shop, period: Period, basis: str = "revenue") -> DataFram
     """One row of shop-level figures for the period: order count and money
     (cents), billed hours and flagged technicians (from the technician
     report), and the dashboard-trend total (cents)."""
-    return figures_from(revenue.orders_in(shop, period, basis),
+    orders = revenue.orders_in(shop, period, basis).agg(
+        F.count(F.lit(1)).alias("ro_count"),
+        X.sum_cents("labor_sales").alias("labor_c"), X.sum_cents("parts_sales").alias("parts_c"),
+        X.sum_cents("discount_total").alias("discounts_c"))
+    return figures_from(orders,
                         people.technician_metrics(shop, period, basis, ordered=False),
                         revenue.dashboard_trend(shop, period, basis))
 
 
-def figures_from(period_orders: DataFrame, technicians: DataFrame, trend: DataFrame) -> DataFrame:
+def figures_from(orders: DataFrame, technicians: DataFrame, trend: DataFrame) -> DataFrame:
     """Shop figures from already computed pieces.  The three one-row
     aggregates are stacked with ``unionByName`` and folded by a global
     aggregate: one job, each branch partially aggregated, no join and no
-    nested subquery."""
-    orders = period_orders.agg(
-        F.count(F.lit(1)).alias("ro_count"),
-        X.sum_cents("labor_sales").alias("labor_c"), X.sum_cents("parts_sales").alias("parts_c"),
-        X.sum_cents("discount_total").alias("discounts_c"))
+    nested subquery.  ``orders``: one row of count and money (cents)."""
     tech = _flag_columns(technicians).agg(
         F.coalesce(F.sum("labor_hours"), F.lit(0.0)).alias("hours"),
         F.count(F.when(F.col("flagged"), F.lit(1))).alias("flagged"))

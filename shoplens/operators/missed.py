@@ -31,10 +31,27 @@ def _split_sums(df: DataFrame, *keys) -> DataFrame:
         F.count(F.when(d, F.lit(1))).alias("declined_count"))
 
 
+def split_by_category(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
+    """Sold and declined value (cents) and count per category: what D11 and D12 both sum up."""
+    validate_basis(basis)
+    jobs = _open_jobs(shop, period, basis).select(
+        X.category_label().alias("category"), "authorized", "subtotal")
+    return _split_sums(jobs, "category")
+
+
 def missed_revenue_summary(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
     """One row, sold and declined value / count, conversion, average."""
     validate_basis(basis)
-    g = _split_sums(_open_jobs(shop, period, basis))
+    return _summary_row(_split_sums(_open_jobs(shop, period, basis)))
+
+
+def summary_of(split: DataFrame) -> DataFrame:
+    """D11 from the sums per category."""
+    return _summary_row(split.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c)
+                                    for c in ("auth_c", "authorized_count", "decl_c", "declined_count")]))
+
+
+def _summary_row(g: DataFrame) -> DataFrame:
     out = g.select(X.dollars("decl_c").alias("declined_value"), "declined_count",
                    X.dollars("auth_c").alias("authorized_value"), "authorized_count")
     out = out.withColumn("recommended_value",
@@ -48,10 +65,11 @@ def missed_revenue_summary(shop: Shop, period: Period, basis: str = "revenue") -
 
 def missed_revenue_by_category(shop: Shop, period: Period, basis: str = "revenue") -> DataFrame:
     """Per category; categories with neither value above 0 are dropped."""
-    validate_basis(basis)
-    jobs = _open_jobs(shop, period, basis).select(
-        X.category_label().alias("category"), "authorized", "subtotal")
-    g = _split_sums(jobs, "category")
+    return by_category_of(split_by_category(shop, period, basis))
+
+
+def by_category_of(g: DataFrame) -> DataFrame:
+    """D12 from the sums per category."""
     out = g.select("category", X.dollars("auth_c").alias("authorized_value"), "authorized_count",
                    X.dollars("decl_c").alias("declined_value"), "declined_count")
     out = out.filter((F.col("declined_value") > 0) | (F.col("authorized_value") > 0))
@@ -65,20 +83,20 @@ def missed_revenue_by_category(shop: Shop, period: Period, basis: str = "revenue
 def top_declined_jobs(shop: Shop, period: Period, basis: str = "revenue",
                       job_limit: int = DEFAULT_JOB_LIMIT) -> DataFrame:
     """the ``job_limit`` declined jobs with the highest quoted subtotal
-    (ties by job id).  The top-k runs first (each task keeps k rows), and
-    names are joined onto those k rows only."""
+    (ties by job id).  The top-k runs first, over the jobs alone (each task
+    keeps k rows); orders and names are joined onto those k rows only."""
     validate_basis(basis)
     raw = basis_raw_column(basis)
-    orders = orders_in(shop, period, basis).select(
-        F.col("id").alias("repair_order_id"), F.col("repair_order_number").alias("ro_number"),
-        F.col(raw).alias("report_date"), F.col("service_writer_id"))
     top = (shop.of_period("jobs", period, basis).filter(X.declined())
-           .join(orders, "repair_order_id", "inner")
            .select(F.col("id").alias("job_id"), F.col("name").alias("job_name"),
-                   X.category_label().alias("category"), "subtotal", "ro_number",
-                   "report_date", "technician_id", "service_writer_id")
+                   X.category_label().alias("category"), "subtotal", "repair_order_id", "technician_id")
            .orderBy(F.col("subtotal").desc_nulls_last(), F.col("job_id").asc())
            .limit(int(job_limit)))
+    # a job in the period has the days of its order, so the order is there
+    orders = orders_in(shop, period, basis).select(
+        F.col("id").alias("repair_order_id"), F.col("repair_order_number").alias("ro_number"),
+        F.col(raw).alias("report_date"), F.col("service_writer_id"))
+    top = top.join(orders, "repair_order_id")
     emp = shop.employees.select("id", X.display_name().alias("name"))
     tech = emp.select(F.col("id").alias("technician_id"), F.col("name").alias("technician_name"))
     adv = emp.select(F.col("id").alias("service_writer_id"), F.col("name").alias("advisor_name"))

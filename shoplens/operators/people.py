@@ -125,6 +125,11 @@ def advisor_metrics(shop: Shop, period: Period, basis: str = "revenue") -> DataF
         F.count("id").alias("ro_count"),
         *[F.sum(c).alias(c) for c in ("total_sales", "labor_sales", "parts_sales",
                                        "discount_total")])
+    return advisors_from(shop, per_writer)
+
+
+def advisors_from(shop: Shop, per_writer: DataFrame) -> DataFrame:
+    """D7 from the orders' count and money per advisor id (cents)."""
     adv = shop.employees.filter(X.role_is("role_name", "service advisor")).select(
         F.col("id").alias("advisor_id"), X.display_name().alias("advisor_name"))
     j = adv.join(per_writer, "advisor_id", "left")

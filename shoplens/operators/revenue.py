@@ -80,6 +80,10 @@ def _trend(shop: Shop, period: Period, basis: str, key_name: str, key: Column) -
     g = (orders_in(shop, period, basis)
          .groupBy(key.alias(key_name))
          .agg(F.count(F.lit(1)).alias("ro_count"), *_cents_sums()))
+    return _trend_rows(g, key_name)
+
+
+def _trend_rows(g: DataFrame, key_name: str) -> DataFrame:
     rebuilt = X.rebuilt_total_cents("labor_sales_c", "parts_sales_c", "sublet_sales_c",
                                     "fees_c", "taxes_c", "discounts_c")
     total_c = X.normalized_total_cents("total_sales_c", rebuilt)
@@ -140,7 +144,11 @@ def period_comparison(shop: Shop, period: Period, basis: str = "revenue") -> Dat
         for src, name in ORDER_MONEY:
             aggs.append(F.coalesce(F.sum(F.when(cond, F.col(src))), F.lit(0)).cast("long")
                         .alias(f"{tag}_{name}_c"))
-    g = base.agg(*aggs)
+    return _comparison_row(base.agg(*aggs), period, basis)
+
+
+def _comparison_row(g: DataFrame, period: Period, basis: str) -> DataFrame:
+    prev = period.previous()
     cols = [F.lit(period.start_s).alias("start_date"), F.lit(period.end_s).alias("end_date"),
             F.lit(prev.start_s).alias("previous_start_date"),
             F.lit(prev.end_s).alias("previous_end_date"), F.lit(basis).alias("basis")]
@@ -154,3 +162,64 @@ def period_comparison(shop: Shop, period: Period, basis: str = "revenue") -> Dat
     changes = [X.change_pct(f"current_{m}", f"previous_{m}").alias(f"{m}_percent") for m in COMPARED]
     g3 = g2.select("*", *changes)
     return g3.select("*", *[X.change_class(f"{m}_percent").alias(f"{m}_class") for m in COMPARED])
+
+
+# ------------------------------------------------------------------ one pass
+#: What a row of :func:`order_cube` is about (the grouping id of its columns).
+TOTAL, BUCKET, ADVISOR = 0b011, 0b001, 0b010
+
+
+def order_cube(shop: Shop, period: Period, basis: str = "revenue", by_day: bool = False) -> DataFrame:
+    """All that a dashboard needs of the orders, from one scan of them: count
+    and money of the period and of the one before it (`current`), in total, by
+    day or month, and by advisor.  A row per total, bucket and advisor: the
+    grouping sets are aggregated map-side before the shuffle."""
+    validate_basis(basis)
+    day = basis_column(basis)
+    text = X.day_text(day) if by_day else X.month_text(day)
+    current = X.in_period(day, period)
+    both = shop.of_period("repair_orders", Period(period.previous().start, period.end), basis)
+    rows = both.select(current.alias("current"), F.when(current, text).alias("bucket"),
+                       F.when(current, F.col("service_writer_id")).alias("advisor_id"), *[c for c, _ in ORDER_MONEY])
+    sets = [[F.col("current")], [F.col("current"), F.col("bucket")], [F.col("current"), F.col("advisor_id")]]
+    return rows.groupingSets(sets, "current", "bucket", "advisor_id").agg(
+        F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("ro_count"), *_cents_sums())
+
+
+def _cube_total(cube: DataFrame) -> DataFrame:
+    rows = cube.filter((F.col("level") == TOTAL) & F.col("current"))
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c)
+                      for c in ["ro_count", *[f"{name}_c" for _, name in ORDER_MONEY]]])
+
+
+def revenue_of(cube: DataFrame, period: Period, basis: str) -> DataFrame:
+    """D1 from an order cube."""
+    return _revenue_row(_cube_total(cube), period, F.lit(basis))
+
+
+def trend_of(cube: DataFrame, by_day: bool) -> DataFrame:
+    """D2 / D3 from an order cube."""
+    name = "day" if by_day else "month"
+    rows = cube.filter((F.col("level") == BUCKET) & F.col("current"))
+    return _trend_rows(rows.withColumnRenamed("bucket", name), name)
+
+
+def comparison_of(cube: DataFrame, period: Period, basis: str) -> DataFrame:
+    """E3 from an order cube."""
+    total = cube.filter(F.col("level") == TOTAL)
+    columns = ["ro_count", *[f"{name}_c" for _, name in ORDER_MONEY]]
+    g = total.agg(*[F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("long").alias(f"{tag}_{c}")
+                    for tag, cond in (("cur", F.col("current")), ("prev", ~F.col("current"))) for c in columns])
+    return _comparison_row(g, period, basis)
+
+
+def per_advisor(cube: DataFrame) -> DataFrame:
+    """Orders of each advisor id, from an order cube (cents)."""
+    rows = cube.filter((F.col("level") == ADVISOR) & F.col("current"))
+    return rows.select("advisor_id", "ro_count", *[F.col(f"{name}_c").alias(src) for src, name in ORDER_MONEY])
+
+
+def order_figures(cube: DataFrame) -> DataFrame:
+    """One row: what the shop figures take from the orders (cents)."""
+    return _cube_total(cube).select("ro_count", F.col("labor_sales_c").alias("labor_c"),
+                                    F.col("parts_sales_c").alias("parts_c"), "discounts_c")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in this package assumes.  AQE re-plans joins at run
 # time (size-checked broadcast, skew-split, partition coalescing); the
@@ -99,3 +100,11 @@ def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
 def delete_folder(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written once to the shared checkpoint folder, read again, and its
+    path (:func:`delete_folder` when it is no longer needed)."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/shoplens-stored/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path

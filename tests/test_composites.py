@@ -63,7 +63,37 @@ def test_dashboard_rejects_bad_parameters(spark):
 
 def test_snapshot_has_members(spark):
     shop = load_shop(spark, SF)
+    p = date_range("2001-01-01", "2001-06-30", as_of=AS_OF)
     snap = dashboard_snapshot(shop, start="2001-01-01", end="2001-06-30", as_of=AS_OF)
+    for k, df in {"revenue": revenue.revenue(shop, p), "monthly_trends": revenue.monthly_trends(shop, p),
+                  "advisors": people.advisor_metrics(shop, p), "missed_summary": missed.missed_revenue_summary(shop, p),
+                  "missed_by_category": missed.missed_revenue_by_category(shop, p)}.items():
+        assert _rows(snap[k]) == _rows(df), k
     assert {"revenue", "monthly_trends", "technicians", "advisors", "job_categories",
             "missed_summary", "missed_by_category", "top_declined_jobs"} <= set(snap)
     assert snap["revenue"].first().start_date == "2001-01-01"
+
+
+@pytest.mark.parametrize("days, basis", [(30, "revenue"), (365, "production")])
+def test_orders_are_scanned_once(spark, days, basis):
+    """All figures about orders come from one scan of them; only the names of
+    the at most fifty declined jobs look their orders up."""
+    shop = load_shop(spark, SF)
+    scans = lambda df: len(__import__("re").findall(
+        r"FileScan parquet [^\n]*/repair_orders[\],]", df._jdf.queryExecution().executedPlan().toString()))
+    p = date_range(days=days, as_of=AS_OF)
+    assert scans(revenue.order_cube(shop, p, basis)) == 1
+    rep = dashboard_report(shop, days=days, basis=basis, as_of=AS_OF)
+    try:
+        assert {k: n for k, df in rep.items() if (n := scans(df))} == {"top_declined_jobs": 1}
+    finally:
+        rep.unpersist()
+
+
+def test_report_of_a_period_without_orders(make_shop):
+    shop = make_shop(employees=[dict(id=1, first_name="A", role_name="Service Advisor")])
+    p = date_range("2020-01-01", "2020-01-31")
+    snap = dashboard_snapshot(shop, start="2020-01-01", end="2020-01-31")
+    assert _rows(snap["revenue"]) == _rows(revenue.revenue(shop, p))
+    assert snap["monthly_trends"].count() == 0 and snap["advisors"].first().ro_count == 0
+    assert _rows(snap["missed_summary"]) == _rows(missed.missed_revenue_summary(shop, p))
