@@ -59,16 +59,25 @@ def in_period(day_col, period: Period) -> Column:
     return col(day_col).between(F.lit(period.start), F.lit(period.end))
 
 
-#: Partition column of the large tables: year * 100 + month of the posted day.
-MONTH_PARTITION = "posted_month"
+#: Partition columns that the large tables may have: year * 100 + month, or the year, of the posted day.
+MONTH_PARTITION, YEAR_PARTITION = "posted_month", "posted_year"
+
+
+def month_number(day) -> Column:
+    return F.year(col(day)) * 100 + F.month(col(day))
 
 
 def period_rows(df: DataFrame, day: str, period: Period) -> DataFrame:
     """Rows whose day column lies in the period.  On the posted basis the month
-    partitions are restricted too, where the table has them."""
+    or year partitions are restricted too, where the table has them."""
     df = df.filter(in_period(day, period))
-    if day == "posted_day" and MONTH_PARTITION in df.columns:
-        df = df.filter(F.col(MONTH_PARTITION).between(*[F.lit(d.year * 100 + d.month) for d in (period.start, period.end)]))
+    if day != "posted_day":
+        return df
+    ends = (period.start, period.end)
+    if MONTH_PARTITION in df.columns:
+        df = df.filter(F.col(MONTH_PARTITION).between(*[F.lit(d.year * 100 + d.month) for d in ends]))
+    if YEAR_PARTITION in df.columns:
+        df = df.filter(F.col(YEAR_PARTITION).between(*[F.lit(d.year) for d in ends]))
     return df
 
 

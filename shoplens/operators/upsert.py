@@ -52,11 +52,11 @@ def upsert_first(existing: DataFrame | None, batch: DataFrame, key: str = "id",
                  seq: str = SEQ) -> DataFrame:
     """Insert jobs whose id is not stored yet; stored rows never change
     (the first stored version wins, later documents are ignored)."""
-    new = first_per_key(batch, key, seq)
     if existing is None:
-        return new
-    unseen = new.join(existing.select(key), key, "left_anti")
-    return existing.select(*new.columns).unionByName(unseen)
+        return first_per_key(batch, key, seq)
+    # known ids go first: only documents of unseen ones are compared
+    new = first_per_key(batch.join(existing.select(key), key, "left_anti"), key, seq)
+    return existing.select(*new.columns).unionByName(new)
 
 
 def unseen_job_ids(summaries: DataFrame, known_ids: DataFrame) -> DataFrame:

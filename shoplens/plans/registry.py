@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens.functions.params import Period, date_range, ingest_window, trend_window
-from shoplens.operators import (audit, categories, indicators, inspect, missed, people,
+from shoplens.operators import (audit, categories, daily, indicators, inspect, missed, people,
                                 revenue, upsert)
 from shoplens.sources import documents, landed
 from shoplens.sources import schemas as S
@@ -215,6 +215,13 @@ def queries() -> dict[str, Query]:
         "dashboard_trend": lambda s: revenue.dashboard_trend(s, Y, "production"),
         "dashboard_trend_daily": lambda s: revenue.dashboard_trend(s, QUARTER, "production"),
         "period_comparison": lambda s: revenue.period_comparison(s, Y, "revenue"),
+        # from one scan, and from daily rows
+        "order_cube": lambda s: revenue.order_cube(s, Y, "revenue"),
+        "revenue_from_daily": lambda s: daily.revenue_report(daily.daily_sums(s.repair_orders), H, "revenue"),
+        "monthly_trends_from_daily": lambda s: daily.trend_report(daily.daily_sums(s.repair_orders), H, "revenue"),
+        "comparison_from_daily": lambda s: daily.comparison_report(daily.daily_sums(s.repair_orders), Y, "revenue"),
+        "category_order_counts": lambda s: daily.distinct_in(daily.category_order_bitmaps(s), H, "revenue"),
+        "technician_distinct_jobs": lambda s: daily.distinct_in(daily.technician_job_bitmaps(s), H, "revenue"),
         # people
         "technician_metrics": lambda s: people.technician_metrics(s, H, "revenue"),
         "technician_trend": lambda s: people.technician_trend(s, TREND, "revenue"),

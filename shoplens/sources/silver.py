@@ -3,8 +3,9 @@
 A :class:`Shop` is just five DataFrames.  Jobs, labor lines and parts carry the
 id and the three business days of their order, so a report restricts each table
 by its own columns, before any join.  ``write`` partitions the four large
-tables by the month of the default basis (``posted_month``) and sorts by day
-within files, so a period prunes partitions on that basis and row groups on the
+tables by the month of the default basis (``posted_month``), or while a month
+would be a small file by its year (``posted_year``), and sorts by day within
+files, so a period prunes partitions on that basis and row groups on the
 others.  Rows are dealt to files by Spark's rebalance step: a month, job or
 order that holds a third of all rows becomes several files, and small months
 share a task.
@@ -20,23 +21,28 @@ from __future__ import annotations
 import hashlib
 import threading
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoplens.functions import exprs as X
 from shoplens.functions.params import Period, basis_column
-from shoplens.session import ensure_checkpoint_dir, path_exists, rename_folder
+from shoplens.session import ensure_checkpoint_dir, path_exists, rename_folder, touch
+from shoplens.sources import schemas as S
 from shoplens.sources.schemas import ORDER_DAY_COLUMNS
 
 TABLE_NAMES = ("employees", "repair_orders", "jobs", "labor_lines", "parts")
 DAYS = list(ORDER_DAY_COLUMNS)
-MONTH = X.MONTH_PARTITION
+MONTH, YEAR = X.MONTH_PARTITION, X.YEAR_PARTITION
+#: Orders of a month from which a table is partitioned by month, not by year.
+MONTH_ROWS = 500_000
 
 # Adapter version: bump when the derivation or the layout changes so stale
 # copies are ignored.
-DERIVATION_VERSION = "7"
+DERIVATION_VERSION = "8"
 
 
 def _with_days(child: DataFrame, fk: str, parent: DataFrame, *more: str) -> DataFrame:
@@ -55,6 +61,8 @@ class Shop:
     jobs: DataFrame
     labor_lines: DataFrame
     parts: DataFrame
+    #: Where the tables are stored as they are, if they are.
+    root: str | None = field(default=None, compare=False)
 
     def __post_init__(self):
         self.jobs = _with_days(self.jobs, "repair_order_id", self.repair_orders)
@@ -74,19 +82,67 @@ class Shop:
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> "Shop":
-        return cls(**{n: spark.read.parquet(f"{root}/{n}") for n in TABLE_NAMES})
-
-    def write(self, root: str, mode: str = "overwrite") -> None:
-        """Write the five tables under ``root``."""
-        for n in TABLE_NAMES:
+        """The tables under ``root``, with their declared columns (nothing is
+        inferred from files; partition columns come from the folders)."""
+        stamped = path_exists(spark, f"{root}/{STAMPED}")
+        shop = cls(**{n: spark.read.schema(silver_schema(n, stamped)).parquet(f"{root}/{n}") for n in TABLE_NAMES})
+        shop.root = root
+        return shop
+
+    def write(self, root: str, mode: str = "overwrite", month_rows: int = MONTH_ROWS) -> None:
+        """Write the five tables under ``root``, side by side."""
+        months = self.repair_orders.agg(F.count("*").alias("n"), F.count_distinct(X.month_number("posted_day")).alias("m")).first()
+        unit, value = ((MONTH, X.month_number("posted_day")) if months["n"] >= month_rows * max(1, months["m"])
+                       else (YEAR, F.year("posted_day")))
+        stamped = "synced_at" in self.repair_orders.columns
+
+        def write(n: str) -> None:
             df = getattr(self, n)
+            df = df.select(*[c for c in df.columns if c in silver_schema(n, stamped).names])
             if n == "employees":
                 df.write.mode(mode).parquet(f"{root}/{n}")
-                continue
-            month = F.year("posted_day") * 100 + F.month("posted_day")
-            df = df.withColumn(MONTH, month).hint("rebalance", F.col(MONTH))
-            (df.sortWithinPartitions(MONTH, "posted_day", "created_day").write.mode(mode)
-             .partitionBy(MONTH).parquet(f"{root}/{n}"))
+                return
+            df = df.withColumn(unit, value).hint("rebalance", F.col(unit))
+            (df.sortWithinPartitions(unit, "posted_day", "created_day").write.mode(mode)
+             .partitionBy(unit).parquet(f"{root}/{n}"))
+
+        # the jobs of several tables share the cluster
+        with ThreadPool(len(TABLE_NAMES)) as pool:
+            pool.map(write, TABLE_NAMES)
+        if stamped:
+            touch(self.repair_orders.sparkSession, f"{root}/{STAMPED}")
+
+
+#: Marker of tables that carry their ingest time.
+STAMPED = "_synced"
+
+
+def silver_schema(name: str, stamped: bool = False) -> T.StructType:
+    """Columns of a written table: its own, the ids and days of its order, the ingest time."""
+    own = {"employees": S.EMPLOYEES, "repair_orders": S.REPAIR_ORDERS, "jobs": S.JOBS, "labor_lines": S.LABOR_LINES,
+           "parts": S.PARTS}[name]
+    fields = list(own.fields)
+    if name in ("labor_lines", "parts"):
+        fields.append(T.StructField("repair_order_id", T.LongType()))
+    if name != "employees":
+        fields += [T.StructField(d, T.DateType()) for d in DAYS]
+    if stamped:
+        fields.append(T.StructField("synced_at", T.TimestampType()))
+    return T.StructType(fields)
+
+
+def footers(shop: Shop) -> dict[str, DataFrame]:
+    """The stored tables through the Parquet source that pushes counts into the
+    scan and answers them from the file footers."""
+    spark = shop.repair_orders.sparkSession
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    key = "spark.sql.sources.useV1SourceList"
+    v1 = spark.conf.get(key)
+    spark.conf.set(key, ",".join(x for x in v1.split(",") if x != "parquet"))
+    try:
+        return {n: spark.read.schema(silver_schema(n)).parquet(f"{shop.root}/{n}") for n in TABLE_NAMES}
+    finally:
+        spark.conf.set(key, v1)
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str, names) -> str:
@@ -148,8 +204,8 @@ def land_documents(spark: SparkSession, sf_dir: str) -> str:
                      "employee_pages": documents.employee_pages_text(shop),
                      "job_documents": documents.job_documents_text(shop)}
             private = f"{root}.{uuid.uuid4().hex}"
-            for name, text in texts.items():
-                text.write.mode("overwrite").text(f"{private}/{name}")
+            with ThreadPool(len(texts)) as pool:
+                pool.map(lambda t: t[1].write.mode("overwrite").text(f"{private}/{t[0]}"), texts.items())
             rename_folder(spark, private, root)
     return root
 

@@ -80,5 +80,32 @@ def test_fact_scans_prune_months_and_days(plans, key):
     facts = [x for x in scans if re.search(r"/(repair_orders|jobs|labor_lines|parts)[\],]", x)]
     assert facts
     for x in facts:
-        assert re.search(r"PartitionFilters: \[[^\]]*posted_month", x), (key, x[:400])
+        assert re.search(r"PartitionFilters: \[[^\]]*posted_(month|year)", x), (key, x[:400])
         assert "posted_day" in x[x.index("PushedFilters"):], (key, x[:400])
+
+
+def test_month_partitions_where_months_are_large(spark, tmp_dir):
+    """The unit follows the orders of a month; reports prune and agree on both."""
+    import datetime as dt
+
+    from shoplens.functions.params import Period
+    from shoplens.operators import revenue
+    from shoplens.sources.silver import Shop, load_shop
+
+    shop = load_shop(spark, SF)
+    shop.write(f"{tmp_dir}/m", month_rows=1)
+    months = Shop.read(spark, f"{tmp_dir}/m")
+    assert "posted_month" in months.jobs.columns and "posted_year" in shop.jobs.columns
+    p = Period(dt.date(1996, 3, 10), dt.date(1997, 2, 3))
+    report = revenue.revenue(months, p)
+    assert re.search(r"PartitionFilters: \[[^\]]*posted_month#\d+ >= 199603",
+                     report._jdf.queryExecution().executedPlan().toString())
+    assert report.collect() == revenue.revenue(shop, p).collect()
+
+
+def test_counts_come_from_file_footers(spark):
+    from shoplens.plans import registry
+
+    plan = registry.queries()["record_counts"](spark, SF)._jdf.queryExecution().toString()
+    pushed = re.findall(r"PushedAggregation: \[([^\]]*)\]", plan)
+    assert pushed and all(p == "COUNT(*)" for p in pushed), plan[:2000]
