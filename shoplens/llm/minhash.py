@@ -9,13 +9,15 @@ on a sketch are candidates, candidates whose alignment covers at least
 each component form one group.
 
 Order of work, so that a group of a third of all rows stays cheap: documents
-with equal word sequences are one class and only its representative goes on;
-within a sketch value, blocks of at most twice :data:`BLOCK` representatives
-are compared on 128-byte signatures of their words (an alignment of a share t
-of the longer one's words means that t / (2 - t) of all words, with
-multiplicity, are common); in :data:`ROUNDS` rounds each representative is aligned with its
-most similar partner per block, then all pairs that are still in different
-components are.
+with equal word sequences are one class and only its representative goes on.
+Members of a sketch value are dealt into blocks of about :data:`BLOCK`, anew for
+each sketch.  In :data:`ROUNDS` rounds each representative is aligned with the
+one in its block whose signature is most like its own.  Then every pair of
+blocks of a sketch value that still holds several components is worked off
+inside one task, which has the word sequences and aligns all pairs that are not
+yet connected and that could reach the threshold by the words they have in
+common: no pair leaves the task, only a link for each two components it joins,
+and no pair is looked at in two sketches.
 """
 
 from __future__ import annotations
@@ -31,7 +33,10 @@ from pyspark.sql import functions as F
 from .common import WORD, components, null_safe_semi, saved, with_group_totals
 
 SHINGLE, SAMPLES, SKETCHES, SIGNATURE, BLOCK = 5, 2, 24, 128, 1000
-#: Pairs whose signatures agree on fewer places than an aligned pair's do, by so many standard deviations, are not aligned.
+#: Words that a block holds, about; and hashes of words that a task remembers.
+BLOCK_WORDS, KNOWN_WORDS = 2_000_000, 200_000
+#: In the first rounds, partners whose signatures agree on fewer places than an aligned pair's do, by so many standard
+#: deviations, wait for the last one.
 DEVIATIONS = 4.0
 #: Rounds that align only the most similar partners.
 ROUNDS = 2
@@ -98,6 +103,14 @@ def sketches(shingles: np.ndarray, seeds: np.ndarray, samples: int = SAMPLES) ->
     return out
 
 
+def _hashes(words: list[str], known: dict[str, int], digest) -> np.ndarray:
+    if len(known) > KNOWN_WORDS:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = digest(w)
+    return np.fromiter((known[w] for w in words), np.uint64, len(words))
+
+
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     seeds = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     word = WORD
@@ -112,11 +125,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = []
             for doc, text in zip(frame["doc_id"].tolist(), frame["text"].tolist()):
                 words = find(text.lower())
-                if len(known) > 1_000_000:
-                    known.clear()
-                for w in [w for w in set(words) if w not in known]:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-                hashes = np.array([known[w] for w in words], np.uint64)
+                hashes = _hashes(words, known, xxhash.xxh3_64_intdigest)
                 cls = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 keys, marks = (sketches(shingle_hashes(hashes), seeds), signature(hashes)) if words else ([], b"")
                 rows.append((doc, cls, len(words), keys, marks))
@@ -133,8 +142,8 @@ def alignment(a: list, b: list, least: float) -> float:
     covers, within the band that a share of ``least`` allows (0.0 below it).
 
     Common starts and ends are aligned as they are; between them, the longest
-    common subsequence comes from a bit-parallel table whose rows hold only
-    the cells of the band."""
+    common subsequence comes from a bit-parallel table that counts only the
+    cells of the band as matches; a row is one integer of a bit per word."""
     long = max(len(a), len(b))
     if not long:
         return 1.0
@@ -164,7 +173,12 @@ def alignment(a: list, b: list, least: float) -> float:
     return common / long if common >= least * long - 1e-9 else 0.0
 
 
-def _aligned(pairs: DataFrame, src: DataFrame, threshold: float) -> DataFrame:
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Each text of the documents ``ids`` (doc_id) once, however often its row is repeated."""
+    return texts.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def _aligned(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     word = WORD
 
     def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,23 +193,48 @@ def _aligned(pairs: DataFrame, src: DataFrame, threshold: float) -> DataFrame:
                 keep.append(alignment(words, find(y.lower()), threshold) > 0)
             yield frame.loc[keep, ["a", "b"]]
 
+    src = saved(_texts_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), "pair-texts")
     left = src.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
     right = src.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInPandas(align, "a long, b long")
 
 
-def _passing(rows: DataFrame, best_only: bool, threshold: float) -> DataFrame:
-    """Pairs (smaller id first) of each block of a sketch value whose labels
-    differ and whose lengths and signatures allow a link; ``best_only``: per
-    row only that with the signature most like its own."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows with the block (`side`) of their sketch value, one of `c`, that they fall into; dealt anew for each value."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_words").alias("_w")).select(
+        "key", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("_w") / BLOCK_WORDS)).cast("int").alias("c"))
+    return rows.join(sizes, "key").withColumn("side", F.pmod(F.xxhash64("key", "doc_id"), F.col("c")).cast("int"))
+
+
+def _groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows as frames of whole groups, with the numbers of the groups; a group may span frames."""
+    rest = None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        new = np.zeros(len(frame), bool)
+        for c in by:
+            x = frame[c].to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        last = np.flatnonzero(new)[-1] if new.any() else 0  # the last group may go on
+        if last:
+            yield frame.iloc[:last], np.cumsum(new[:last])
+        rest = frame.iloc[last:].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest, np.zeros(len(rest), np.int64)
+
+
+def _best_partners(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (smaller id first): for each row of each block, the row whose label
+    differs, whose length allows a link, and whose signature is most like its own."""
     share, places = threshold / (2 - threshold), SIGNATURE
 
     def work(frame: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
-        docs, labels, words, side = (frame[c].to_numpy() for c in ("doc_id", "label", "n_words", "side"))
+        docs, labels, words = (frame[c].to_numpy() for c in ("doc_id", "label", "n_words"))
         marks = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(-1, places)
-        own = frame["bi"].to_numpy() == frame["bj"].to_numpy()
         best, partner = np.full(len(docs), -1.0), np.full(len(docs), -1)
-        found, apart = [], 1
+        apart = 1
         while apart < len(docs):  # all rows and the row so many places on, while groups are that large
             at = np.flatnonzero(group[apart:] == group[:-apart])
             if not len(at):
@@ -204,60 +243,129 @@ def _passing(rows: DataFrame, best_only: bool, threshold: float) -> DataFrame:
                 a = at[i:i + 50_000]
                 b = a + apart
                 short, long = np.minimum(words[a], words[b]), np.maximum(words[a], words[b])
-                # of two different blocks, pairs within each are those of its own block
-                ok = (labels[a] != labels[b]) & (short >= threshold * long - 1e-9) & (own[a] | (side[a] != side[b]))
+                ok = (labels[a] != labels[b]) & (short >= threshold * long - 1e-9)
                 a, b = a[ok], b[ok]
                 x, y = marks[a], marks[b]
                 agreed = ((x == y) & (x != 0)).sum(1)
                 used = ((x != 0) | (y != 0)).sum(1)
                 ok = agreed >= np.maximum(1, share * used - DEVIATIONS * np.sqrt(share * (1 - share) * used))
-                if not best_only:
-                    found.append((docs[a[ok]], docs[b[ok]]))
-                    continue
                 a, b, agreement = a[ok], b[ok], agreed[ok] / used[ok]
                 for x, y in ((a, b), (b, a)):  # within one step, no row stands twice on a side
                     better = agreement > best[x]
                     best[x[better]], partner[x[better]] = agreement[better], y[better]
             apart += 1
-        if best_only:
-            x = np.flatnonzero(partner >= 0)
-            x, y = docs[x], docs[partner[x]]
-            found = [(np.minimum(x, y), np.maximum(x, y))]
-        a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+        x = np.flatnonzero(partner >= 0)
+        x, y = docs[x], docs[partner[x]]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+
+    def partners(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, group in _groups(frames, ["key", "side"]):
+            yield work(frame, group)
+
+    dealt = _dealt(rows).select("key", "side", "doc_id", "label", "n_words", "signature")
+    return (dealt.repartition("key", "side").sortWithinPartitions("key", "side", "doc_id")
+            .mapInPandas(partners, "a long, b long").distinct())
+
+
+class Block:
+    """Word sequences of some documents; finds links between different labels."""
+
+    def __init__(self, sequences: list[np.ndarray]):
+        order = np.argsort([len(x) for x in sequences], kind="stable")
+        self.order, self.sequences = order, [sequences[i] for i in order]
+        self.words = np.array([len(x) for x in self.sequences])
+        # a bit per occurrence-labelled word, eight times as many bits as words
+        bits = 1 << min(15, max(9, int(8 * self.words.max() - 1).bit_length()))
+        self.marks = np.zeros((len(order), bits // 64), np.uint64)
+        for i, x in enumerate(self.sequences):
+            at = labelled(x) >> np.uint64(64 - bits.bit_length() + 1)
+            np.bitwise_or.at(self.marks[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        #: words that share their bit with another word of the same document
+        self.hidden = self.words - np.bitwise_count(self.marks).sum(1, dtype=np.int64)
+
+    def could_link(self, i: int, threshold: float) -> np.ndarray:
+        """Later (longer or equal) documents that may have enough words in common
+        with the ``i``-th.  Words in common set a bit in both, but for at most the
+        hidden ones of either side, so no link is missed."""
+        end = np.searchsorted(self.words, self.words[i] / threshold + 1e-6, "right")
+        some = slice(i + 1, end)
+        both = np.bitwise_count(self.marks[some] & self.marks[i]).sum(1, dtype=np.int64)
+        common = both + np.minimum(self.hidden[some], self.hidden[i])
+        return i + 1 + np.flatnonzero(common >= threshold * self.words[some] - 1e-9)
+
+
+def links_within(sequences: list[np.ndarray], labels: list[int], may_meet, threshold: float) -> list[tuple[int, int]]:
+    """Links (places) that join documents of different labels, as few as connect
+    what is connected: a pair whose labels are joined already is not aligned.
+    ``may_meet(place, places)`` says which pairs are to be looked at here."""
+    block = Block(sequences)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    out, lists = [], [x.tolist() for x in block.sequences]
+    for i in range(len(lists)):
+        near = block.could_link(i, threshold)
+        near = near[may_meet(block.order[i], block.order[near])]
+        for j in near.tolist():
+            x, y = find(labels[block.order[i]]), find(labels[block.order[j]])
+            if x != y and alignment(lists[i], lists[j], threshold):
+                root[max(x, y)] = min(x, y)
+                out.append((int(block.order[i]), int(block.order[j])))
+    return out
 
-    def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+
+def _block_links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links between the labels of every sketch value of ``rows`` (key, sketch,
+    keys, doc_id, label, n_words): in pairs of blocks, each within a task."""
+    word = WORD
+
+    def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
+        import xxhash
+
+        find, known = re.compile(word).findall, {}
         for frame in frames:
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            if not len(frame):
-                continue
-            new = np.zeros(len(frame), bool)
-            for c in ("key", "bi", "bj"):
-                x = frame[c].to_numpy()
-                new[1:] |= x[1:] != x[:-1]
-            last = np.flatnonzero(new)[-1] if new.any() else 0  # the last group may go on
-            if last:
-                yield work(frame.iloc[:last], np.cumsum(new[:last]))
-            rest = frame.iloc[last:].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield work(rest, np.zeros(len(rest), np.int64))
-
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).withColumn("c", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = (rows.join(sizes, "key")
-             .withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("c")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+            words = [_hashes(find(t.lower()), known, xxhash.xxh3_64_intdigest).tobytes() for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "words": words})
+
+    def work(frame: pd.DataFrame) -> list[tuple[int, int]]:
+        keys = np.array(frame["keys"].tolist(), np.int64)
+        sketch, side = frame["sketch"].iat[0], frame["side"].to_numpy()
+        own = frame["bi"].iat[0] == frame["bj"].iat[0]
+
+        def may_meet(i: int, others: np.ndarray) -> np.ndarray:
+            # a pair belongs to the first sketch it agrees on, and within that to the blocks of its two sides
+            return ((keys[others] == keys[i]).argmax(1) == sketch) & (own | (side[others] != side[i]))
+
+        sequences = [np.frombuffer(w, np.uint64) for w in frame["words"]]
+        docs = frame["doc_id"].to_numpy()
+        found = links_within(sequences, frame["label"].tolist(), may_meet, threshold)
+        return [(min(docs[i], docs[j]), max(docs[i], docs[j])) for i, j in found]
+
+    def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, group in _groups(frames, ["key", "bi", "bj"]):
+            found = [link for _, one in frame.groupby(group, sort=False) if one["label"].nunique() > 1 for link in work(one)]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64).drop_duplicates()
+
+    words = saved(_texts_of(texts, rows.select("doc_id")).select("doc_id", "text").mapInPandas(
+        hashed, "doc_id long, words binary"), "words")
+    dealt = (_dealt(rows).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
              .select("key", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side",
-                     "doc_id", "label", "n_words", "signature"))
+                     "sketch", "keys", "doc_id", "label").join(words, "doc_id"))
     return (dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "doc_id")
             .mapInPandas(blocks, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (smallest id with the same words
-    in the same order, letter case aside), n_links (links found of that class
-    to other classes), group_id (smallest id that links reach), kept (doc_id =
-    group_id).
+    in the same order, letter case aside), group_id (smallest id that links
+    reach), kept (doc_id = group_id).
 
     Documents are linked when an alignment covers ``threshold`` or more of the
     longer one's words.  Null and empty texts, and texts of white space only,
@@ -273,39 +381,42 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
                                       [F.min("doc_id").alias("_m")], [F.min("_m").alias("class_id")])
                     .select("doc_id", "class_id").distinct(), "classes")
     heads = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    rows = marked.join(heads, "doc_id", "left_semi").filter("n_words > 0")
-    each = rows.select(F.explode("keys").alias("key"), "doc_id")
+    rows = marked.join(heads, "doc_id", "left_semi").filter("n_words > 0").dropDuplicates(["doc_id", "cls"])
+    each = rows.select(F.posexplode("keys").alias("sketch", "key"), "doc_id")
     shared = each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     where = each.join(shared, "key", "left_semi")
-    bucketed = saved(where.join(rows.select("doc_id", "n_words", "signature"), "doc_id").distinct(), "buckets")
+    bucketed = saved(where.join(rows.select("doc_id", "n_words", "signature", "keys"), "doc_id"), "buckets")
+
+    # an id on several texts joins their classes
+    least = classes.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("_most"))
+    joined = classes.join(least.filter("a < _most"), "doc_id").filter("class_id > a").select("a", F.col("class_id").alias("b"))
 
-    texts = known
     # rounds of most similar partners, then every pair that is still in different components
     unsettled = bucketed.withColumn("label", F.col("doc_id"))
     tried = links = None
-    for best_only in [True] * ROUNDS + [False]:
-        pairs = _passing(unsettled, best_only, threshold)
-        pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
-        more = _aligned(pairs, texts, threshold)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = saved((more if links is None else links.unionByName(more)).distinct(), "links")
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            pairs = _best_partners(unsettled, threshold)
+            pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
+            more = _aligned(pairs, known, threshold)
+            tried = pairs if tried is None else tried.unionByName(pairs)
+        else:
+            more = _block_links(unsettled, known, threshold)
+        links = saved((joined if links is None else links).unionByName(more).distinct(), "links")
         found = saved(components(links), "components")
-        if best_only:
+        if turn < ROUNDS:
             # sketch values whose members are not yet in one component
-            labelled_rows = bucketed.join(found, bucketed["doc_id"] == found["id"], "left").select(
-                "key", "doc_id", "n_words", "signature", F.coalesce("component_id", "doc_id").alias("label"))
+            labelled_rows = bucketed.join(found, bucketed["doc_id"] == found["id"], "left").withColumn(
+                "label", F.coalesce("component_id", "doc_id")).drop("id", "component_id")
             mixed = labelled_rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(
                 "lo <> hi").select("key")
             unsettled = saved(labelled_rows.join(mixed, "key", "left_semi"), "unsettled")
-    degree = (links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id")
-              .agg(F.count("*").alias("n_links")))
-    per_class = found.withColumnRenamed("id", "class_id").join(degree, "class_id", "left")
-    out = classes.join(per_class, "class_id", "left")
+    own = least.select("doc_id", F.col("a").alias("class_id"))
+    out = own.join(found.withColumnRenamed("id", "class_id"), "class_id", "left")
     group = F.coalesce("component_id", "class_id")
-    lone = src.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
+    lone = src.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"),
                                                F.lit(None).cast("long").alias("group_id"), F.lit(True).alias("kept"))
-    return out.select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      group.alias("group_id"), (F.col("doc_id") == group).alias("kept")).unionByName(lone)
+    return out.select("doc_id", "class_id", group.alias("group_id"), (F.col("doc_id") == group).alias("kept")).unionByName(lone)
 
 
 def kept_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -480,6 +480,52 @@ def test_near_duplicates(spark, corpus, monkeypatch, block):
     assert {r.doc_id for r in kept.collect()} == {d for d, g in want.items() if d == g} | {None}
 
 
+def test_links_within_a_block_lose_none():
+    """Components by the block's links are those of all pairs; no pair that aligns is filtered out."""
+    rng = random.Random(21)
+    base = [[rng.randrange(40) for _ in range(n)] for n in (3, 12, 30, 200, 900)]
+    texts = [[w if rng.random() > 0.08 else rng.randrange(400) for w in rng.choice(base)] for _ in range(70)]
+    sequences = [minhash._mix(np.array(t, np.uint64)) for t in texts]
+    block = minhash.Block(sequences)
+    for i in range(len(texts)):
+        near = {int(block.order[j]) for j in block.could_link(i, 0.8)}
+        for j in block.order[i + 1:]:
+            if minhash.alignment(texts[block.order[i]], texts[j], 0.8):
+                assert int(j) in near
+    labels = [rng.randrange(60) for _ in texts]
+    links = minhash.links_within(sequences, labels, lambda i, others: np.ones(len(others), bool), 0.8)
+
+    def components(pairs):
+        root = list(range(len(texts)))
+        for _ in texts:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    same = [(a, b) for a in range(len(texts)) for b in range(a) if labels[a] == labels[b]]
+    every = [(a, b) for a in range(len(texts)) for b in range(a) if minhash.alignment(texts[a], texts[b], 0.8)]
+    assert components(links + same) == components(every + same) and len(links) < len(texts)
+
+
+def test_near_duplicates_of_repeated_rows_and_of_one_id_on_many_texts(spark):
+    """Thousands of equal rows are one; an id on two texts joins their groups."""
+    rng = random.Random(22)
+    one, other = prose(rng, 60), prose(rng, 60)
+    near = " ".join(["new", *one.split()[1:]])
+    rows = [(7, one)] * 3000 + [(8, near), (9, other), (10, near), (10, other), (11, prose(rng, 30))]
+    got = {r.doc_id: r.group_id for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {7: 7, 8: 7, 9: 7, 10: 7, 11: 11}
+
+
+def test_near_duplicates_of_long_texts(spark):
+    rng = random.Random(23)
+    words = prose(rng, 40_000, 30_000).split()
+    edited = [w if i % 40 else "edited" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[:20_000])), (4, " ".join(words[::-1]))]
+    got = {r.doc_id: r.group_id for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_near_duplicates_empty(spark):
     assert minhash.near_duplicates(documents(spark, EMPTY)).count() == 0
     got = minhash.near_duplicates(documents(spark, [(1, None), (2, ""), (3, "a"), (4, "A")]))
