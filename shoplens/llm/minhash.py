@@ -174,8 +174,10 @@ def alignment(a: list, b: list, least: float) -> float:
 
 
 def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Each text of the documents ``ids`` (doc_id) once, however often its row is repeated."""
-    return texts.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    """Each text of the documents ``ids`` (doc_id) once, however often its row
+    is repeated.  The ids are written first, so that their true size decides how they meet the texts."""
+    some = saved(ids.distinct(), "text-ids")
+    return texts.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def _aligned(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -193,9 +195,8 @@ def _aligned(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 keep.append(alignment(words, find(y.lower()), threshold) > 0)
             yield frame.loc[keep, ["a", "b"]]
 
-    src = saved(_texts_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))), "pair-texts")
-    left = src.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    right = src.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInPandas(align, "a long, b long")
 
 
@@ -353,7 +354,7 @@ def _block_links(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFra
             found = [link for _, one in frame.groupby(group, sort=False) if one["label"].nunique() > 1 for link in work(one)]
             yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64).drop_duplicates()
 
-    words = saved(_texts_of(texts, rows.select("doc_id")).select("doc_id", "text").mapInPandas(
+    words = saved(_texts_of(texts, rows.select("doc_id")).mapInPandas(
         hashed, "doc_id long, words binary"), "words")
     dealt = (_dealt(rows).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
              .select("key", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side",
@@ -387,6 +388,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     where = each.join(shared, "key", "left_semi")
     bucketed = saved(where.join(rows.select("doc_id", "n_words", "signature", "keys"), "doc_id"), "buckets")
 
+    texts = saved(_texts_of(known, bucketed.select("doc_id")), "texts")  # of all documents that share a sketch value
+
     # an id on several texts joins their classes
     least = classes.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("_most"))
     joined = classes.join(least.filter("a < _most"), "doc_id").filter("class_id > a").select("a", F.col("class_id").alias("b"))
@@ -398,10 +401,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
         if turn < ROUNDS:
             pairs = _best_partners(unsettled, threshold)
             pairs = saved(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
-            more = _aligned(pairs, known, threshold)
+            more = _aligned(pairs, texts, threshold)
             tried = pairs if tried is None else tried.unionByName(pairs)
         else:
-            more = _block_links(unsettled, known, threshold)
+            more = _block_links(unsettled, texts, threshold)
         links = saved((joined if links is None else links).unionByName(more).distinct(), "links")
         found = saved(components(links), "components")
         if turn < ROUNDS:
