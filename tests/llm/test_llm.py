@@ -161,6 +161,39 @@ def test_shards(spark, corpus, n_shards):
     assert by_text[zlib.crc32(b"hot text")] <= -(-60 // quota) + 3
 
 
+@pytest.mark.parametrize("copies", [2, 5])
+def test_shards_where_every_text_has_copies(spark, copies):
+    """10,000 groups of equal rows: under 1 % are split, and counts are one apart at most."""
+    rows = [(i, f"text {i // copies}") for i in range(10_000 * copies)]
+    got = sharding.shards(documents(spark, rows)).toPandas()
+    sizes = got.groupby("shard").size()
+    assert len(sizes) == 24 and sizes.max() - sizes.min() <= 1
+    assert got.groupby("shard")["slot"].agg(lambda s: sorted(s) == list(range(len(s)))).all()
+    assert (got.groupby("text_crc32")["shard"].nunique() > 1).sum() < 100
+
+
+def test_shards_cut_a_large_text_into_as_few_shards_as_it_needs(spark):
+    """A third of all rows have one text, the others come in threes."""
+    rows = [(i, "hot") for i in range(3000)] + [(10_000 + i, f"t {i // 3}") for i in range(6000)]
+    got = sharding.shards(documents(spark, rows)).toPandas()
+    assert got.groupby("shard").size().eq(375).all()
+    by_text = got.groupby("text_crc32")["shard"].nunique()
+    assert by_text[zlib.crc32(b"hot")] <= 8 + 4
+    assert (by_text > 1).sum() - 1 <= 60
+
+
+def test_shard_quotas_swap_and_fill():
+    rng = random.Random(31)
+    for _ in range(200):
+        asked = {(s, t): rng.randrange(1, 50) for s in range(5) for t in range(5) if s != t and rng.random() < 0.6}
+        free = {t: rng.randrange(-20, 40) for t in range(5)}
+        got = sharding._quotas(asked, free)
+        for t in range(5):
+            net = sum(n for (_, to), n in got.items() if to == t) - sum(n for (s, _), n in got.items() if s == t)
+            assert net <= max(0, free[t])
+        assert all(min(n, asked.get((t, s), 0)) <= got[s, t] <= n for (s, t), n in asked.items())
+
+
 def test_shards_small(spark):
     assert sharding.shards(documents(spark, EMPTY)).count() == 0
     got = sharding.shards(documents(spark, [(1, "a"), (2, None), (2, None)])).toPandas()
