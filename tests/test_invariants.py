@@ -108,7 +108,7 @@ def test_hot_month_is_several_files(spark, tmp_dir, make_shop):
             "id", "1 as job_id", "md5(cast(id as string)) as name", "1 as rate", "1.0 as hours", "1 as complete",
             "1 as technician_id", "1 as repair_order_id", "date'2020-01-01' as completed_day",
             "date'2020-01-05' as posted_day", "date'2020-01-01' as created_day")
-        shop.write(os.path.join(tmp_dir, "hot"))
+        shop.write(os.path.join(tmp_dir, "hot"), month_rows=1)
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
     files = glob.glob(os.path.join(tmp_dir, "hot/labor_lines/posted_month=202001/*.parquet"))
