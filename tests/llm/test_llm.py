@@ -296,6 +296,31 @@ def test_embeddings(spark, monkeypatch, block):
     assert got == sorted(brute.vectors(rows), key=str)
 
 
+@pytest.mark.parametrize("codewords", [16, 23, 32, 64])
+def test_caps_find_pairs_at_every_code_size(codewords):
+    """Random pairs just above the threshold share a filter, however fine the code."""
+    rng = np.random.default_rng(codewords)
+    for dim in (32, 64):
+        caps = embedding.Caps(dim, codewords)
+        a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.standard_normal((2, 400, dim)))
+        b -= (a * b).sum(1, keepdims=True) * a
+        b = 0.9301 * a + np.sqrt(1 - 0.9301 ** 2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        assert np.mean([len(np.intersect1d(x, y)) > 0 for x, y in zip(caps.passed(a), caps.passed(b))]) >= 0.99
+
+
+def test_block_counts_a_link_in_its_smallest_filter_only(monkeypatch):
+    """In chunks of few filters as in one go: a pair counts where no smaller filter is common."""
+    monkeypatch.setattr(embedding, "NAMES", 5)
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal((3, 16))
+    unit = embedding._unit(centre[rng.integers(0, 3, 40)] + 0.1 * rng.standard_normal((40, 16)))
+    filters = [np.unique(np.append(rng.integers(0, 300, 12), 200)) for _ in range(40)]
+    links, _ = embedding._block_links(unit, filters, np.ones(40), np.zeros(40, int), 200, 0.93)
+    want = [sum(i != j and unit[i] @ unit[j] >= 0.93 and min(set(filters[i]) & set(filters[j])) == 200 for j in range(40))
+            for i in range(40)]
+    assert links.tolist() == want and 0 < sum(want)
+
+
 def test_embeddings_empty(spark):
     assert embedding.near_duplicates(vectors_frame(spark, [])).count() == 0
     got = embedding.near_duplicates(vectors_frame(spark, [(1, None, 1), (2, [1.0, 2.0], 0)]))
