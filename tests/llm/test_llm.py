@@ -436,6 +436,51 @@ def test_bin_completion():
         assert sorted(fill) == list(range(len(fill)))
 
 
+def fewest_bins(pieces, limit):
+    """The optimum, over all subsets: (sequences, tokens in the last one)."""
+    best = [(len(pieces) + 1, 0)] * (1 << len(pieces))
+    best[0] = (0, limit)
+    for some in range(1, 1 << len(pieces)):
+        for i, x in enumerate(pieces):
+            if some >> i & 1:
+                bins, last = best[some ^ (1 << i)]
+                best[some] = min(best[some], (bins, last + x) if last + x <= limit else (bins + 1, x))
+    return best[-1][0]
+
+
+def test_bin_completion_is_optimal_on_small_sets():
+    rng = random.Random(3)
+    sets = [([20, 24, 26, 29, 38, 40, 42, 50, 51, 52, 52, 60], 100)]
+    for j in range(120):
+        limit = rng.choice([30, 64, 100])
+        sets.append(([rng.randint(1 if j % 2 else limit // 5, limit * 2 // 3) for _ in range(rng.randint(1, 11))], limit))
+    for pieces, limit in sets:
+        filled = packing.fill_bins(dict(Counter(pieces)), limit)
+        assert Counter(x for f, n in filled for x in f * n) == Counter(pieces)
+        assert max(sum(f) for f, _ in filled) <= limit
+        least = fewest_bins(pieces, limit)
+        assert sum(n for _, n in filled) == least >= packing.least_bins(dict(Counter(pieces)), limit)
+    assert packing.fill_bins({}, 10) == [] and packing.fill_bins({10: 3}, 10) == [((10,), 3)]
+
+
+def test_word_encoder_is_the_tokenizer():
+    rng = random.Random(9)
+    path = queries.tokenizer_path()
+    fast, plain = packing.Encoder(path, most_words=2000), packing.Encoder(path)
+    assert fast.ranks is not None
+    plain.ranks = None
+    letters = "abcdefghijklmnopqrstuvwxyzaaaeeeiii\u00e9\u00fc\u00f1\u00dfQZ09.,-'!"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(60)) for _ in range(120)]
+    texts += ["", " \n ", "'s 'S it's a'lls ''re", "..,, 12,5 !?! a_b", "\x00 a \x00b", "<|endoftext|> x"]
+    want = [np.array(fast.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for encoder in (fast, plain):
+        assert [x for i in range(0, len(texts), 16) for x in encoder.encode(texts[i:i + 16])] == want
+    # a table in which a token's own merges do not lead to it is refused
+    first = {bytes([b, 0]): b for b in range(256)}
+    assert packing._own_merges_lead_to([(b"a", b"b"), (b"ab", b"c"), (b"c", b"c\0")], first)
+    assert not packing._own_merges_lead_to([(b"a", b"b"), (b"b", b"c"), (b"a", b"bc")], first)
+
+
 # ------------------------------------------------------------------ 9
 def test_licences(spark):
     s = licences.SENTENCES
