@@ -73,6 +73,33 @@ SENTENCES = {
     "bsd_asis": "this software is provided by the copyright holders and contributors as is",
     "mpl_notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "reserved": "all rights reserved",
+    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is "
+                 "hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc_asis": "the software is provided as is and the author disclaims all warranties with regard to this software "
+                "including all implied warranties of merchantability and fitness",
+    "zero_bsd_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee "
+                      "is hereby granted",
+    "unlicense_free": "this is free and unencumbered software released into the public domain",
+    "unlicense_any": "anyone is free to copy modify publish use compile sell or distribute this software either in source "
+                     "code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "zlib_asis": "this software is provided as is without any express or implied warranty",
+    "zlib_grant": "permission is granted to anyone to use this software for any purpose including commercial applications "
+                  "and to alter it and redistribute it freely subject to the following restrictions",
+    "bsl_notice": "distributed under the boost software license version 1 0",
+    "lib_free": "this library is free software",
+    "lgpl_terms_21": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as "
+                     "published by the free software foundation either version 2 1 of the license or at your option any "
+                     "later version",
+    "lgpl_terms_3": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as "
+                    "published by the free software foundation either version 3 of the license or at your option any "
+                    "later version",
+    "agpl_terms_3": "you can redistribute it and or modify it under the terms of the gnu affero general public license as "
+                    "published by the free software foundation either version 3 of the license or at your option any "
+                    "later version",
+    "epl_notice": "this program and the accompanying materials are made available under the terms of the eclipse public "
+                  "license 2 0 which is available at",
+    "artistic_terms": "this license establishes the terms under which a given free software package may be copied modified "
+                      "distributed and or redistributed",
 }
 #: The full sentence of the BSD licences, by who provides the software.
 BSD_ASIS = {
@@ -99,6 +126,11 @@ RULES = [
     ("CC-BY-NC-4.0", ["cc_by_nc_3"]), ("CC-BY-4.0", ["cc_by_3"]), ("CC-BY-SA-4.0", ["cc_by_sa_3"]),
     ("CC0-1.0", ["cc0_2"]), ("CC0-1.0", ["cc0_3"]),
     *[("BSD", ["bsd_permit", asis]) for asis in ("bsd_asis", *BSD_ASIS)], ("MPL-2.0", ["mpl_notice"]),
+    ("ISC", ["isc_grant", "isc_asis"]), ("0BSD", ["zero_bsd_grant", "isc_asis"]),
+    ("Unlicense", ["unlicense_free", "unlicense_any"]), ("Zlib", ["zlib_asis", "zlib_grant"]), ("BSL-1.0", ["bsl_notice"]),
+    *[(f"LGPL-{v}-or-later", [free, terms]) for v, terms in (("2.1", "lgpl_terms_21"), ("3.0", "lgpl_terms_3"))
+      for free in ("lib_free", "gpl_free")],
+    ("AGPL-3.0-or-later", ["gpl_free", "agpl_terms_3"]), ("EPL-2.0", ["epl_notice"]), ("Artistic-2.0", ["artistic_terms"]),
 ]
 
 
@@ -106,19 +138,32 @@ def follows(places: dict[str, list[int]], rule: list[str]) -> bool:
     """Whether the rule's sentences occur in order, each at most ``GAP`` others after the last."""
     ends = places.get(rule[0], [])
     for sentence in rule[1:]:
-        ends = [p for p in places.get(sentence, []) if any(0 < p - e <= GAP + 1 for e in ends)]
+        at, reached = 0, []
+        for p in places.get(sentence, []):  # both ascend; the last end before p is the nearest
+            while at < len(ends) and ends[at] < p:
+                at += 1
+            if at and p - ends[at - 1] <= GAP + 1:
+                reached.append(p)
+        ends = reached
     return bool(ends)
 
 
 def finder(split: str, soft: str, known: dict[str, str]):
     """A function from a text to its number of sentences and the known ones
     among them as (number, identifier), in text order.  Of known sentences that
-    overlap, the first counts, of those that begin together the longest."""
+    overlap, the first counts, of those that begin together the longest.
+
+    Known sentences are kept by their first characters; each boundary of the
+    text looks up what follows it, so the text is gone through once."""
     import re
 
     ends, softs = re.compile(split).sub, re.compile(soft).sub
     between, join = re.compile("[^a-z0-9\x01\x02]+").sub, re.compile("[ \x01\x02]*[\x01\x02][ \x01\x02]*").sub
-    words = str.maketrans("\x01\x02", "  ")
+    words, boundaries = str.maketrans("\x01\x02", "  "), re.compile("[\x01\x02]").finditer
+    width = min(map(len, known.values()))
+    by_start: dict[str, list[tuple[str, str]]] = {}
+    for name, sentence in known.items():
+        by_start.setdefault(sentence[:width], []).append((f" {sentence} ", name))
 
     def pieces(part: str) -> int:
         return sum(1 for x in part.split("\x02") if x.strip(" \x01"))
@@ -129,13 +174,12 @@ def finder(split: str, soft: str, known: dict[str, str]):
         text = between(" ", softs("\x01", ends("\x02", text)))
         text = "\x02" + join(lambda m: "\x02" if "\x02" in m[0] else "\x01", text).strip(" \x01\x02") + "\x02"
         flat, places = text.translate(words), []
-        for name, sentence in known.items():
-            at = flat.find(f" {sentence} ")
-            while at >= 0:
-                end = at + len(sentence) + 1
-                if text[at] != " " and text[end] != " ":
+        for boundary in boundaries(text):
+            at = boundary.start()
+            for sentence, name in by_start.get(flat[at + 1:at + 1 + width], ()):
+                end = at + len(sentence) - 1
+                if flat.startswith(sentence, at) and text[end] != " ":
                     places.append((at, -end, name))
-                at = flat.find(f" {sentence} ", at + 1)
         n, done, found = 0, 0, []
         for at, end, name in sorted(places):
             if at >= done:

@@ -539,6 +539,81 @@ and related or neighboring rights to this work.""", 1),
 ]
 
 
+MORE_LICENCES = {
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
+held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it
+and redistribute it freely, subject to the following restrictions:""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the
+GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at
+your option) any later version.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the
+GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+your option) any later version.""",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)",
+}
+
+
+def known_by_search(text, known):
+    """All spans between stops compared with all known sentences, in a text of words, stops and spaces only."""
+    parts = [x for x in (" ".join(x.split()) for x in text.split(".")) if x]
+    names, found, i, n = {k: name for name, k in known.items()}, [], 0, 0
+    while i < len(parts):
+        spans = [j for j in range(i + 1, len(parts) + 1) if " ".join(parts[i:j]) in names]
+        if spans:
+            found.append((n, names[" ".join(parts[i:spans[-1]])]))
+        i, n = spans[-1] if spans else i + 1, n + 1
+    return n, found
+
+
+def test_licence_rules_against_brute_force():
+    split = licences.finder(licences.SPLIT, licences.SOFT, licences.SENTENCES)
+    for name, text in MORE_LICENCES.items():
+        places: dict = {}
+        for at, sentence in split(text)[1]:
+            places.setdefault(sentence, []).append(at)
+        assert {n for n, rule in licences.RULES if licences.follows(places, rule)} == {name}
+    rng = random.Random(4)
+    known = {"a": "one two", "b": "two three four", "c": "one two three"}
+    find = licences.finder(licences.SPLIT, licences.SOFT, known)
+    for _ in range(300):
+        text = "".join(rng.choice(["one ", "two ", "three ", "four ", ". "]) for _ in range(rng.randint(0, 40)))
+        assert find(text) == known_by_search(text, known)
+    for _ in range(300):
+        places = {x: sorted(rng.sample(range(60), rng.randint(0, 8))) for x in "abc"}
+        rule = [rng.choice("abc") for _ in range(rng.randint(1, 3))]
+        ends = places[rule[0]]
+        for x in rule[1:]:
+            ends = [p for p in places[x] if any(0 < p - e <= licences.GAP + 1 for e in ends)]
+        assert licences.follows(places, rule) == bool(ends)
+
+
+def test_licences_in_a_long_text_of_repeated_notices():
+    import time
+
+    s = licences.SENTENCES
+    text = f"{s['mit_grant_2']}. {s['mit_keep']}. " * 12_000  # 8 MB, no rule is complete
+    at = time.process_time()
+    n, found = licences.finder(licences.SPLIT, licences.SOFT, s)(text)
+    places: dict = {}
+    for k, name in found:
+        places.setdefault(name, []).append(k)
+    assert n == len(found) == 24_000
+    assert not any(licences.follows(places, rule) for _, rule in licences.RULES)
+    assert time.process_time() - at < 10
+
+
 def test_licences_verbatim_and_wrapped(spark):
     import textwrap
 
