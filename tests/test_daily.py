@@ -102,3 +102,13 @@ def test_bitmaps_of_far_and_negative_ids(make_shop):
     twice = daily.category_order_bitmaps(shop).unionByName(
         daily.category_order_bitmaps(shop).withColumn("day", F.lit(dt.date(2020, 1, 20))))
     assert {r.key: r.n for r in daily.distinct_in(twice, p).collect()} == {"a": 5, "b": 5}
+
+
+def test_bitmaps_of_scattered_ids_stay_small(make_shop):
+    """Ids far apart take 8 bytes each, not a stretch of thousands of unused bits, in rows and in the aggregates."""
+    orders = [order(i * 10 ** 6, posted=f"2020-01-{1 + i % 28:02d}") for i in range(40)]
+    jobs = [dict(id=i, repair_order_id=i * 10 ** 6, authorized=1, archived=0, job_category_name="a") for i in range(40)]
+    maps = daily.category_order_bitmaps(make_shop(orders=orders, jobs=jobs))
+    assert maps.count() == 40 and dict(maps.dtypes)["bitmap"] == "bigint"
+    plan = daily.distinct_in(maps, Period(dt.date(2020, 1, 1), dt.date(2020, 1, 31)))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
