@@ -40,21 +40,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Landed:
-    """Silver tables plus the landed JSON documents rendered from them."""
+    """Silver tables plus the landed JSON documents rendered from them, each kind when first read."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.shop = load_shop(spark, sf_dir)
-        self._root = None
-
-    @property
-    def root(self) -> str:
-        if self._root is None:
-            self._root = land_documents(self.spark, self.sf_dir)
-        return self._root
 
     def read(self, name: str, schema) -> DataFrame:
-        return landed.read_json(self.spark, f"{self.root}/{name}", schema)
+        return landed.read_json(self.spark, f"{land_documents(self.spark, self.sf_dir, (name,))}/{name}", schema)
 
     def order_pages(self) -> DataFrame:
         return self.read("order_pages", S.ORDER_PAGE)

@@ -10,10 +10,10 @@ others.  Rows are dealt to files by Spark's rebalance step: a month, job or
 order that holds a third of all rows becomes several files, and small months
 share a task.
 
-``materialize`` writes the tables once under the cluster's shared
-``spark.checkpoint.dir`` (cutting the derivation's lineage, so a lost executor
-re-reads files instead of recomputing the derivation): to a private folder
-first, published by renaming it.
+``load_shop`` derives a table of a test-data folder when a report first asks for
+it, and writes it once under the cluster's shared ``spark.checkpoint.dir``
+(cutting the derivation's lineage, so a lost executor re-reads files instead of
+recomputing the derivation): to a private folder first, published by renaming it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import uuid
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +42,7 @@ MONTH_ROWS = 500_000
 
 # Adapter version: bump when the derivation or the layout changes so stale
 # copies are ignored.
-DERIVATION_VERSION = "8"
+DERIVATION_VERSION = "9"
 
 
 def _with_days(child: DataFrame, fk: str, parent: DataFrame, *more: str) -> DataFrame:
@@ -91,9 +91,7 @@ class Shop:
 
     def write(self, root: str, mode: str = "overwrite", month_rows: int = MONTH_ROWS) -> None:
         """Write the five tables under ``root``, side by side."""
-        months = self.repair_orders.agg(F.count("*").alias("n"), F.count_distinct(X.month_number("posted_day")).alias("m")).first()
-        unit, value = ((MONTH, X.month_number("posted_day")) if months["n"] >= month_rows * max(1, months["m"])
-                       else (YEAR, F.year("posted_day")))
+        unit, value = partition_unit(self.repair_orders, month_rows)
         stamped = "synced_at" in self.repair_orders.columns
 
         def write(n: str) -> None:
@@ -113,6 +111,13 @@ class Shop:
             touch(self.repair_orders.sparkSession, f"{root}/{STAMPED}")
 
 
+def partition_unit(orders: DataFrame, month_rows: int = MONTH_ROWS) -> tuple[str, Column]:
+    """The partition column of the large tables and its value from ``posted_day``."""
+    months = orders.agg(F.count("*").alias("n"), F.count_distinct(X.month_number("posted_day")).alias("m")).first()
+    return ((MONTH, X.month_number("posted_day")) if months["n"] >= month_rows * max(1, months["m"])
+            else (YEAR, F.year("posted_day")))
+
+
 #: Marker of tables that carry their ingest time.
 STAMPED = "_synced"
 
@@ -134,7 +139,7 @@ def silver_schema(name: str, stamped: bool = False) -> T.StructType:
 def footers(shop: Shop) -> dict[str, DataFrame]:
     """The stored tables through the Parquet source that pushes counts into the
     scan and answers them from the file footers."""
-    spark = shop.repair_orders.sparkSession
+    spark = [getattr(shop, n) for n in TABLE_NAMES][0].sparkSession  # all of them are written
     spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
     key = "spark.sql.sources.useV1SourceList"
     v1 = spark.conf.get(key)
@@ -171,56 +176,98 @@ def silver_root(spark: SparkSession, sf_dir: str) -> str:
 _BUILD_LOCK = threading.RLock()
 
 
-def materialize(spark: SparkSession, sf_dir: str, root: str | None = None) -> str:
-    """Derive the silver tables from ``sf_dir`` once and publish them in the
-    shared folder; later calls (any session on the cluster) reuse them.
+def _publish(spark: SparkSession, path: str, write) -> None:
+    """``write`` to a private folder, then one rename, unless ``path`` is there."""
+    if not path_exists(spark, path):
+        private = f"{path}.{uuid.uuid4().hex}"
+        write(private)
+        rename_folder(spark, private, path)
+
+
+def materialize(spark: SparkSession, sf_dir: str, root: str | None = None, names=TABLE_NAMES) -> str:
+    """Derive silver tables from ``sf_dir`` once and publish them in the
+    shared folder; later calls (any session on the cluster) reuse them.  Only the
+    test tables that ``names`` come from are read.
     An explicit ``root`` builds a copy there (used to time a fresh build)."""
     from shoplens.sources import adapter
 
     root = root or silver_root(spark, sf_dir)
     with _BUILD_LOCK:
-        if not path_exists(spark, root):
-            private = f"{root}.{uuid.uuid4().hex}"
-            Shop.of(adapter.derive(spark, sf_dir)).write(private)
-            rename_folder(spark, private, root)
+        missing = [n for n in names if not path_exists(spark, f"{root}/{n}")]
+        if not missing:
+            return root
+        t = adapter.read_tables(spark, sf_dir)
+        unit, value = (None, None) if missing == ["employees"] else partition_unit(adapter.order_days(t["orders"]))
+        lines = f"{root}/{adapter.LINES}"
+        if any(n in adapter.FROM_LINES for n in missing):
+            _publish(spark, lines, lambda p: adapter.write_lines(t, p, unit, value))
+
+        def build(n: str) -> None:
+            if n == "employees":
+                _publish(spark, f"{root}/{n}", lambda p: adapter.employees(t["supplier"]).write.parquet(p))
+            elif n == "repair_orders":
+                _publish(spark, f"{root}/{n}", lambda p: adapter.write_orders(t["orders"], p, unit, value))
+            else:
+                _publish(spark, f"{root}/{n}", lambda p: adapter.write_from_lines(
+                    spark, n, lines, p, unit, silver_schema(n).names))
+
+        # the jobs of several tables share the cluster
+        with ThreadPool(len(missing)) as pool:
+            pool.map(build, missing)
     return root
 
 
 LANDED = {"orders": "order_pages", "employees": "employee_pages", "jobs": "job_documents"}
 
 
-def land_documents(spark: SparkSession, sf_dir: str) -> str:
+def land_documents(spark: SparkSession, sf_dir: str, kinds=tuple(LANDED.values())) -> str:
     """Render the silver tables of ``sf_dir`` as landed JSON documents
-    (order pages, employee pages, job documents) once, next to the silver
-    copy, and return their folder.  Ingest queries read these files with
-    the declared schemas, exactly like freshly landed data."""
+    (order pages, employee pages, job documents; of ``kinds``, compressed) once,
+    next to the silver copy, and return their folder.  Ingest queries read these
+    files with the declared schemas, exactly like freshly landed data."""
     from shoplens.sources import documents
 
-    root = materialize(spark, sf_dir) + ".landed"
+    root = silver_root(spark, sf_dir) + ".landed"
+    render = {"order_pages": documents.order_pages_text, "employee_pages": documents.employee_pages_text,
+              "job_documents": documents.job_documents_text}
     with _BUILD_LOCK:
-        if not path_exists(spark, root):
-            shop = load_shop(spark, sf_dir)
-            texts = {"order_pages": documents.order_pages_text(shop),
-                     "employee_pages": documents.employee_pages_text(shop),
-                     "job_documents": documents.job_documents_text(shop)}
-            private = f"{root}.{uuid.uuid4().hex}"
-            with ThreadPool(len(texts)) as pool:
-                pool.map(lambda t: t[1].write.mode("overwrite").text(f"{private}/{t[0]}"), texts.items())
-            rename_folder(spark, private, root)
+        shop = load_shop(spark, sf_dir)
+        for kind in kinds:
+            _publish(spark, f"{root}/{kind}", lambda p: render[kind](shop).write.text(p, compression="gzip"))
     return root
 
 
+class DerivedShop(Shop):
+    """The tables of a test-data folder, each derived and opened when first asked for."""
+
+    @classmethod
+    def open(cls, spark: SparkSession, sf_dir: str) -> "DerivedShop":
+        shop = cls.__new__(cls)
+        shop._source = (spark, sf_dir)
+        shop.root = silver_root(spark, sf_dir)
+        return shop
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLE_NAMES or "_source" not in self.__dict__:
+            raise AttributeError(name)
+        spark, sf_dir = self._source
+        root = materialize(spark, sf_dir, names=(name,))
+        table = spark.read.schema(silver_schema(name)).parquet(f"{root}/{name}")
+        setattr(self, name, table)
+        return table
+
+
 _OPENED: dict[str, tuple[SparkSession, Shop]] = {}
 
 
 def load_shop(spark: SparkSession, sf_dir: str) -> Shop:
-    """Silver tables for a test-data folder (materialized on first use).  The
+    """Silver tables for a test-data folder (each materialized on first use).  The
     opened DataFrames are remembered with their session, under a folder name
     that changes when the input does."""
     with _BUILD_LOCK:
-        root = materialize(spark, sf_dir)
+        root = silver_root(spark, sf_dir)
         owner, shop = _OPENED.get(root, (None, None))
         if owner is not spark:
-            shop = Shop.read(spark, root)
+            shop = DerivedShop.open(spark, sf_dir)
             _OPENED[root] = (spark, shop)
     return shop

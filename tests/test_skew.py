@@ -112,3 +112,30 @@ def test_adapter_raises_on_line_numbers_outside_the_job_key(spark):
                                     F.lit("x").alias("p_name"))
     with pytest.raises(Exception, match="job key"):
         adapter._lines(li, part).collect()
+
+
+def _line_rows(spark, rows):
+    return spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, "
+                                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                                 "l_linestatus string, l_shipdate timestamp_ntz").repartition(3)
+
+
+def test_hot_orders_are_numbered_by_range_as_others_by_order(spark):
+    """Hot orders take another way to the same rows, also where lines have no order or parts come twice."""
+    from shoplens.sources import adapter
+
+    rnd = random.Random(5)
+    rows = [(None if k % 50 == 0 else 3 if k % 2 else rnd.randrange(9), 1 + k % 3, rnd.randrange(12), rnd.randrange(5),
+             float(rnd.randrange(1, 9)), 10.0 + k, 0.0, 0.0, "N", "O", dt.datetime(2000, 1, 1)) for k in range(300)]
+    part = spark.range(0, 11).select(F.col("id").alias("p_partkey"), F.lit("STANDARD").alias("p_type"), F.lit("x").alias("p_name"))
+    part = part.unionByName(part.filter("p_partkey = 2"))
+    found = [adapter._lines(_line_rows(spark, rows), part, hot_lines=n) for n in (1000, 100)]
+    cols = [c for c in found[0].columns if c != "job_first"]
+    a, b = (sorted(map(repr, f.select(*cols, "job_first").collect())) for f in found)
+    assert a == b
+    nulls = sum(r[0] is None for r in rows)
+    assert min(r.line_id for r in found[0].collect()) >= nulls  # lines without an order come first
+    lines = found[0].toPandas()
+    jobs = {r.id: r for r in adapter.jobs(found[0]).collect()}
+    for j, g in lines.groupby("job_id"):
+        assert jobs[j].labor_hours == pytest.approx(g.l_quantity.sum() / 16.0) and (g.sk == jobs[j].technician_id).all() | (j % 6 == 0)

@@ -146,3 +146,25 @@ def test_each_landed_folder_is_read_once(spark, tmp_dir, monkeypatch):
     stats = run_full_sync(spark, land, f"{tmp_dir}/t", 0, AS_OF).stats.first()
     assert scans == {t: {f: int(f == own) for f in folders.values()} for t, own in folders.items()}
     assert stats.jobs_synced == _in_window(shop)[1].count()
+
+
+def test_queries_derive_only_what_they_read(spark, tmp_dir):
+    """Employees need neither lines nor orders, and order pages no job documents; landed text is compressed."""
+    import glob
+    import shutil
+
+    from shoplens.plans import registry
+    from shoplens.sources.silver import silver_root
+
+    sf = f"{tmp_dir}/sf"
+    shutil.copytree(SF, sf)
+    q = registry.queries()
+    root = silver_root(spark, sf).removeprefix("file:")
+    assert q["ingest_employees"](spark, sf).count() == spark.read.parquet(f"{sf}/supplier.parquet").count()
+    assert os.listdir(root) == ["employees"] and os.listdir(f"{root}.landed") == ["employee_pages"]
+    q["advisor_metrics"](spark, sf).collect()
+    assert sorted(os.listdir(root)) == ["employees", "repair_orders"]
+    q["new_jobs_anti"](spark, sf).collect()
+    assert sorted(os.listdir(root)) == ["employees", "jobs", "lines", "repair_orders"]
+    assert sorted(os.listdir(f"{root}.landed")) == ["employee_pages", "order_pages"]
+    assert glob.glob(f"{root}.landed/order_pages/*.txt.gz")
