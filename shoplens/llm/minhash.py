@@ -308,13 +308,17 @@ def links_within(sequences: list[np.ndarray], labels: list[int], may_meet, thres
             x = up
         return x
 
-    out, lists = [], [x.tolist() for x in block.sequences]
-    for i in range(len(lists)):
+    out = []
+    for i, words in enumerate(block.sequences):
         near = block.could_link(i, threshold)
         near = near[may_meet(block.order[i], block.order[near])]
+        own = None  # numbers as Python objects take four times their room: of two sequences at a time
         for j in near.tolist():
             x, y = find(labels[block.order[i]]), find(labels[block.order[j]])
-            if x != y and alignment(lists[i], lists[j], threshold):
+            if x == y:
+                continue
+            own = words.tolist() if own is None else own
+            if alignment(own, block.sequences[j].tolist(), threshold):
                 root[max(x, y)] = min(x, y)
                 out.append((int(block.order[i]), int(block.order[j])))
     return out
@@ -425,4 +429,5 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 def kept_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document of each group that stays, with all its columns."""
     gone = near_duplicates(docs, threshold, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(id_col))
+    gone = saved(gone, "gone")  # few ids, by their true size, meet the texts where these are
     return null_safe_semi(docs, gone, [id_col], "left_anti")

@@ -32,6 +32,8 @@ CELLS = 16
 PASSAGE = 128
 #: Follows each window, and ends either dictionary: the last bytes of an input are never matched.
 PAD = b"\n0123456789abcdefghijklmnopqrstuvwxyz0123456789\n"
+#: Words as they stand whose cells a task remembers.
+KNOWN_WORDS = 100_000
 _EDGES = ".,;:!?\"'()[]{}<>«»“”„-_*#|/\\"
 
 
@@ -73,11 +75,13 @@ class Windows:
 
     def of(self, text: str) -> np.ndarray:
         """The cells of the text's windows, in order."""
-        if len(self.cells) > 1_000_000:
-            self.cells.clear()
-            self.bare = {"": -1}
         known, raw = self.cells, text.lower().split()
-        for w in [w for w in set(raw) if w not in known]:
+        new = [w for w in set(raw) if w not in known]
+        if len(known) + len(new) > KNOWN_WORDS:
+            known.clear()
+            self.bare = {"": -1}
+            new = set(raw)
+        for w in new:
             known[w] = self._cell(w)
         found = np.array([known[w] for w in raw], np.int64)
         return found[found >= 0]
@@ -242,8 +246,7 @@ def clean_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
         windows = Windows(windows_of.toxic, windows_of.ordinary)
         for batch in frames:
-            texts = batch.column(names.index(text_col)).to_pylist()
-            ok = [windows_of.score(windows.of(t or "")) < 0.5 for t in texts]
+            ok = [windows_of.score(windows.of(t.as_py() or "")) < 0.5 for t in batch.column(names.index(text_col))]
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     return docs.mapInArrow(keep, schema)
