@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from shoplens.functions import exprs as X
 from shoplens.functions.params import Period, basis_column
-from shoplens.session import ensure_checkpoint_dir, path_exists, rename_folder, touch
+from shoplens.session import ensure_checkpoint_dir, path_exists, released_shuffles, rename_folder, touch
 from shoplens.sources import schemas as S
 from shoplens.sources.schemas import ORDER_DAY_COLUMNS
 
@@ -192,7 +192,7 @@ def materialize(spark: SparkSession, sf_dir: str, root: str | None = None, names
     from shoplens.sources import adapter
 
     root = root or silver_root(spark, sf_dir)
-    with _BUILD_LOCK:
+    with _BUILD_LOCK, released_shuffles(spark):
         missing = [n for n in names if not path_exists(spark, f"{root}/{n}")]
         if not missing:
             return root
@@ -230,7 +230,7 @@ def land_documents(spark: SparkSession, sf_dir: str, kinds=tuple(LANDED.values()
     root = silver_root(spark, sf_dir) + ".landed"
     render = {"order_pages": documents.order_pages_text, "employee_pages": documents.employee_pages_text,
               "job_documents": documents.job_documents_text}
-    with _BUILD_LOCK:
+    with _BUILD_LOCK, released_shuffles(spark):
         shop = load_shop(spark, sf_dir)
         for kind in kinds:
             _publish(spark, f"{root}/{kind}", lambda p: render[kind](shop).write.text(p, compression="gzip"))
